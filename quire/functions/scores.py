@@ -51,7 +51,7 @@ def link_state(status: Column) -> Column:
 
 def estimate_vram(billions: Column) -> Column:
     """struct(inference_gb, training_gb), null when the size is not a positive number."""
-    p = F.try_cast(billions, "double") if hasattr(F, "try_cast") else billions.try_cast("double")
+    p = billions.cast("string").try_cast("double")
     return F.when(
         p > 0,
         F.struct(F.round(p * 2 * 1.2, 1).alias("inference_gb"), F.round(p * 16 * 1.2, 1).alias("training_gb")),

@@ -25,7 +25,8 @@ TABLE_MODE_K = (3, 4)  # text, tables
 MAX_TABLE_CHARS = 6000
 QUERY_BLOCK = 8192  # 64 MB of 1024-dimensional doubles
 _SLICE = 256
-_SLACK = 1e-9
+DECIMALS = 9
+_SLACK = 2e-9
 
 # Words that send a question to the tables as well.
 TABULAR_WORDS = (
@@ -68,7 +69,7 @@ def _best(
     """(row, query, score) of the best k rows of a batch per query, or per query and group.
 
     A fast matrix product picks candidates; they are scored again by a left-to-right sum, so that
-    equal vectors have equal scores and ties always break by the row keys.
+    equal vectors have equal scores, rounded to nine decimals, and ties always break by the row keys.
     """
     rows, cols, scores = [], [], []
     row_norm, query_norm = _norms(vectors), _norms(matrix)
@@ -90,7 +91,7 @@ def _best(
             floor[group[last]] = near[pool[last]]
             keep = near[pool] >= floor[group] - _SLACK
             pool, group = pool[keep], group[keep]
-            exact = np.cumsum(vectors[pool] * matrix[q], axis=1)[:, -1] / (row_norm[pool] * query_norm[q])
+            exact = np.round(np.cumsum(vectors[pool] * matrix[q], axis=1)[:, -1] / (row_norm[pool] * query_norm[q]), DECIMALS)
             order = np.lexsort([t[pool] for t in reversed(ties)] + [-exact, group])
             starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
             place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))

@@ -43,8 +43,8 @@ def outcomes(pages_raw: DataFrame, chunks: DataFrame) -> DataFrame:
 class Sink:
     """Folders of the chunk table and the outcome log, on storage every executor can reach.
 
-    The chunk table is partitioned by batch; readers take, for each paper, the rows of the last batch
-    that has it. A batch overwrites only its own folder, so a repeated batch changes nothing.
+    The chunk table is partitioned by batch; readers take, for each paper, the rows of its last
+    good batch. A batch overwrites only its own folder, so a repeated batch changes nothing.
     """
 
     chunks: str
@@ -57,8 +57,8 @@ class Sink:
         outcomes(batch, written).write.mode("overwrite").parquet(f"{self.outcomes}/batch={batch_id}")
 
     def current(self, spark: SparkSession) -> DataFrame:
-        """Chunks of every paper as its last batch left them."""
-        newest = self.papers(spark).select("paper_id", "batch")
+        """Chunks of every paper as its last good batch left them; a failed run keeps the earlier ones."""
+        newest = spark.read.parquet(self.outcomes).filter("ok").groupBy("paper_id").agg(F.max("batch").alias("batch"))
         return spark.read.parquet(self.chunks).join(newest, ["paper_id", "batch"], "left_semi")
 
     def papers(self, spark: SparkSession) -> DataFrame:
