@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.bind import let
+
 # Section names recognised as headings without a number.
 KNOWN_SECTIONS = (
     "abstract", "introduction", "background", "related work", "literature review", "method", "methods",
@@ -41,7 +43,9 @@ def squeeze(c: Column) -> Column:
 def lines_of(c: Column) -> Column:
     """Array of lines, without the empty piece after a final line break."""
     parts = F.split(c, _LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(
+        parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    )
 
 
 def count_tokens(c: Column) -> Column:
@@ -62,7 +66,10 @@ def detect_heading(
     max_length: int = MAX_HEADING,
 ) -> Column:
     """Title-cased heading, or null when the line is not one."""
-    text = strip(line)
+    return let(strip(line), lambda x: _heading(x, known, numbered, max_length))
+
+
+def _heading(text: Column, known: Sequence[str], numbered: str, max_length: int) -> Column:
     numbered_title = F.regexp_extract(text, numbered, 3)
     plain = F.rtrim(F.lower(text), F.lit(":."))
     return (
@@ -72,12 +79,12 @@ def detect_heading(
     )
 
 
-def headings_of(text: Column, **rules) -> Column:
-    """All headings of a text in order."""
-    # Only lines short enough to be headings are looked at.
-    limit = rules.get("max_length", MAX_HEADING)
-    short = F.filter(lines_of(text), lambda x: F.length(strip(x)).between(1, limit))
-    return F.filter(F.transform(short, lambda x: detect_heading(x, **rules)), lambda x: x.isNotNull())
+def headings_of(
+    text: Column, known: Sequence[str] = KNOWN_SECTIONS, numbered: str = NUMBERED_HEADING, max_length: int = MAX_HEADING
+) -> Column:
+    """All headings of a text in order. Lines too long to be headings are passed over first."""
+    short = F.filter(F.transform(lines_of(text), strip), lambda x: F.length(x).between(1, max_length))
+    return F.filter(F.transform(short, lambda x: _heading(x, known, numbered, max_length)), lambda x: x.isNotNull())
 
 
 def is_page_number(line: Column) -> Column:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import mathtext, text as T
+from quire.functions.bind import let
 from quire.operators.scan import carry
 
 
 def edge_lines(text: Column, head: int = 3, tail: int = 3) -> Column:
     """Distinct trimmed non-blank lines at the top and the bottom of a page."""
     lines = F.filter(F.transform(T.lines_of(text), T.strip), lambda x: x != "")
-    bottom = F.reverse(F.slice(F.reverse(lines), 1, tail))
-    return F.array_distinct(F.concat(F.slice(lines, 1, head), bottom))
+    return let(lines, lambda x: F.array_distinct(F.concat(F.slice(x, 1, head), F.slice(F.reverse(x), 1, tail))))
 
 
 def repeated_lines(
@@ -33,11 +33,10 @@ def repeated_lines(
 
 
 def _kept(lines: Column, noise: Column) -> Column:
-    def keep(line: Column) -> Column:
-        trimmed = T.strip(line)
+    def keep(trimmed: Column) -> Column:
         return ~F.coalesce(F.array_contains(noise, trimmed), F.lit(False)) & ~trimmed.rlike(T.PAGE_NUMBER)
 
-    return F.array_join(F.filter(lines, keep), "\n")
+    return F.array_join(F.filter(lines, lambda line: let(T.strip(line), keep)), "\n")
 
 
 def drop_noise(pages: DataFrame, noise: DataFrame, bounded: bool = True) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.bind import let
+
 BATCH = 32
 HASH_DIM = 256
 
@@ -53,15 +55,16 @@ def hash_buckets(text: Column, dim: int = HASH_DIM) -> Column:
 
 def hash_embed(text: Column, dim: int = HASH_DIM) -> Column:
     """Unit-length bag of hashed words."""
-    hits = F.array_sort(hash_buckets(text, dim))
-    unit = F.lit(1.0) / F.sqrt(F.greatest(F.size(hits), F.lit(1)).cast("double"))
-    # Runs of zeros between the sorted hits: linear in dim, with no search per component.
-    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.element_at(hits, F.greatest(i, F.lit(1))))
-    runs = F.transform(
-        hits, lambda h, i: F.concat(F.array_repeat(F.lit(0.0), h - before(i) - 1), F.array(unit))
-    )
-    tail = F.array_repeat(F.lit(0.0), F.lit(dim - 1) - F.coalesce(F.array_max(hits), F.lit(-1)))
-    return F.concat(F.flatten(runs), tail)
+
+    def dense(hits: Column) -> Column:
+        # Runs of zeros between the sorted hits: linear in dim, with no search per component.
+        unit = F.lit(1.0) / F.sqrt(F.greatest(F.size(hits), F.lit(1)).cast("double"))
+        before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.element_at(hits, F.greatest(i, F.lit(1))))
+        runs = F.transform(hits, lambda h, i: F.concat(F.array_repeat(F.lit(0.0), h - before(i) - 1), F.array(unit)))
+        tail = F.array_repeat(F.lit(0.0), F.lit(dim - 1) - F.coalesce(F.try_element_at(hits, F.lit(-1)), F.lit(-1)))
+        return F.concat(F.flatten(runs), tail)
+
+    return let(F.array_sort(hash_buckets(text, dim)), dense)
 
 
 def check_dim(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:

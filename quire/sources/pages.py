@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.bind import let
 from quire.functions.text import lines_of
 from quire.session import spread
 
@@ -13,14 +14,16 @@ FORM_FEED = "\f"
 
 def paginate_text(text: Column, lines_per_page: int) -> Column:
     """Array of pages of a fixed number of lines."""
-    lines = lines_of(text)
-    pages = F.ceil(F.size(lines) / lines_per_page).cast("int")
-    return F.when(pages == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(pages, F.lit(1)) - 1),
+
+    def cut(lines: Column) -> Column:
+        last = F.ceil(F.size(lines) / lines_per_page).cast("int") - 1
+        pages = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
             lambda i: F.array_join(F.slice(lines, i * lines_per_page + 1, F.lit(lines_per_page)), "\n"),
         )
-    )
+        return F.when(last < 0, F.array().cast("array<string>")).otherwise(pages)
+
+    return let(lines_of(text), cut)
 
 
 def pages_from_text(df: DataFrame, paper: str, text: str = "text", lines_per_page: int | None = None) -> DataFrame:
