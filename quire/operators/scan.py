@@ -23,12 +23,13 @@ def carry(
     sums: Mapping[str, str] | None = None,
     lasts: Mapping[str, str] | None = None,
     block: int = BLOCK,
-    levels: int = 2,
+    levels: int = 1,
 ) -> DataFrame:
     """Add, for every row, totals and last non-null values of the rows before it in its group.
 
     `position` is an integer that is unique within a group and roughly dense (a page or chunk
-    number). `sums` and `lasts` map new column -> source column. The result keeps `_blk`, on which
+    number). One task sees at most a group's rows / `block` summaries; more `levels` divide again.
+    `sums` and `lasts` map new column -> source column. The result keeps `_blk`, on which
     (with the keys) the rows are partitioned, so that later work on a position needs no shuffle.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})

@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,13 +225,22 @@ def retrieve(questions: DataFrame, chunks: DataFrame, tables: DataFrame, table_m
     return order_hits(retrieve_multimodal(questions, chunks, tables, **options), table_mode)
 
 
+def _mean_score(mean: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)), 3)
+
+
 def retrieval_score(used: DataFrame) -> DataFrame:
     """Mean score of the hits used for each question, within 0 and 1."""
-    mean = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("score"))), 3)
-    return used.groupBy("query_id").agg(mean.alias("retrieval_score"))
+    return used.groupBy("query_id").agg(_mean_score(F.avg("score")).alias("retrieval_score"))
+
+
+def with_retrieval_score(used: DataFrame) -> DataFrame:
+    """The same, on every used hit; the few hits of a question are already together."""
+    return used.withColumn("retrieval_score", _mean_score(F.avg("score").over(Window.partitionBy("query_id"))))
 
 
-def to_citation(hits: DataFrame) -> DataFrame:
+def to_citation(hits: DataFrame, *extra: str) -> DataFrame:
+    """Citation fields of hits, and any `extra` columns as they are."""
     have = set(hits.columns)
     col = lambda c, default: F.coalesce(F.col(c), default) if c in have else default
     built = F.concat(F.col("paper_id").cast("string"), F.lit(":"), F.col("chunk_index").cast("string"))
@@ -243,6 +252,7 @@ def to_citation(hits: DataFrame) -> DataFrame:
         F.round(col("score", F.lit(0.0)), 4).alias("score"),
         col("kind", F.lit("text")).alias("kind"),
         col("table_index", F.lit(None).cast("bigint")).alias("table_index"),
+        *extra,
     )
 
 

@@ -31,9 +31,9 @@ def answer_contexts(spark: SparkSession, d: str) -> DataFrame:
         indexed_chunks(spark, d), questions(spark, d), payload=("paper_name", "page", "section", "text")
     ).withColumnRenamed("rank", "position")
     packed = context.pack_prefix(hits, ["query_id"], [F.col("position")], 1000)
-    cited = search.to_citation(packed.withColumnRenamed("ordinal", "rank"))
-    scored = cited.join(search.retrieval_score(packed), "query_id")
-    return scored.select(
+    scored = search.with_retrieval_score(packed)
+    cited = search.to_citation(scored.withColumnRenamed("ordinal", "rank"), "retrieval_score")
+    return cited.select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "paper_id", "chunk_id", "page", "section", "score", "retrieval_score",
         F.md5(F.encode("text_snippet", "UTF-8")).alias("snippet_md5"),
     )
