@@ -33,10 +33,11 @@ def classification_for(score: Column) -> Column:
     return _band(score, 1)
 
 
-def status_credit(status: Column) -> Column:
+def status_tenths(status: Column) -> Column:
+    """Credit in tenths, so that sums are exact in any order of addition."""
     out = None
     for name, credit in CREDIT.items():
-        out = (F if out is None else out).when(status == name, credit)
+        out = (F if out is None else out).when(status == name, round(credit * 10))
     return out
 
 

@@ -69,10 +69,10 @@ def fill_missing_items(spark: SparkSession, d: str) -> DataFrame:
 RUBRIC_SQL = f"""rub AS (SELECT l_orderkey AS paper_id, {DIM_CASE.format('l_partkey')} AS dim_key, max(l_partkey) AS m FROM lineitem GROUP BY ALL),
 rubric AS (SELECT paper_id, dim_key, CASE m % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN '140' WHEN 2 THEN NULL WHEN 3 THEN '-7' ELSE CAST(m % 100 AS VARCHAR) END AS score FROM rub)"""
 SCORE_SQL = f"""{FILL_SQL}, {RUBRIC_SQL},
-share AS (SELECT paper_id, dim_key, 100 * sum(CASE status WHEN 'specified' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5 WHEN 'inferred' THEN 0.4 ELSE 0 END) / count(*) AS i FROM filled GROUP BY ALL),
+share AS (SELECT paper_id, dim_key, 10 * sum(CASE status WHEN 'specified' THEN 10 WHEN 'partial' THEN 5 WHEN 'inferred' THEN 4 ELSE 0 END)::DOUBLE / count(*) AS i FROM filled GROUP BY ALL),
 both_ AS (SELECT paper_id, dim_key, i, greatest(0.0::DOUBLE, least(100.0::DOUBLE, TRY_CAST(score AS DOUBLE))) AS r, TRY_CAST(score AS DOUBLE) IS NOT NULL AS has FROM share FULL JOIN rubric USING (paper_id, dim_key)),
 blended AS (SELECT paper_id, dim_key, CASE WHEN NOT has THEN coalesce(i, 0) WHEN i IS NULL THEN r ELSE 0.5::DOUBLE * r + 0.5::DOUBLE * i END AS s FROM both_),
-scores AS (SELECT paper_id, dim_key, round(s + 1e-9, 1) AS score FROM blended)"""
+scores AS (SELECT paper_id, dim_key, round(s, 1) AS score FROM blended)"""
 
 
 def rubrics(spark: SparkSession, d: str) -> DataFrame:

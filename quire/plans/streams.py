@@ -1 +1,75 @@
+"""Incremental indexing and answer events, run to completion over the given tables."""
 
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.plans.inputs import derive, doc_pages
+from quire.plans.registry import query
+from quire.session import CHECKPOINT_KEY
+from quire.streaming import events as E
+from quire.streaming.indexing import Sink, index_pages, index_stream
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A fresh folder for one run: below the shared folder the cluster names, else (in tests) below the warehouse."""
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(base, f"quire-{uuid.uuid4().hex}")
+
+
+# Tokens of answers: the words of assistant turns between a meta and a done event.
+def answer_events(spark: SparkSession, d: str) -> DataFrame:
+    turns = derive(spark, d, "conversations", {"answer_id": "concat(conv_id, ':', turn)", "text": "text"})
+    words = F.split("text", r"(?<= )")
+    body = F.transform(words, lambda w, i: F.struct((i + 1).cast("bigint").alias("seq"), F.lit("token").alias("type"), w.alias("text")))
+    mark = lambda at, kind: F.array(F.struct(at.cast("bigint").alias("seq"), F.lit(kind).alias("type"), F.lit("").alias("text")))
+    every = F.concat(mark(F.lit(0), "meta"), body, mark(F.size(words) + 1, "done"))
+    return turns.select("answer_id", F.explode(every).alias("e")).select("answer_id", "e.seq", "e.type", "e.text")
+
+
+ANSWERS_SQL = "SELECT conv_id || ':' || turn AS answer_id, trim(text) AS answer, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_tokens{0} FROM conversations"
+
+
+@query("s3_assemble_events", ANSWERS_SQL.format(", true AS done"))
+def assemble_events(spark: SparkSession, d: str) -> DataFrame:
+    return E.assemble_events(answer_events(spark, d))
+
+
+@query("s3_assemble_stream", ANSWERS_SQL.format(""))
+def assemble_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The stateful form over a file stream of the same events."""
+    folder = run_folder(spark)
+    answer_events(spark, d).write.parquet(f"{folder}/events")
+    source = spark.readStream.schema(spark.read.parquet(f"{folder}/events").schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/events")
+    run = (
+        E.assemble_stream(source).writeStream.format("parquet").option("path", f"{folder}/answers")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/answers")
+
+
+@query("s1_index_stream")
+def index_stream_query(spark: SparkSession, d: str) -> DataFrame:
+    """Documents arrive as files of pages; every micro-batch is indexed and replaces its papers."""
+    folder = run_folder(spark)
+    pages = doc_pages(spark, d, 20)
+    pages.repartition(4, "paper_id").write.parquet(f"{folder}/pages")
+    stored = spark.read.parquet(f"{folder}/pages")
+    source = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/pages")
+    sink = Sink(f"{folder}/chunks", f"{folder}/outcomes")
+    index_stream(source, sink, f"{folder}/state").awaitTermination()
+    return sink.current(spark).groupBy("paper_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("s2_index_outcomes")
+def index_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome per paper of one batch; papers without text fail and do not stop the others."""
+    from quire.streaming.indexing import outcomes
+
+    pages = doc_pages(spark, d, 20).withColumn("text", F.when(F.length("text") > 12, F.col("text")).otherwise("7"))
+    return outcomes(pages, index_pages(pages))
