@@ -249,7 +249,7 @@ def qa_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 REQUEST = {
     "request_id": "event_id", "kind": "CASE event_id % 6 WHEN 0 THEN 'qa' WHEN 1 THEN 'quiz' WHEN 2 THEN 'flashcards' WHEN 3 THEN 'compare' WHEN 4 THEN 'gaps' ELSE 'summary' END",
-    "text": "repeat('q', CAST(value * 60 AS INT))", "difficulty": "CASE user_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'extreme' END", "n": "CAST(value AS INT)",
+    "text": "repeat('q', CAST(floor(value * 60) AS INT))", "difficulty": "CASE user_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'extreme' END", "n": "CAST(floor(value) AS INT)",
     "style": "CASE WHEN event_type = 'view' THEN 'bullet' WHEN event_type = 'click' THEN 'one-page' ELSE event_type END", "quiz_type": "CASE WHEN event_type = 'error' THEN 'essay' ELSE 'mcq' END",
 }
 

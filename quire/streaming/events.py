@@ -26,11 +26,12 @@ def assemble_events(events: DataFrame) -> DataFrame:
     )
 
 
-def assemble_stream(events: DataFrame, patience_ms: int = 600_000) -> DataFrame:
+def assemble_stream(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """Streaming form: an answer is emitted when its done event arrives and its tokens are complete.
 
-    Events may arrive out of order. The done event's seq says how many events there are. State of an
-    answer that never ends is dropped after `patience_ms` without an event.
+    Events may arrive out of order. The done event's seq says how many events there are. With
+    `patience_ms`, state of an answer that never ends is dropped after that time without an event;
+    such a query wakes up for its timeouts, so it needs a trigger that keeps running, not availableNow.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,10 +51,11 @@ def assemble_stream(events: DataFrame, patience_ms: int = 600_000) -> DataFrame:
             yield pd.DataFrame({"answer_id": [key[0]], "answer": ["".join(tokens).strip()], "n_tokens": [len(tokens)]})
         else:
             state.update((list(seen), [k for k, _ in seen.values()], [t for _, t in seen.values()]))
-            state.setTimeoutDuration(patience_ms)
+            if patience_ms is not None:
+                state.setTimeoutDuration(patience_ms)
 
     kind = events.schema["answer_id"].dataType.simpleString()
     return events.groupBy("answer_id").applyInPandasWithState(
         step, f"answer_id {kind}, answer string, n_tokens bigint", "seqs array<bigint>, kinds array<string>, texts array<string>",
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
+        "append", GroupStateTimeout.NoTimeout if patience_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
