@@ -26,13 +26,16 @@ MAX_HEADING = 70
 MAX_ABSTRACT = 3000
 FRONT_MATTER = "Front Matter"
 
+# Every character that counts as white space at the ends of a text.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACE = r"[\s\x1c-\x1f]"
+_RARE_BREAK = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
     """Trim every Unicode space at both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -42,7 +45,7 @@ def squeeze(c: Column) -> Column:
 
 def lines_of(c: Column) -> Column:
     """Array of lines, without the empty piece after a final line break."""
-    parts = F.split(c, _LINE_BREAK)
+    parts = F.when(c.rlike(_RARE_BREAK), F.split(c, _LINE_BREAK)).otherwise(F.split(c, "\n"))
     return let(
         parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
     )

@@ -67,11 +67,11 @@ def pack_prefix(hits: DataFrame, keys: Sequence[str], order: Sequence[Column], b
 
 
 def render_context(packed: DataFrame, keys: Sequence[str], joiner: str = BLOCK_JOINER) -> DataFrame:
-    """Packed blocks of each group as one text; bounded by the budget."""
+    """Packed blocks of each group as one text, with the paper's name as title; bounded by the budget."""
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "block")))
+    title = [F.min_by("paper_name", "ordinal").alias("title")] if "paper_name" in packed.columns else []
     return packed.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda b: b["block"]), joiner).alias("context"),
-        F.count("*").alias("n_used"),
+        F.array_join(F.transform(ordered, lambda b: b["block"]), joiner).alias("context"), F.count("*").alias("n_used"), *title
     )
 
 
@@ -166,11 +166,8 @@ def _asked(requests: DataFrame) -> DataFrame:
 
 def _by_request(packed: DataFrame, heading: bool) -> DataFrame:
     parts = render_context(packed, ["request_id", "_pos"])
-    names = packed.groupBy("request_id", "_pos").agg(F.min_by("paper_name", "ordinal").alias("title"))
     if heading:
-        parts = parts.join(names, ["request_id", "_pos"]).withColumn("context", F.concat(F.lit("## "), "title", F.lit("\n\n"), "context"))
-    else:
-        parts = parts.withColumn("title", F.lit(None).cast("string"))
+        parts = parts.withColumn("context", F.concat(F.lit("## "), "title", F.lit("\n\n"), "context"))
     ordered = F.array_sort(F.collect_list(F.struct("_pos", "context", "title")))
     text = F.array_join(F.transform(ordered, lambda p: p["context"]), PAPER_JOINER)
     titles = F.array_join(F.transform(ordered, lambda p: p["title"]), "; ")
@@ -207,8 +204,7 @@ def summary_context(chunks: DataFrame, styles: DataFrame, k: int = 10) -> DataFr
     """Context of every paper for every summary style. styles(query_id, embedding): a short fixed list."""
     rows = _openers_and_hits(chunks, styles, 2, k)
     packed = pack_prefix(rows, ["query_id", "paper_id"], [F.col("chunk_index")], BUDGET)
-    names = packed.groupBy("query_id", "paper_id").agg(F.min_by("paper_name", "ordinal").alias("title"))
-    return render_context(packed, ["query_id", "paper_id"]).join(names, ["query_id", "paper_id"])
+    return render_context(packed, ["query_id", "paper_id"])
 
 
 def split_answerable(questions: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:

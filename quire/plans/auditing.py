@@ -38,7 +38,7 @@ items AS (SELECT paper_id, dim_key, ord, left(trim(parameter), 120) AS parameter
 
 
 def raw_items(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, "lineitem", ITEM)
+    return derive(spark, d, "lineitem", ITEM, wide=True)
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:

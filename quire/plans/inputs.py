@@ -65,12 +65,13 @@ def _sql(fields: dict[str, str], source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in fields.items()) + f" FROM {source}"
 
 
-def derive(spark: SparkSession, d: str, source: str, fields: dict[str, str]) -> DataFrame:
-    return table(spark, d, source).selectExpr(*[f"{e} AS {n}" for n, e in fields.items()])
+def derive(spark: SparkSession, d: str, source: str, fields: dict[str, str], wide: bool = False) -> DataFrame:
+    """`wide` for CPU-heavy row work, as in `wide_table`."""
+    return (wide_table if wide else table)(spark, d, source).selectExpr(*[f"{e} AS {n}" for n, e in fields.items()])
 
 
 def manuscripts(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, "orders", MANUSCRIPT)
+    return derive(spark, d, "orders", MANUSCRIPT, wide=True)
 
 
 MANUSCRIPT_SQL = _sql(MANUSCRIPT, "orders")
@@ -92,7 +93,7 @@ TEXT_LINE_SQL = _sql(TEXT_LINE, "orders")
 
 
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, "orders", TEXT_LINE)
+    return derive(spark, d, "orders", TEXT_LINE, wide=True)
 
 
 # Evidence sentences: orders of a customer are the chunks of a paper.
@@ -109,7 +110,7 @@ EVIDENCE_SQL = _sql(EVIDENCE, "orders")
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, "orders", EVIDENCE)
+    return derive(spark, d, "orders", EVIDENCE, wide=True)
 
 
 # Three words per line item, laid out as a row of a grid; an order is a page.
@@ -122,7 +123,7 @@ WORD_FIELDS = {
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    base = derive(spark, d, "lineitem", {"paper_id": "l_orderkey", "page": "CAST(1 AS BIGINT)", "shift": "CAST(l_suppkey % 5 AS DOUBLE)", **WORD_FIELDS})
+    base = derive(spark, d, "lineitem", {"paper_id": "l_orderkey", "page": "CAST(1 AS BIGINT)", "shift": "CAST(l_suppkey % 5 AS DOUBLE)", **WORD_FIELDS}, wide=True)
     word = lambda c, x: F.struct(
         F.lit(x) + F.col("shift") * (0.0 if c == "a" else 1.0), F.lit(x) + F.col("shift") * (0.0 if c == "a" else 1.0) + 5.0 * F.length(c), F.col(c)
     ).cast("struct<x0:double,x1:double,text:string>")

@@ -58,7 +58,7 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b1_repeated_lines_by_count", f"WITH {edges_sql(DOCS_BY_SOURCE_SQL, '3')} SELECT * FROM noise")
 def repeated_lines_by_count(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.repeated_lines(derive(spark, d, "documents", DOCS_BY_SOURCE), ratio=None)
+    return cleaning.repeated_lines(derive(spark, d, "documents", DOCS_BY_SOURCE, wide=True), ratio=None)
 
 
 @query("b2_drop_noise", f"WITH {edges_sql(MANUSCRIPT_SQL, 'greatest(3, n // 2)')} {dropped_sql()}")
@@ -69,7 +69,7 @@ def drop_noise(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b2_drop_noise_by_count", f"WITH {edges_sql(DOCS_BY_SOURCE_SQL, '3')} {dropped_sql()}")
 def drop_noise_by_count(spark: SparkSession, d: str) -> DataFrame:
-    pages = derive(spark, d, "documents", DOCS_BY_SOURCE)
+    pages = derive(spark, d, "documents", DOCS_BY_SOURCE, wide=True)
     return cleaning.drop_noise(pages, cleaning.repeated_lines(pages, ratio=None), bounded=False)
 
 
@@ -95,7 +95,7 @@ LATEX_R = r"concat('\beta_{', n, '} \le ', quantity)"
 
 @query("b4_is_display_equation", f"WITH {MATH_SQL} SELECT paper_id, line, kind <> 'N' AS is_equation FROM src")
 def is_display_equation(spark: SparkSession, d: str) -> DataFrame:
-    return derive(spark, d, "lineitem", MATH_LINE).select("paper_id", "line", mathtext.is_display_equation(F.col("line")).alias("is_equation"))
+    return derive(spark, d, "lineitem", MATH_LINE, wide=True).select("paper_id", "line", mathtext.is_display_equation(F.col("line")).alias("is_equation"))
 
 
 @query(
@@ -104,7 +104,7 @@ def is_display_equation(spark: SparkSession, d: str) -> DataFrame:
   CASE kind WHEN 'A' THEN {LATEX_A} ELSE {LATEX_R} END AS latex FROM src WHERE kind <> 'N'""",
 )
 def equation_inventory(spark: SparkSession, d: str) -> DataFrame:
-    _, found = cleaning.normalize_math(derive(spark, d, "lineitem", MATH_LINE))
+    _, found = cleaning.normalize_math(derive(spark, d, "lineitem", MATH_LINE, wide=True))
     return found.select("paper_id", "line", "equation_no", "latex")
 
 
@@ -115,7 +115,7 @@ def equation_inventory(spark: SparkSession, d: str) -> DataFrame:
   ELSE concat('where $\theta \in \mathbb{{R}}$ of order ', paper_id, ' is large and $\gamma_{{', n, '}}$ = 3') END AS line FROM src""",
 )
 def normalize_math(spark: SparkSession, d: str) -> DataFrame:
-    lines, _ = cleaning.normalize_math(derive(spark, d, "lineitem", MATH_LINE))
+    lines, _ = cleaning.normalize_math(derive(spark, d, "lineitem", MATH_LINE, wide=True))
     return lines.select("paper_id", "line")
 
 
