@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.operators.scan import first_rows
 
@@ -126,6 +127,7 @@ def knn(
     keys, payload = list(keys), list(payload)
     source = paper_filter(chunks, papers).select(*keys, *payload, F.col("embedding").cast("array<double>").alias("embedding"))
     query_type = queries.schema["query_id"].dataType
+    id_type = to_arrow_type(query_type)
     own_papers = "paper_ids" in queries.columns
     schema = T.StructType(
         [T.StructField("query_id", query_type)]
@@ -149,7 +151,7 @@ def knn(
                 names = ties[0]
                 groups = np.unique(names, return_inverse=True)[1] if per_paper else None
                 at, query, value = _best(vectors, matrix, ties, groups, allowed, names, k, min_score)
-                out_ids = pa.array(ids).take(pa.array(query))
+                out_ids = pa.array(ids, type=id_type).take(pa.array(query))
                 kept = [batch.column(c).take(pa.array(at)) for c in keys + payload]
                 yield pa.RecordBatch.from_arrays([out_ids, *kept, pa.array(value)], names=["query_id", *keys, *payload, "score"])
 
