@@ -20,7 +20,6 @@ TABLE_HINTS = "(?iu)hyper|parameter|setting|config|training|learning|batch|optim
 NO_TABLES = "No structured tables were extracted from this paper."
 # A block is at least its header, so fewer blocks than budget / 4 tokens can ever fit.
 _LEAST_COST = 4
-MAX_FIXED_QUERIES = 64
 
 
 def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block, budget: str, most: int) -> DataFrame:
@@ -186,14 +185,7 @@ def coverage_context(requests: DataFrame, chunks: DataFrame, count: int = 12) ->
 
 def _openers_and_hits(chunks: DataFrame, queries: DataFrame, openers: int, k: int) -> DataFrame:
     """First chunks of each paper and its best chunks per query, each once. Reading order is chunk order."""
-    columns = ["paper_id", "chunk_index", "paper_name", "page", "section", "text"]
-    hits = knn(chunks, queries, k, per_paper=True, payload=columns[2:]).select("query_id", *columns)
-    known = queries.select("query_id").limit(MAX_FIXED_QUERIES + 1).collect()
-    if len(known) > MAX_FIXED_QUERIES:
-        raise ValueError(f"at most {MAX_FIXED_QUERIES} fixed queries; each adds rows for every paper")
-    ids = F.array(*[F.lit(r["query_id"]) for r in known])
-    first = chunks.filter(F.col("chunk_index") < openers).select(F.explode(ids).alias("query_id"), *columns)
-    return hits.unionByName(first).dropDuplicates(["query_id", "paper_id", "chunk_index"])
+    return knn(chunks, queries, k, per_paper=True, payload=("paper_name", "page", "section", "text"), openers=openers).drop("rank", "score")
 
 
 def focused_context(requests: DataFrame, chunks: DataFrame, query: DataFrame, k: int = 6) -> DataFrame:

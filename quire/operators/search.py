@@ -65,9 +65,9 @@ def _norms(m: np.ndarray) -> np.ndarray:
 
 def _best(
     vectors: np.ndarray, matrix: np.ndarray, ties: list[np.ndarray], groups: np.ndarray | None,
-    allowed: list[set | None], papers: np.ndarray | None, k: int, min_score: float | None,
+    allowed: list[set | None], papers: np.ndarray | None, k: int, min_score: float | None, forced: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, query, score) of the best k rows of a batch per query, or per query and group.
+    """(row, query, score) of the best k rows of a batch per query, or per query and group, and of forced rows.
 
     A fast matrix product picks candidates; they are scored again by a left-to-right sum, so that
     equal vectors have equal scores, rounded to nine decimals, and ties always break by the row keys.
@@ -90,15 +90,15 @@ def _best(
             last = order[starts + np.minimum(k, sizes) - 1]
             floor = np.empty(group.max() + 1)
             floor[group[last]] = near[pool[last]]
-            keep = near[pool] >= floor[group] - _SLACK
+            keep = (near[pool] >= floor[group] - _SLACK) | forced[pool]
             pool, group = pool[keep], group[keep]
             exact = np.round(np.cumsum(vectors[pool] * matrix[q], axis=1)[:, -1] / (row_norm[pool] * query_norm[q]), DECIMALS)
             order = np.lexsort([t[pool] for t in reversed(ties)] + [-exact, group])
             starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
             place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-            chosen = order[place < k]
+            chosen = order[(place < k) | forced[pool][order]]
             if min_score:
-                chosen = chosen[exact[chosen] >= min_score]
+                chosen = chosen[(exact[chosen] >= min_score) | forced[pool][chosen]]
             rows.append(pool[chosen])
             cols.append(np.full(len(chosen), q))
             scores.append(exact[chosen])
@@ -117,12 +117,14 @@ def knn(
     keys: Sequence[str] = ("paper_id", "chunk_index"),
     payload: Sequence[str] = (),
     block: int = QUERY_BLOCK,
+    openers: int = 0,
 ) -> DataFrame:
     """Top-k rows of `chunks` by cosine for every row of queries(query_id, embedding[, paper_ids]).
 
     `papers` restricts all queries, a `paper_ids` array restricts its own query (null or empty: no
     restriction). `per_paper` ranks within each paper. A `min_score` of 0 means no threshold. Ties
-    break by `keys`. `payload` columns come along; name few, or join them to the hits later.
+    break by `keys`. `payload` columns come along; name few, or join them to the hits later. Chunks
+    with an index below `openers` are returned for every query, whatever their rank.
     """
     keys, payload = list(keys), list(payload)
     source = paper_filter(chunks, papers).select(*keys, *payload, F.col("embedding").cast("array<double>").alias("embedding"))
@@ -146,11 +148,15 @@ def knn(
             for batch in batches:
                 if not batch.num_rows or not ids:
                     continue
-                vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+                if len(vectors) != batch.num_rows * matrix.shape[1]:
+                    raise ValueError(f"every vector must have {matrix.shape[1]} dimensions, like the queries")
+                vectors = vectors.reshape(batch.num_rows, -1)
                 ties = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
                 names = ties[0]
                 groups = np.unique(names, return_inverse=True)[1] if per_paper else None
-                at, query, value = _best(vectors, matrix, ties, groups, allowed, names, k, min_score)
+                forced = ties[1] < openers if openers else np.zeros(batch.num_rows, bool)
+                at, query, value = _best(vectors, matrix, ties, groups, allowed, names, k, min_score, forced)
                 out_ids = pa.array(ids, type=id_type).take(pa.array(query))
                 kept = [batch.column(c).take(pa.array(at)) for c in keys + payload]
                 yield pa.RecordBatch.from_arrays([out_ids, *kept, pa.array(value)], names=["query_id", *keys, *payload, "score"])
@@ -162,7 +168,11 @@ def knn(
         passes = [source.sparkSession.createDataFrame([], schema)]
     hits = reduce(DataFrame.unionByName, passes)
     group = ["query_id", keys[0]] if per_paper else ["query_id"]
-    return first_rows(hits, group, [F.desc("score"), *[F.col(c) for c in keys]], k)
+    order = [F.desc("score"), *[F.col(c) for c in keys]]
+    if not openers:
+        return first_rows(hits, group, order, k)
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return ranked.filter((F.col("rank") <= k) | (F.col(keys[1]) < openers))
 
 
 def attach(hits: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
