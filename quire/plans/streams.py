@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.plans.inputs import derive, doc_pages
+from quire.plans.inputs import derive, doc_pages, doc_pages_sql
 from quire.plans.registry import query
 from quire.session import CHECKPOINT_KEY
 from quire.streaming import events as E
@@ -66,10 +66,14 @@ def index_stream_query(spark: SparkSession, d: str) -> DataFrame:
     return sink.current(spark).groupBy("paper_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("s2_index_outcomes")
+@query(
+    "s2_index_outcomes",
+    f"""WITH {doc_pages_sql(20)} SELECT paper_id, count(*) AS page_count, max(length(text)) > 12 AS ok,
+  CASE WHEN max(length(text)) <= 12 THEN 'No extractable text found. Scanned/image-only PDFs are not supported.' END AS error FROM pages GROUP BY 1""",
+)
 def index_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Outcome per paper of one batch; papers without text fail and do not stop the others."""
     from quire.streaming.indexing import outcomes
 
     pages = doc_pages(spark, d, 20).withColumn("text", F.when(F.length("text") > 12, F.col("text")).otherwise("7"))
-    return outcomes(pages, index_pages(pages))
+    return outcomes(pages, index_pages(pages)).select("paper_id", "page_count", "ok", "error")

@@ -49,6 +49,15 @@ def test_split_text_size_overlap_and_no_loss():
         assert set(t.split()) - set("x") and "".join("".join(got).split()).count("x") >= t.count("x")
 
 
+def test_split_text_worked_by_hand():
+    # Sizes in tokens: "one " 1, "two " 1, "three " 2, "four" 1.
+    assert chunking.split_text("one two three four", 2, 1) == ["one two", "three", "four"]
+    assert chunking.split_text("one two three four", 3, 1) == ["one two", "two three", "four"]
+    # The paragraph that fits stays whole and never overlaps into the oversized one.
+    assert chunking.split_text("short\n\n" + "x" * 20, 2, 1) == ["short", "x" * 8, "x" * 8, "x" * 4]
+    assert chunking.split_text("  \n ", 2, 1) == []
+
+
 def brute_carry(rows):
     out, total, last = [], {}, {}
     for k, p, n, v in sorted(rows):
