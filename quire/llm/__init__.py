@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cover_search", "mixing", "quality_rules", "quality_bayes", "packing", "language", "token_counts", "html_density")
+MODULES = ("ngram_join", "cover_search", "suffix_dedup", "mixing", "quality_rules", "quality_bayes", "packing", "language", "token_counts", "html_density")
 
 
 def all_queries() -> dict:
@@ -13,7 +13,9 @@ def all_queries() -> dict:
 
     for name in MODULES:
         import_module(f"quire.llm.{name}")
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:
@@ -22,4 +24,6 @@ def all_oracles() -> dict[str, str]:
 
     for name in MODULES:
         import_module(f"quire.llm.{name}")
-    return dict(ORACLES)
+    import corpus_pipeline
+
+    return {**ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -16,6 +16,7 @@ from quire.llm.registry import query, table
 SEED = "mix-1"
 POWER = 0.7  # default weights are document counts to this power, which lifts small sources
 STEP = 500.0  # larger means are sums of Poisson numbers with means up to this, where exp() is exact enough
+MANY_SOURCES = 10_000  # a table of rates up to this size is broadcast
 _EXTRA = ("_rate", "_copies", "_copy", "_key")
 
 
@@ -81,6 +82,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0,
     docs = docs.drop("copy_no", "shuffle_key", *_EXTRA)
     rates = source_rates(docs, weights, epochs, power).select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if rates.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES:
+        rates = F.broadcast(rates)  # else a hot source is split by the join
     rated = docs.join(rates, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     counted = rated.withColumn("_copies", poisson(F.col("_rate"), F.lit(seed), doc)).where("_copies > 0").drop("_rate")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")

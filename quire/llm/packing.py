@@ -9,6 +9,8 @@ histogram allows. Pieces find their place by their rank among the pieces of equa
 from __future__ import annotations
 
 import functools
+import re
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
 from quire.llm.shared import written
+from quire.llm.token_counts import byte_letters, vocabulary_path
 
 CAPACITY = 2048
 END = 1  # id after each document
@@ -29,42 +32,60 @@ MAX_SLACK = 16  # a filling that leaves more than this is closed by cutting one
 KEPT_WORDS = 400_000  # words whose ids a task remembers
 # Fixed value: the word pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_ALL_WORDS = regex.compile(WORDS).findall
+# The same pattern with its classes spelt out, which is faster, for texts whose characters lie within them.
+_SPACE, _LETTER = r" \t\n\r\x0b\x0c", "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_LATIN_WORDS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+).findall
+_UNUSUAL = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+
+
+class _Words(dict):
+    """Ids of words as bytes, made by the library's own model when a word is first met."""
+
+    def __init__(self, model: object) -> None:
+        super().__init__()
+        self.model = model
+        letters = byte_letters()
+        self.letters = [letters[b] for b in range(256)]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")]))]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = packed
+        return packed
 
 
 class Encoder:
     """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit numbers.
 
-    The library's result for a text is the concatenation of its results for the words of the pattern,
-    so each different word is encoded once and remembered; special strings are cut out first.
+    The library's result for a text is the concatenation of its model's results for the words of the
+    pattern, so each different word is encoded once and remembered; special strings are cut out first.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.no_padding()
-        self.tool.no_truncation()
         special = sorted(t.content for t in self.tool.get_added_tokens_decoder().values())
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.words = regex.compile(WORDS).findall
-        self.known: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        self.words = _Words(self.tool.model)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         parts = self.special.split(text) if self.special is not None and "<|" in text else [text]
-        out, known, word = [], self.known, self._word
+        out = []
         for n, part in enumerate(parts):
-            words = self.words(part) if n % 2 == 0 else [part]
-            out.extend([known[w] if w in known else word(w) for w in words])
+            if n % 2:
+                out.append(self.tool.token_to_id(part).to_bytes(4, "little"))
+            elif part:
+                split = _ALL_WORDS if _UNUSUAL(part) else _LATIN_WORDS
+                out.extend(map(self.words.__getitem__, split(part)))
         return b"".join(out)
 
 
@@ -158,8 +179,6 @@ def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY, max_slack:
 def _pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     """Full windows and remainders of documents, with their rank among the pieces of equal length in
     their task, and the remainders' ids, which a later cut needs."""
-    from quire.llm.token_counts import vocabulary_path
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool, task, seen = encoder(vocabulary_path(vocabulary)), TaskContext.get().partitionId(), defaultdict(int)
         small = tool.tool.get_vocab_size() < 1 << 16
