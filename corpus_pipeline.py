@@ -9,12 +9,24 @@ from quire.llm import language, mixing, ngram_join, packing, suffix_dedup
 from quire.llm.shared import written
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _bundled(docs: DataFrame) -> DataFrame:
+    """The columns of documents, and all others in one, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in CORE]
+    return docs.select(*CORE, *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def _spread(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in CORE else F.col("_rest").getField(c).alias(c) for c in names])
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those whose text is null or has no letter go."""
     profiles = language.learn(docs.where(~language.held_out()))
-    names = docs.columns
-    told = docs.withColumn("_language", language.predict("text", profiles))
-    return told.where(F.col("_language.lang") != language.UNKNOWN).select(*names)
+    told = _bundled(docs).withColumn("_language", language.predict("text", profiles))
+    return _spread(told.where(F.col("_language.lang") != language.UNKNOWN), docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +42,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that an earlier document or place has; rows all stay."""
-    found = suffix_dedup.with_spans(docs)
+    found = suffix_dedup.with_spans(_bundled(docs))
     cut = found.withColumn("text", suffix_dedup.removed("text", "_spans"))
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return _spread(cut.withColumn("n_chars", F.length("text").cast("bigint")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out by the weight of their source, in shuffled order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return _spread(mixing.mix(_bundled(docs)), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ SEED = "mix-1"
 POWER = 0.7  # default weights are document counts to this power, which lifts small sources
 STEP = 500.0  # larger means are sums of Poisson numbers with means up to this, where exp() is exact enough
 MANY_SOURCES = 10_000  # a table of rates up to this size is broadcast
-_EXTRA = ("_rate", "_copies", "_copy", "_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -79,15 +78,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0,
     as an empty string; repeated rows with one doc_id get the same number of copies each. Input columns
     named like the added ones give way to them.
     """
-    docs = docs.drop("copy_no", "shuffle_key", *_EXTRA)
-    rates = source_rates(docs, weights, epochs, power).select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rates = source_rates(docs, weights, epochs, power)
     if rates.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES:
         rates = F.broadcast(rates)  # else a hot source is split by the join
-    rated = docs.join(rates, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    counted = rated.withColumn("_copies", poisson(F.col("_rate"), F.lit(seed), doc)).where("_copies > 0").drop("_rate")
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc, F.col("copy_no").cast("string"))))
+    names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    # The row travels as one column, so no name of the input can clash with those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("from"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"))
+    rated = rows.join(rates, F.col("from").eqNullSafe(F.col("source")))
+    counted = rated.select("row", "doc", poisson(F.col("rate"), F.lit(seed), F.col("doc")).alias("copies")).where("copies > 0")
+    copies = counted.select("row", "doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("doc"), F.col("copy_no").cast("string")))
+    keyed = copies.select(*[F.col("row").getField(c).alias(c) for c in names], "copy_no", key.alias("shuffle_key"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
