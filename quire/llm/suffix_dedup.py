@@ -24,7 +24,7 @@ from quire.llm.shared import written
 LENGTH = 100  # bytes of a repeated string
 SLICE = 1 << 18  # bytes of a text scanned at once
 PLACE_BITS = 20  # more than the bytes scanned at once have
-HOT = 20_000  # segments of an anchor above which its windows are dealt by more of their bytes
+HOT = 100_000  # segments of an anchor above which its windows are dealt by more of their bytes
 FINE = 4  # window offsets that share a key then
 CHUNK = 1 << 20  # bytes of segments in one index, about
 FIRST = -(1 << 63)  # place of a null doc_id
@@ -282,7 +282,7 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [_bytes(t) for t in batch["text"]]
-            place, variant = batch["place"].to_numpy(np.int64), batch["variant"].to_numpy(np.int64)
+            place, variant = batch["_place"].to_numpy(np.int64), batch["_variant"].to_numpy(np.int64)
             number, start, width, anchor, spot = _scan(texts, length)
             bounds = np.searchsorted(number, np.arange(len(texts) + 1))
             best: dict[tuple[int, bytes], tuple[int, int, int]] = {}
@@ -299,7 +299,7 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
                     best[key, content] = first
                     rest.append((later[0] ^ later[1], *later, len(content)))
 
-            for n, wanted in enumerate(batch["anchors"]):
+            for n, wanted in enumerate(batch["_anchors"]):
                 low, high = bounds[n], bounds[n + 1]
                 if low == high:
                     continue
@@ -320,7 +320,7 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
             yield frame.astype({"key": "int64", "place": "int64", "variant": "int64", "start": "int64", "size": "Int64"})
 
     kinds = "key bigint, place bigint, variant bigint, start bigint, size bigint, content binary"
-    return joined.select("place", "variant", "text", "anchors").mapInPandas(run, kinds)
+    return joined.mapInPandas(run, kinds)
 
 
 def _search(segments: DataFrame, length: int) -> DataFrame:
@@ -356,22 +356,26 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     doc_id or before in the same text. Null doc_ids come before all others. Rows with one doc_id stand at
     the same place: a string at the same start in both is not earlier. Null texts are empty.
     """
-    names = [c for c in docs.columns if c not in ("_place", "_variant", "_spans")]
+    names = [c for c in docs.columns if c not in ("_place", "_variant", "_spans", "_anchors", "_again")]
     base = docs.select(*names).withColumn("_place", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)))
     again = base.groupBy("_place").count().where("count > 1").select("_place")
+    keys = ["_place"]
     if again.limit(1).count():
         # Texts that share a doc_id are told apart by a hash; without such rows nothing is joined.
+        keys.append("_variant")
         hashed = F.when(F.col("_again"), F.xxhash64("text")).otherwise(F.lit(0))
         base = base.join(again.withColumn("_again", F.lit(True)), "_place", "left").withColumn("_variant", F.coalesce(hashed, F.lit(0))).drop("_again")
     else:
         base = base.withColumn("_variant", F.lit(0).cast("bigint"))
+    own = [k[1:] for k in keys]
     slim = base.select(F.col("_place").alias("place"), F.col("_variant").alias("variant"), "text")
     repeated = written(_anchors(slim, length).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
-    wanted = _anchors_of_docs(slim, length).join(repeated, "anchor").groupBy("place", "variant").agg(F.collect_list(F.struct("anchor", "n")).alias("anchors"))
-    keys = [F.col("_place") == F.col("place"), F.col("_variant") == F.col("variant")]
-    joined = base.join(wanted, keys).select("place", "variant", "text", "anchors")
-    spans = _search(_cut(joined, length), length).groupBy("place", "variant").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
-    return base.join(spans, keys, "left").select(*names, "_spans")
+    wanted = _anchors_of_docs(slim, length).join(repeated, "anchor").groupBy(*own).agg(F.collect_list(F.struct("anchor", "n")).alias("_anchors"))
+    named = lambda df, value: df.select(*[F.col(k[1:]).alias(k) for k in keys], value)
+    # Both joins with `base` read the same columns, so its texts are shuffled once and the exchange is reused.
+    joined = base.join(named(wanted, "_anchors"), keys).select(*names, "_place", "_variant", "_anchors")
+    spans = _search(_cut(joined, length), length).groupBy(*own).agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    return base.join(named(spans, "_spans"), keys, "left").select(*names, "_spans")
 
 
 def _merged(spans: object) -> list[tuple[int, int]]:
