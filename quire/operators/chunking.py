@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.bind import let
 from quire.operators.scan import BLOCK_COL, carry
 from quire.session import settle
 
@@ -20,67 +18,67 @@ SIZE = 400
 OVERLAP = 60
 
 
-def _tokens(text: str) -> int:
-    return -(-len(text) // 4)
+_PIECES = "array<struct<text: string, open: boolean>>"
+_HELD = "array<struct<text: string, at: bigint>>"
 
 
-def _cut(text: str, separator: str, size: int) -> list[str]:
-    """Pieces that still carry their separator, or fixed windows when there is none."""
-    if separator:
-        *head, last = text.split(separator)
-        return [piece + separator for piece in head] + [last]
-    step = 4 * size
-    return [text[at : at + step] for at in range(0, len(text), step)]
+def _pieces(text: Column, separator: str, size: int) -> Column:
+    """Pieces of a text that keep their separator; without one, windows of `size` tokens."""
+    if not separator:
+        return T.hard_split(text, size)
+    cut = F.split(text, "\\Q" + separator + "\\E", -1)
+    return let(cut, lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, F.concat(x, F.lit(separator))).otherwise(x)))
 
 
-def _pack(pieces: Iterator[str], size: int, overlap: int) -> Iterator[str]:
-    """Join small pieces up to `size`, repeating at most `overlap` tokens from one chunk to the next."""
-    held: deque[tuple[str, int]] = deque()
-    weight = 0
-    for piece in pieces:
-        need = _tokens(piece)
-        if held and weight + need > size:
-            yield "".join(p for p, _ in held).strip()
-            while held and (weight > overlap or weight + need > size):
-                weight -= held.popleft()[1]
-        held.append((piece, need))
-        weight += need
-    if held:
-        yield "".join(p for p, _ in held).strip()
+def _merged(pieces: Column, size: int, overlap: int) -> Column:
+    """Chunks from pieces in order: pieces that fit are gathered up to `size` tokens, and of a full chunk
+    the longest tail within `overlap` tokens that leaves room begins the next; larger pieces stay open.
 
+    Held pieces remember the running total at which they begin, so the tail is a filter over them.
+    """
+    flushed = lambda s: F.when(
+        F.size(s["held"]) > 0,
+        F.concat(s["out"], F.array(F.struct(T.strip(F.array_join(F.transform(s["held"], lambda h: h["text"]), "")).alias("text"), F.lit(False).alias("open")))),
+    ).otherwise(s["out"])
+
+    def state(out: Column, held: Column, total: Column) -> Column:
+        return F.struct(out.cast(_PIECES).alias("out"), held.cast(_HELD).alias("held"), total.cast("bigint").alias("total"))
+
+    def add(s: Column, piece: Column, need: Column) -> Column:
+        own = F.array(F.struct(piece.alias("text"), s["total"].alias("at")))
+        weight = s["total"] - F.coalesce(F.try_element_at(s["held"], F.lit(1))["at"], s["total"])
+        room = F.least(F.lit(overlap).cast("bigint"), size - need)
+        tail = F.filter(s["held"], lambda h: s["total"] - h["at"] <= room)
+        return (
+            F.when(need > size, state(F.concat(flushed(s), F.array(F.struct(piece.alias("text"), F.lit(True).alias("open")))), F.array(), s["total"]))
+            .when(weight + need > size, state(flushed(s), F.concat(tail, own), s["total"] + need))
+            .otherwise(state(s["out"], F.concat(s["held"], own), s["total"] + need))
+        )
+
+    start = state(F.array(), F.array(), F.lit(0))
+    return F.aggregate(pieces, start, lambda s, p: add(s, p, T.count_tokens(p)), flushed)
 
-def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of one text; only what is too large is cut by the next finer separator."""
 
-    def walk(part: str, finer: tuple[str, ...]) -> Iterator[str]:
-        if _tokens(part) <= size or not finer:
-            yield part
-            return
-        at = next(i for i, s in enumerate(finer) if s in part)
-        pieces = _cut(part, finer[at], size)
-        for too_large, run in groupby(pieces, key=lambda p: _tokens(p) > size):
-            if too_large:
-                for piece in run:
-                    yield from walk(piece, finer[at + 1 :])
-            else:
-                yield from _pack(run, size, overlap)
+def _opener(separator: str, size: int, overlap: int) -> Callable[[Column], Column]:
+    """Cuts the open pieces of an array that hold the separator, and leaves the others as they are."""
 
-    return [chunk for chunk in walk(text.strip(), SEPARATORS) if chunk.strip()]
+    def opened(p: Column) -> Column:
+        cut = p["open"] & F.contains(p["text"], F.lit(separator))
+        return F.when(cut, _merged(_pieces(p["text"], separator, size), size, overlap)).otherwise(F.array(p))
+
+    return lambda w: F.when(F.exists(w, lambda p: p["open"]), F.flatten(F.transform(w, opened))).otherwise(w)
 
 
 def chunk_text(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Array of chunks. Short text needs no splitting and never reaches Python."""
+    """Array of chunks, in Spark expressions. Separators are tried from coarse to fine; at each, only the
+    pieces that are still too large are cut. Short text passes as it is."""
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the chunk size")
-
-    @F.pandas_udf("array<string>")
-    def split_long(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap), na_action="ignore")
-
-    whole = T.strip(c)
-    short = T.count_tokens(whole) <= size
-    few = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array(whole))
-    return F.when(short, few).otherwise(split_long(F.when(~short, c)))
+    whole = F.array(F.struct(T.strip(c).alias("text"), (T.count_tokens(T.strip(c)) > size).alias("open"))).cast(_PIECES)
+    for separator in SEPARATORS:
+        whole = let(whole, _opener(separator, size, overlap))
+    texts = let(whole, lambda w: F.filter(F.transform(w, lambda p: p["text"]), lambda t: T.strip(t) != ""))
+    return F.when(c.isNotNull(), texts)
 
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -130,14 +130,14 @@ def extract_abstract(pages: DataFrame, limit: int = T.MAX_ABSTRACT) -> DataFrame
     return front.select("paper_id", F.left(T.squeeze(body), F.lit(limit)).alias("abstract"))
 
 
-def full_text(pages: DataFrame, pages_per_part: int = 1024, joiner: str = "\n\n") -> DataFrame:
-    """Text of a paper in page order, in parts of bounded size.
+def full_text(pages: DataFrame, joiner: str = "\n\n") -> DataFrame:
+    """Text of a paper in page order, one row per paper. Admission bounds a paper's size."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    return pages.groupBy("paper_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), joiner).alias("text"))
 
-    Papers of up to `pages_per_part` pages have exactly one part; joining the parts of a longer one
-    by `joiner` gives its whole text.
-    """
+
+def full_text_parts(pages: DataFrame, pages_per_part: int = 1024, joiner: str = "\n\n") -> DataFrame:
+    """The same in parts of bounded size; joining a paper's parts by `joiner` gives its whole text."""
     cut = pages.withColumn("part", F.floor((F.col("page") - 1) / pages_per_part).cast("bigint"))
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    return cut.groupBy("paper_id", "part").agg(
-        F.array_join(F.transform(ordered, lambda p: p["text"]), joiner).alias("text")
-    )
+    return cut.groupBy("paper_id", "part").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), joiner).alias("text"))

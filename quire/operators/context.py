@@ -17,29 +17,40 @@ BLOCK_JOINER = "\n\n---\n\n"
 PAPER_JOINER = "\n\n===\n\n"
 # Which tables an audit wants first.
 TABLE_HINTS = "(?iu)hyper|parameter|setting|config|training|learning|batch|optimi|result|ablation|dataset|statistic|split"
+NO_CHUNKS = "no indexed chunks: "
 NO_TABLES = "No structured tables were extracted from this paper."
-# A block is at least its header, so fewer blocks than budget / 4 tokens can ever fit.
-_LEAST_COST = 4
+# Fewest tokens of a block with its header: "[1]  | page  | x\n" has 17 characters, "[p. | x]\n" has 9.
+_HEADED_COST = 5
+_EVIDENCE_COST = 3
 
 
-def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block, budget: str, most: int) -> DataFrame:
+def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, budget: int | str, least: int) -> DataFrame:
     """Blocks in order up to the first that would exceed the budget; the first always stays.
 
-    Costs are positive, so the kept blocks are a prefix of bounded length and ranks beyond it are
-    pruned before any window sees a whole group.
+    `least` is a lower bound of a block's cost. With a constant budget no more than budget / least
+    blocks can be kept, so ranks beyond are pruned before any window sees a whole group; a budget that
+    comes as a column bounds each group by its own value.
     """
-    limit = max(1, most // _LEAST_COST)
-    ranked = first_rows(df, keys, order, limit, "ordinal")
-    ranked = ranked.withColumn("block", block)
-    ranked = ranked.withColumn("cost", count_tokens(F.col("block")))
+    if isinstance(budget, int):
+        ranked = first_rows(df, keys, order, max(1, budget // least), "ordinal")
+        most = F.lit(budget)
+    else:
+        most = F.col(budget)
+        ranked = df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        ranked = ranked.filter((F.col("ordinal") == 1) | (F.col("ordinal") * least <= most))
+    ranked = ranked.withColumn("block", block).withColumn("cost", count_tokens(F.col("block")))
     running = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranked.withColumn("total", F.sum("cost").over(running))
-        .filter((F.col("ordinal") == 1) | (F.col("total") <= F.col(budget)))
+        .filter((F.col("ordinal") == 1) | (F.col("total") <= most))
         .withColumn("ordinal", F.col("ordinal").cast("bigint"))
     )
 
 
+def _known(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
 def source_header(ordinal: Column, kind: Column, table_index: Column, name: Column, page: Column, section: Column) -> Column:
     named = F.when(section != "", section)
     table = F.concat(F.lit("] TABLE "), F.coalesce(table_index.cast("string"), F.lit("None")), F.lit(" | "))
@@ -54,16 +65,15 @@ def source_header(ordinal: Column, kind: Column, table_index: Column, name: Colu
 def pack_prefix(hits: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int | str = BUDGET) -> DataFrame:
     """Numbered blocks with source headers that fit the budget: adds ordinal, block, cost, total.
 
-    `budget` is a number or the name of a column that is constant in each group and at most BUDGET.
+    `budget` is a number or the name of a column that is constant in each group. Null parts of a hit
+    are empty in its block.
     """
     have = set(hits.columns)
     kind = F.coalesce("kind", F.lit("text")) if "kind" in have else F.lit("text")
     index = F.col("table_index") if "table_index" in have else F.lit(None).cast("bigint")
-    header = source_header(F.col("ordinal"), kind, index, F.col("paper_name"), F.col("page"), F.col("section"))
-    block = F.concat(header, F.lit("\n"), strip(F.col("text")))
-    if isinstance(budget, str):
-        return _prefix(hits, keys, order, block, budget, BUDGET)
-    return _prefix(hits.withColumn("_budget", F.lit(budget)), keys, order, block, "_budget", budget).drop("_budget")
+    header = source_header(F.col("ordinal"), kind, index, _known("paper_name"), _known("page"), _known("section"))
+    block = F.concat(header, F.lit("\n"), strip(_known("text")))
+    return _prefix(hits, keys, order, block, budget, _HEADED_COST)
 
 
 def render_context(packed: DataFrame, keys: Sequence[str], joiner: str = BLOCK_JOINER) -> DataFrame:
@@ -81,9 +91,10 @@ def pack_greedy(items: DataFrame, keys: Sequence[str], order: Sequence[Column],
     Among blocks of equal cost the kept ones come first, and at most budget / cost of them fit. Only
     those can matter, so a group of any size shrinks to a bounded list before it is folded.
     """
-    costed = items.withColumn("block", block).withColumn("cost", count_tokens(F.col("block"))).filter(F.col("cost") <= budget)
-    ranked = first_rows(costed, [*keys, "cost"], order, budget, "_same")
-    ranked = ranked.filter((F.col("cost") == 0) | (F.col("_same") * F.col("cost") <= budget))
+    costed = items.withColumn("block", F.coalesce(block, F.lit(""))).withColumn("cost", count_tokens(F.col("block"))).filter(F.col("cost") <= budget)
+    free = costed.filter(F.col("cost") == 0)  # blocks without cost always fit
+    ranked = first_rows(costed.filter(F.col("cost") > 0), [*keys, "cost"], order, max(1, budget), "_same")
+    ranked = ranked.filter(F.col("_same") * F.col("cost") <= budget).drop("_same")
     at = Window.partitionBy(*keys).orderBy(*order)
     ranked = ranked.withColumn("_at", F.row_number().over(at))
     queue = F.array_sort(F.collect_list(F.struct("_at", "cost")))
@@ -96,12 +107,9 @@ def pack_greedy(items: DataFrame, keys: Sequence[str], order: Sequence[Column],
         ).otherwise(acc)
 
     chosen = ranked.groupBy(*keys).agg(F.aggregate(queue, start, step)["kept"].alias("_kept"))
-    chosen = chosen.select(*keys, F.posexplode("_kept").alias("_o", "_at"))
-    return (
-        ranked.join(chosen, [*keys, "_at"])
-        .withColumn("ordinal", (F.col("_o") + 1).cast("bigint"))
-        .drop("_at", "_o", "_same")
-    )
+    chosen = chosen.select(*keys, F.explode("_kept").alias("_at"))
+    kept = ranked.join(chosen, [*keys, "_at"]).drop("_at").unionByName(free)
+    return kept.withColumn("ordinal", F.row_number().over(at).cast("bigint"))
 
 
 def table_priority(tables: DataFrame) -> Column:
@@ -114,30 +122,34 @@ def rank_tables(tables: DataFrame) -> DataFrame:
     return tables.withColumn("priority", table_priority(tables).cast("bigint"))
 
 
-def select_tables(tables: DataFrame, budget: int = AUDIT_BUDGET // 3) -> DataFrame:
-    """Tables block of an audit prompt: wanted tables first, skipping what does not fit."""
+def select_tables(tables: DataFrame, budget: int = AUDIT_BUDGET // 3, papers: DataFrame | None = None) -> DataFrame:
+    """Tables block of an audit prompt: wanted tables first, skipping what does not fit.
+
+    One row for every paper of `papers`, by default of `tables`; one without a fitting table says so.
+    """
     head = F.concat(
         F.lit("[Table "), F.col("table_index").cast("string"), F.lit(" | page "), F.col("page").cast("string"), F.lit("] "),
         F.col("caption"), F.lit("\n"), F.col("markdown"),
     )
     packed = pack_greedy(rank_tables(tables), ["paper_id"], [F.col("priority"), F.col("table_index")], head, budget)
-    return render_context(packed, ["paper_id"], "\n\n").select("paper_id", F.col("context").alias("tables_block"))
+    made = render_context(packed, ["paper_id"], "\n\n")
+    every = (tables if papers is None else papers).select("paper_id").distinct()
+    return every.join(made, "paper_id", "left").select("paper_id", F.coalesce("context", F.lit(NO_TABLES)).alias("tables_block"))
 
 
 def gather_evidence(chunks: DataFrame, queries: DataFrame, budgets: DataFrame | int = AUDIT_BUDGET, per_query: int = 3) -> DataFrame:
     """Best chunks per paper for each audit question, each once, in reading order, within the budget.
 
-    `budgets` is a number or a frame (paper_id, budget) with values up to AUDIT_BUDGET.
+    `budgets` is a number or a frame (paper_id, budget); papers it leaves out get AUDIT_BUDGET.
     """
     hits = knn(chunks, queries, per_query, per_paper=True, payload=("page", "section", "text"))
     once = hits.dropDuplicates(["paper_id", "chunk_index"]).drop("query_id", "rank", "score")
     if isinstance(budgets, DataFrame):
         once = once.join(budgets.select("paper_id", F.col("budget").alias("_budget")), "paper_id", "left").fillna(AUDIT_BUDGET, ["_budget"])
-    else:
-        once = once.withColumn("_budget", F.lit(budgets))
     section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("Unknown"))
-    block = F.concat(F.lit("[p."), F.col("page").cast("string"), F.lit(" | "), section, F.lit("]\n"), strip(F.col("text")))
-    return _prefix(once, ["paper_id"], [F.col("chunk_index")], block, "_budget", AUDIT_BUDGET).drop("_budget")
+    block = F.concat(F.lit("[p."), _known("page"), F.lit(" | "), section, F.lit("]\n"), strip(_known("text")))
+    limit = "_budget" if isinstance(budgets, DataFrame) else budgets
+    return _prefix(once, ["paper_id"], [F.col("chunk_index")], block, limit, _EVIDENCE_COST).drop("_budget")
 
 
 def sample_evenly(chunks: DataFrame, count: int = 12) -> DataFrame:
@@ -164,15 +176,24 @@ def _asked(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", share.alias("budget"), F.posexplode("paper_ids").alias("_pos", "paper_id"))
 
 
-def _by_request(packed: DataFrame, heading: bool) -> DataFrame:
+def _by_request(requests: DataFrame, asked: DataFrame, chunks: DataFrame, packed: DataFrame, heading: bool) -> DataFrame:
+    """One row per request: its context, or the reason why there is none.
+
+    A request that names a paper without chunks is not answered in part; it says which are missing.
+    """
     parts = render_context(packed, ["request_id", "_pos"])
     if heading:
         parts = parts.withColumn("context", F.concat(F.lit("## "), "title", F.lit("\n\n"), "context"))
     ordered = F.array_sort(F.collect_list(F.struct("_pos", "context", "title")))
     text = F.array_join(F.transform(ordered, lambda p: p["context"]), PAPER_JOINER)
     titles = F.array_join(F.transform(ordered, lambda p: p["title"]), "; ")
-    out = parts.groupBy("request_id").agg(text.alias("context"), titles.alias("titles"), F.sum("n_used").alias("n_used"))
-    return out if heading else out.drop("titles")
+    made = parts.groupBy("request_id").agg(text.alias("context"), titles.alias("titles"), F.sum("n_used").alias("n_used"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col("paper_id").cast("string").alias("id")))), lambda m: m["id"])
+    absent = asked.join(chunks.select("paper_id").distinct(), "paper_id", "left_anti").groupBy("request_id")
+    absent = absent.agg(F.concat(F.lit(NO_CHUNKS), F.array_join(names, ", ")).alias("reason"))
+    out = requests.select("request_id").distinct().join(made, "request_id", "left").join(absent, "request_id", "left")
+    given = lambda c, none: F.when(F.col("reason").isNull(), F.coalesce(c, F.lit(none))).alias(c)
+    return out.select("request_id", given("context", ""), *([given("titles", "")] if heading else []), given("n_used", 0), "reason")
 
 
 def coverage_context(requests: DataFrame, chunks: DataFrame, count: int = 12) -> DataFrame:
@@ -180,7 +201,8 @@ def coverage_context(requests: DataFrame, chunks: DataFrame, count: int = 12) ->
     asked = _asked(requests)
     wanted = chunks.drop("embedding").join(asked.select("paper_id").distinct(), "paper_id", "left_semi")
     rows = asked.join(sample_evenly(wanted, count), "paper_id")
-    return _by_request(pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget"), heading=False)
+    packed = pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget")
+    return _by_request(requests, asked, chunks, packed, heading=False)
 
 
 def _openers_and_hits(chunks: DataFrame, queries: DataFrame, openers: int, k: int) -> DataFrame:
@@ -193,7 +215,8 @@ def focused_context(requests: DataFrame, chunks: DataFrame, query: DataFrame, k:
     asked = _asked(requests)
     wanted = chunks.join(asked.select("paper_id").distinct(), "paper_id", "left_semi")
     rows = asked.join(_openers_and_hits(wanted, query, 1, k), "paper_id")
-    return _by_request(pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget"), heading=True)
+    packed = pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget")
+    return _by_request(requests, asked, chunks, packed, heading=True)
 
 
 def summary_context(chunks: DataFrame, styles: DataFrame, k: int = 10) -> DataFrame:

@@ -26,9 +26,14 @@ STUDY_EVENTS = ("quiz", "flashcards")
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], newest: Sequence[Column] | None = None) -> DataFrame:
-    """Rows of `updates` replace rows with the same key. `newest` orders several updates of one key."""
+    """Rows of `updates` replace rows with the same key; the result has one row per updated key.
+
+    `newest` orders several updates of one key, first wins; without it the largest row by value wins.
+    """
     keys = list(keys)
-    fresh = latest(updates, keys, newest) if newest else updates
+    others = [c for c in updates.columns if c not in keys]
+    order = newest or [F.desc(F.struct(*others))] if others else [F.lit(1)]
+    fresh = latest(updates, keys, order)
     return target.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(fresh.select(*target.columns))
 
 
@@ -62,20 +67,35 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def update_by_key(target: DataFrame, changes: DataFrame, key: str = "paper_id", limits: Mapping[str, int] | None = None) -> DataFrame:
-    """Overwrite the changed columns of matching rows; null means no change. One change per key."""
+def update_by_key(
+    target: DataFrame, changes: DataFrame, key: str = "paper_id", limits: Mapping[str, int] | None = None, newest: Column | None = None
+) -> DataFrame:
+    """Overwrite columns of matching rows; a target row stays one row however many changes it gets.
+
+    A column `changed` (array of names) says which columns a change sets, null included; without it a
+    change sets its columns that are not null. Several changes of one key apply by ascending `newest`,
+    column by column; without it, and among equals, the larger value is the later one.
+    """
     limits = limits or {}
-    fields = [c for c in changes.columns if c != key]
-    new = changes.select(key, *[(F.left(c, F.lit(limits[c])) if c in limits else F.col(c)).alias(f"_new_{c}") for c in fields])
+    fields = [c for c in changes.columns if c not in (key, "changed")]
+    sets = lambda c: F.array_contains("changed", c) if "changed" in changes.columns else F.col(c).isNotNull()
+    value = lambda c: F.left(c, F.lit(limits[c])) if c in limits else F.col(c)
+    at = lambda c: F.struct((F.lit(0) if newest is None else newest).alias("at"), F.col(c).alias("by"))
+    # A change is a struct around the value, so that setting null differs from not setting.
+    new = changes.groupBy(key).agg(*[F.max_by(F.struct(value(c).alias("v")), F.when(sets(c), at(c))).alias(f"_new_{c}") for c in fields])
     joined = target.join(new, key, "left")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in target.columns])
+    fresh = lambda c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.v")).otherwise(F.col(c)).alias(c)
+    return joined.select(*[fresh(c) if c in fields else F.col(c) for c in target.columns])
 
 
 def apply_index_outcome(papers: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """outcomes(paper_id, ok, error, title, page_count, chunk_count): completed with the new facts, or failed with the error."""
-    o = outcomes.select("paper_id", *[F.col(c).alias(f"_{c}") for c in ("ok", "error", "title", "page_count", "chunk_count")])
+    """outcomes(paper_id, ok, error, title, page_count, chunk_count[, authors, abstract]): completed with the
+    new facts, or failed with the error. Of several outcomes of a paper a failure counts, else the largest row."""
+    facts = [c for c in ("page_count", "chunk_count", "authors", "abstract") if c in outcomes.columns and c in papers.columns]
+    one = latest(outcomes, ["paper_id"], [F.asc("ok"), F.desc(F.struct(*[c for c in outcomes.columns if c not in ("paper_id", "ok")]))])
+    o = one.select("paper_id", *[F.col(c).alias(f"_{c}") for c in ("ok", "error", "title", *facts)])
     joined = papers.join(o, "paper_id", "left")
-    fresh = {c: F.when(F.col("_ok"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("page_count", "chunk_count")}
+    fresh = {c: F.when(F.col("_ok"), F.col(f"_{c}")).otherwise(F.col(c)) for c in facts}
     fresh["title"] = F.when(F.col("_ok"), F.left("_title", F.lit(MAX_TITLE))).otherwise(F.col("title"))
     fresh["status"] = F.when(F.col("_ok"), "completed").when(~F.col("_ok"), "failed").otherwise(F.col("status"))
     fresh["error_message"] = F.when(F.col("_ok"), None).when(~F.col("_ok"), F.left("_error", F.lit(MAX_ERROR))).otherwise(F.col("error_message"))

@@ -74,13 +74,15 @@ def _best(
     """
     rows, cols, scores = [], [], []
     row_norm, query_norm = _norms(vectors), _norms(matrix)
+    names, coded = np.unique(papers, return_inverse=True) if any(a is not None for a in allowed) else ((), None)
+    code_of = {name: at for at, name in enumerate(names)}
     for first in range(0, len(matrix), _SLICE):
         rough = (vectors @ matrix[first : first + _SLICE].T) / row_norm[:, None] / query_norm[None, first : first + _SLICE]
         for q in range(first, first + rough.shape[1]):
             near = rough[:, q - first]
             pool = np.arange(len(near))
             if allowed[q] is not None:
-                pool = pool[np.fromiter((p in allowed[q] for p in papers), bool, len(papers))]
+                pool = pool[np.isin(coded, [code_of[p] for p in allowed[q] if p in code_of])]
             if not len(pool):
                 continue
             group = np.zeros(len(pool), int) if groups is None else groups[pool]
@@ -124,10 +126,11 @@ def knn(
     `papers` restricts all queries, a `paper_ids` array restricts its own query (null or empty: no
     restriction). `per_paper` ranks within each paper. A `min_score` of 0 means no threshold. Ties
     break by `keys`. `payload` columns come along; name few, or join them to the hits later. Chunks
-    with an index below `openers` are returned for every query, whatever their rank.
+    with an index below `openers` are returned for every query; their rank is null where it is above k.
+    Rows without a vector take no part. The queries are read to the driver when the plan is made.
     """
     keys, payload = list(keys), list(payload)
-    source = paper_filter(chunks, papers).select(*keys, *payload, F.col("embedding").cast("array<double>").alias("embedding"))
+    source = paper_filter(chunks, papers).filter(F.col("embedding").isNotNull()).select(*keys, *payload, F.col("embedding").cast("array<double>").alias("embedding"))
     query_type = queries.schema["query_id"].dataType
     id_type = to_arrow_type(query_type)
     own_papers = "paper_ids" in queries.columns
@@ -169,10 +172,13 @@ def knn(
     hits = reduce(DataFrame.unionByName, passes)
     group = ["query_id", keys[0]] if per_paper else ["query_id"]
     order = [F.desc("score"), *[F.col(c) for c in keys]]
+    best = first_rows(hits, group, order, k)
     if not openers:
-        return first_rows(hits, group, order, k)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return ranked.filter((F.col("rank") <= k) | (F.col(keys[1]) < openers))
+        return best
+    # Openers are few per group and are ranked by counting; the others keep the pruned ranking.
+    first = hits.filter(F.col(keys[1]) < openers)
+    rest = first.join(best.select("query_id", *keys), ["query_id", *keys], "left_anti")
+    return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
 
 def attach(hits: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -226,7 +232,7 @@ def order_hits(hits: DataFrame, table_mode: bool = False) -> DataFrame:
     """One list per question: text before tables, or tables before text in table mode."""
     first = F.col("kind") == F.lit("table" if table_mode else "text")
     order = [F.when(first, 0).otherwise(1), F.col("rank"), F.col("paper_id"), F.col("chunk_index")]
-    return first_rows(hits, ["query_id"], order, 1000, "position")
+    return hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, tables: DataFrame, table_mode: bool = False, **options) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.scores import link_state
-from quire.operators.scan import first_rows
 
 # Signal patterns (JVM dialect, Unicode-aware), hosts of repositories, limits.
 FLAGS = "(?iuU)"
@@ -32,47 +31,25 @@ MAX_URLS = 8
 MAX_ACCELERATORS = 6
 MAX_LINK_CHECKS = 3
 
-# A paper's text is scanned in parts of this many chunks; part borders are scanned with this many on each side.
-PART = 1024
-EDGE = 8
 
 
-def _joined(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
-
+def joined_texts(texts: DataFrame) -> DataFrame:
+    """One row per paper: its texts(paper_id, seq, text) in order, joined by line breaks.
 
-def _parts(texts: DataFrame, part: int) -> DataFrame:
-    return _joined(texts.withColumn("_part", F.floor(F.col("seq") / part)), ["paper_id", "_part"])
+    Patterns may run over any number of white-space characters and so over any border, so they are
+    matched on the whole text. Admission bounds a paper's size, and so the size of such a row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return texts.groupBy("paper_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
 
 
-def _borders(texts: DataFrame, part: int, edge: int) -> DataFrame:
-    """Text left and right of every border between two parts."""
-    at = F.pmod(F.col("seq"), F.lit(part))
-    border = F.when(at >= part - edge, F.floor(F.col("seq") / part) + 1).when(
-        (at < edge) & (F.col("seq") >= part), F.floor(F.col("seq") / part)
-    )
-    rows = texts.withColumn("_border", border).filter(F.col("_border").isNotNull())
-    side = F.when(F.floor(F.col("seq") / part) < F.col("_border"), "left").otherwise("right")
-    sides = _joined(rows.withColumn("_side", side), ["paper_id", "_border", "_side"])
-    pick = lambda s: F.max(F.when(F.col("_side") == s, F.col("text"))).alias(s)
-    return sides.groupBy("paper_id", "_border").agg(pick("left"), pick("right")).filter("left is not null and right is not null")
+def _counts(patterns: Mapping[str, str]) -> list[Column]:
+    return [F.regexp_count("text", F.lit(FLAGS + p)).cast("bigint").alias(n) for n, p in patterns.items()]
 
 
-def signal_counts(texts: DataFrame, patterns: Mapping[str, str] = SIGNALS, part: int = PART, edge: int = EDGE) -> DataFrame:
-    """Number of matches of each pattern in a paper's texts joined by line breaks, one column each.
-
-    texts(paper_id, seq, text). A paper of any size is cut into bounded parts; matches that reach
-    over a part border are counted from the texts around it.
-    """
-    count = lambda c, p: F.regexp_count(c, F.lit(FLAGS + p)).cast("bigint")
-    within = _parts(texts, part).select("paper_id", *[count(F.col("text"), p).alias(n) for n, p in patterns.items()])
-    both = F.concat_ws("\n", "left", "right")
-    across = _borders(texts, part, edge).select(
-        "paper_id",
-        *[(count(both, p) - count(F.col("left"), p) - count(F.col("right"), p)).alias(n) for n, p in patterns.items()],
-    )
-    return within.unionByName(across).groupBy("paper_id").agg(*[F.sum(n).alias(n) for n in patterns])
+def signal_counts(texts: DataFrame, patterns: Mapping[str, str] = SIGNALS) -> DataFrame:
+    """Number of matches of each pattern in a paper's texts joined by line breaks, one column each."""
+    return joined_texts(texts).select("paper_id", *_counts(patterns))
 
 
 def urls_in(text: Column, hosts: Sequence[str] = REPO_HOSTS) -> Column:
@@ -82,27 +59,30 @@ def urls_in(text: Column, hosts: Sequence[str] = REPO_HOSTS) -> Column:
     return F.filter(found, named)
 
 
+def _first_urls(hosts: Sequence[str], limit: int) -> Column:
+    return F.slice(F.array_distinct(urls_in(F.col("text"), hosts)), 1, limit)
+
+
+def _first_names(pattern: str, generic: Sequence[str], limit: int) -> Column:
+    names = F.transform(F.regexp_extract_all("text", F.lit(FLAGS + pattern), 0), lambda m: F.replace(F.upper(m), F.lit(" "), F.lit("")))
+    return F.slice(F.array_sort(F.array_except(names, F.array(*map(F.lit, generic)))), 1, limit)
+
+
+def _numbered(df: DataFrame, values: Column, name: str) -> DataFrame:
+    rows = df.select("paper_id", F.posexplode(values).alias("_at", name))
+    return rows.select("paper_id", (F.col("_at") + 1).cast("bigint").alias("ord"), name)
+
+
 def repo_urls(texts: DataFrame, hosts: Sequence[str] = REPO_HOSTS, limit: int = MAX_URLS) -> DataFrame:
     """First distinct repository addresses of each paper, in the order they are met."""
-    met = texts.select("paper_id", "seq", F.posexplode(urls_in(F.col("text"), hosts)).alias("pos", "url"))
-    once = met.groupBy("paper_id", "url").agg(F.min(F.struct("seq", "pos")).alias("at"))
-    ranked = first_rows(once, ["paper_id"], [F.col("at"), F.col("url")], limit, "ord")
-    return ranked.select("paper_id", F.col("ord").cast("bigint").alias("ord"), "url")
+    return _numbered(joined_texts(texts), _first_urls(hosts, limit), "url")
 
 
 def accelerators(
-    texts: DataFrame, pattern: str = SIGNALS["accelerator"], generic: Sequence[str] = GENERIC_ACCELERATORS,
-    limit: int = MAX_ACCELERATORS, part: int = PART, edge: int = EDGE,
+    texts: DataFrame, pattern: str = SIGNALS["accelerator"], generic: Sequence[str] = GENERIC_ACCELERATORS, limit: int = MAX_ACCELERATORS
 ) -> DataFrame:
     """First distinct accelerator names of each paper in alphabetical order."""
-    names = lambda c: F.transform(
-        F.regexp_extract_all(c, F.lit(FLAGS + pattern), 0), lambda m: F.replace(F.upper(m), F.lit(" "), F.lit(""))
-    )
-    within = _parts(texts, part).select("paper_id", F.explode(F.array_distinct(names(F.col("text")))).alias("name"))
-    around = F.concat_ws("\n", "left", "right")
-    across = _borders(texts, part, edge).select("paper_id", F.explode(F.array_distinct(names(around))).alias("name"))
-    once = within.unionByName(across).filter(~F.col("name").isin(*generic)).distinct()
-    return first_rows(once, ["paper_id"], [F.col("name")], limit, "ord").withColumn("ord", F.col("ord").cast("bigint"))
+    return _numbered(joined_texts(texts), _first_names(pattern, generic, limit), "name")
 
 
 def as_texts(chunks: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -119,16 +99,12 @@ def as_texts(chunks: DataFrame, tables: DataFrame | None = None) -> DataFrame:
 
 
 def scan_signals(texts: DataFrame, patterns: Mapping[str, str] = SIGNALS) -> DataFrame:
-    """Counts, repository addresses and accelerator names, one row per paper."""
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda r: r[c])
-    urls = repo_urls(texts).groupBy("paper_id").agg(in_order("url").alias("repo_urls"))
-    names = accelerators(texts).groupBy("paper_id").agg(in_order("name").alias("accelerator_names"))
-    none = F.array().cast("array<string>")
-    return (
-        signal_counts(texts, patterns)
-        .join(urls, "paper_id", "left")
-        .join(names, "paper_id", "left")
-        .withColumns({c: F.coalesce(c, none) for c in ("repo_urls", "accelerator_names")})
+    """Counts, repository addresses and accelerator names, one row per paper, from one pass over the texts."""
+    return joined_texts(texts).select(
+        "paper_id",
+        *_counts(patterns),
+        _first_urls(REPO_HOSTS, MAX_URLS).alias("repo_urls"),
+        _first_names(SIGNALS["accelerator"], GENERIC_ACCELERATORS, MAX_ACCELERATORS).alias("accelerator_names"),
     )
 
 

@@ -63,7 +63,7 @@ def rank_tables(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {TABLES_SQL}, b AS (SELECT *, {PRIORITY_SQL} AS p, concat('[Table ', table_index, ' | page ', page, '] ', caption, chr(10), markdown) AS block FROM tb),
 l AS (SELECT paper_id, list({{'b': block, 'c': CAST(ceil(length(block) / 4.0) AS BIGINT)}} ORDER BY p, table_index) AS items FROM b GROUP BY 1),
 f AS (SELECT paper_id, list_reduce(items, lambda a, x: CASE WHEN a.t + x.c <= 1666 THEN {{'t': a.t + x.c, 'k': list_append(a.k, x.b)}} ELSE a END, {{'t': CAST(0 AS BIGINT), 'k': CAST([] AS VARCHAR[])}}) AS s FROM l)
-SELECT paper_id, array_to_string(s.k, chr(10) || chr(10)) AS tables_block FROM f""",
+SELECT paper_id, coalesce(nullif(array_to_string(s.k, chr(10) || chr(10)), ''), '{C.NO_TABLES}') AS tables_block FROM f""",
 )
 def select_tables(spark: SparkSession, d: str) -> DataFrame:
     return C.select_tables(hinted_tables(spark, d))
@@ -122,10 +122,10 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels", "doc_id").selectExpr("doc_id AS request_id", "array(doc_id, doc_id * 2 + 1, doc_id + 7) AS paper_ids")
+    return table(spark, d, "labels", "doc_id").selectExpr("doc_id AS request_id", "array(doc_id, doc_id div 2, doc_id + 7) AS paper_ids")
 
 
-REQUESTS_SQL = """rq AS (SELECT doc_id AS request_id, unnest([doc_id, doc_id * 2 + 1, doc_id + 7]) AS paper_id, unnest([1, 2, 3]) AS pos FROM labels)"""
+REQUESTS_SQL = """rq AS (SELECT doc_id AS request_id, unnest([doc_id, doc_id // 2, doc_id + 7]) AS paper_id, unnest([1, 2, 3]) AS pos FROM labels)"""
 
 
 def _pack_sql(source: str, keys: str, budget: int) -> str:
@@ -136,6 +136,8 @@ kept AS (SELECT * FROM cs WHERE rn = 1 OR total <= {budget}),
 ctx AS (SELECT {keys}, any_value(paper_name) AS title, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn) AS context, count(*) AS n_used FROM kept GROUP BY {keys})"""
 
 
+MISSING_SQL = f"""every AS (SELECT DISTINCT request_id FROM rq),
+miss AS (SELECT request_id, '{C.NO_CHUNKS}' || string_agg(CAST(paper_id AS VARCHAR), ', ' ORDER BY pos) AS reason FROM rq WHERE paper_id NOT IN (SELECT paper_id FROM chunks) GROUP BY 1)"""
 JOIN_PAPERS = "chr(10) || chr(10) || '===' || chr(10) || chr(10)"
 
 
@@ -143,8 +145,9 @@ JOIN_PAPERS = "chr(10) || chr(10) || '===' || chr(10) || chr(10)"
     "e7_coverage_context",
     f"""WITH {doc_chunks_sql(2)}, {REQUESTS_SQL}, n AS (SELECT paper_id, count(*) AS n FROM chunks GROUP BY 1),
 smp AS (SELECT c.* FROM chunks c JOIN n USING (paper_id) WHERE n <= 12 OR list_contains(list_transform(generate_series(0, 11), lambda i: CAST(floor(i * (n / 12.0::DOUBLE)) AS BIGINT)), chunk_index)),
-src AS (SELECT rq.request_id, rq.pos, smp.* FROM rq JOIN smp USING (paper_id)), {_pack_sql("src", "request_id, pos", 2000)}
-SELECT request_id, string_agg(context, {JOIN_PAPERS} ORDER BY pos) AS context, CAST(sum(n_used) AS BIGINT) AS n_used FROM ctx GROUP BY 1""",
+src AS (SELECT rq.request_id, rq.pos, smp.* FROM rq JOIN smp USING (paper_id)), {_pack_sql("src", "request_id, pos", 2000)}, {MISSING_SQL},
+made AS (SELECT request_id, string_agg(context, {JOIN_PAPERS} ORDER BY pos) AS context, CAST(sum(n_used) AS BIGINT) AS n_used FROM ctx GROUP BY 1)
+SELECT request_id, CASE WHEN reason IS NULL THEN context END AS context, CASE WHEN reason IS NULL THEN n_used END AS n_used, reason FROM every LEFT JOIN made USING (request_id) LEFT JOIN miss USING (request_id)""",
 )
 def coverage_context(spark: SparkSession, d: str) -> DataFrame:
     return C.coverage_context(requests(spark, d), doc_chunks(spark, d, 2))
@@ -155,8 +158,10 @@ def coverage_context(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {doc_chunks_sql(5)}, {REQUESTS_SQL}, {_queries_sql({"compare": prompts.COMPARE_QUERY})}, {_best_sql(6)},
 u AS (SELECT DISTINCT paper_id, chunk_index, paper_name, page, section, text FROM (SELECT paper_id, chunk_index, paper_name, page, section, text FROM best
   UNION ALL SELECT paper_id, chunk_index, paper_name, page, section, text FROM chunks WHERE chunk_index < 1)),
-src AS (SELECT rq.request_id, rq.pos, u.* FROM rq JOIN u USING (paper_id)), {_pack_sql("src", "request_id, pos", 2000)}
-SELECT request_id, string_agg('## ' || title || chr(10) || chr(10) || context, {JOIN_PAPERS} ORDER BY pos) AS context, string_agg(title, '; ' ORDER BY pos) AS titles, CAST(sum(n_used) AS BIGINT) AS n_used FROM ctx GROUP BY 1""",
+src AS (SELECT rq.request_id, rq.pos, u.* FROM rq JOIN u USING (paper_id)), {_pack_sql("src", "request_id, pos", 2000)}, {MISSING_SQL},
+made AS (SELECT request_id, string_agg('## ' || title || chr(10) || chr(10) || context, {JOIN_PAPERS} ORDER BY pos) AS context, string_agg(title, '; ' ORDER BY pos) AS titles, CAST(sum(n_used) AS BIGINT) AS n_used FROM ctx GROUP BY 1)
+SELECT request_id, CASE WHEN reason IS NULL THEN context END AS context, CASE WHEN reason IS NULL THEN titles END AS titles, CASE WHEN reason IS NULL THEN n_used END AS n_used, reason
+FROM every LEFT JOIN made USING (request_id) LEFT JOIN miss USING (request_id)""",
 )
 def focused_context(spark: SparkSession, d: str) -> DataFrame:
     return C.focused_context(requests(spark, d), doc_chunks(spark, d, 5), _queries(spark, {"compare": prompts.COMPARE_QUERY}))
@@ -228,17 +233,18 @@ HITS = {"mail": r"[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]+", "licence": "licen[cs]e|copy
 )
 def signal_counts(spark: SparkSession, d: str) -> DataFrame:
     texts = doc_pages(spark, d, 5).select("paper_id", (F.col("page") - 1).alias("seq"), "text")
-    return signals.signal_counts(texts, HITS, part=4, edge=1)
+    return signals.signal_counts(texts, HITS)
 
 
 WORD = r"(?:^|[^A-Za-z0-9_])"
 DEFAULTS_SQL = f"""ev AS ({EVIDENCE_SQL}), t AS (SELECT paper_id, string_agg(text, chr(10) ORDER BY seq) AS text FROM ev GROUP BY 1)"""
-COUNTS_SQL = """SELECT paper_id, len(regexp_extract_all(text, 'random seed')) AS seed,
-  len(regexp_extract_all(text, '(A100|RTX 3090|V100|TPU v4|h100|GPUs|GPU-)')) AS accelerator, len(regexp_extract_all(text, 'GPU-hours')) AS gpu_hours,
-  len(regexp_extract_all(text, '±')) AS variance, len(regexp_extract_all(text, 'averaged over 5 runs')) AS multiple_runs, len(regexp_extract_all(text, 'p < 0.05')) AS significance,
-  len(regexp_extract_all(text, 'Code will be made available')) AS code_promise, len(regexp_extract_all(text, 'code is available')) AS code_available,
-  len(regexp_extract_all(text, '(PyTorch 2|CUDA 12)')) AS environment, 2 * len(regexp_extract_all(text, 'Dedup removed overlap with')) AS contamination,
-  2 * len(regexp_extract_all(text, 'CO2 emissions')) AS carbon"""
+PHRASES = {
+    "seed": "seed [0-9]", "accelerator": "(H100|RTX 4090|P100|TPU v3|l40s)", "gpu_hours": "days on end", "variance": "(std|±)",
+    "multiple_runs": "mean of 4 trials", "significance": "p = 0.02", "code_promise": "(data would be|models will be)",
+    "code_available": "Weights are released", "environment": "(JAX|docker image)", "contamination": "(Contaminated|leaked)",
+    "carbon": "(Energy consumption|kWh)",
+}
+COUNTS_SQL = "SELECT paper_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in PHRASES.items())
 
 
 @query("f1_default_signals", f"WITH {DEFAULTS_SQL} {COUNTS_SQL} FROM t")
@@ -246,9 +252,9 @@ def default_signals(spark: SparkSession, d: str) -> DataFrame:
     return signals.signal_counts(evidence(spark, d))
 
 
-URLS_SQL = f"""ev AS ({EVIDENCE_SQL}), u AS (SELECT paper_id, min(seq) AS seq, rtrim(regexp_extract(text, 'https?://github[^ ]*'), '.') AS url FROM ev GROUP BY paper_id, url),
+URLS_SQL = f"""ev AS ({EVIDENCE_SQL}), u AS (SELECT paper_id, min(seq) AS seq, rtrim(regexp_extract(text, 'https?://gitlab[^ ]*'), '.') AS url FROM ev GROUP BY paper_id, url),
 urls AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY seq) AS ord, url FROM u QUALIFY ord <= 8)"""
-NAMES_SQL = """n AS (SELECT DISTINCT paper_id, upper(replace(regexp_extract(text, '8 NVIDIA (.*) GPUs', 1), ' ', '')) AS name FROM ev),
+NAMES_SQL = """n AS (SELECT DISTINCT paper_id, upper(replace(regexp_extract(text, 'on two (.*) boards', 1), ' ', '')) AS name FROM ev),
 names AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY name) AS ord, name FROM n QUALIFY ord <= 6)"""
 
 
@@ -274,7 +280,7 @@ def accelerators(spark: SparkSession, d: str) -> DataFrame:
     return signals.accelerators(evidence(spark, d)).select("paper_id", "ord", "name")
 
 
-STATUS = {"url": "concat('https://github.com/org', l_partkey % 7, '/repo', l_suppkey % 3)", "status": "200 + l_partkey % 7 * 3 + (l_suppkey % 3) * 101"}
+STATUS = {"url": "concat('https://gitlab.com/yard', l_partkey % 7, '/dock', l_suppkey % 3)", "status": "200 + l_partkey % 7 * 3 + (l_suppkey % 3) * 101"}
 STATUS_SQL = "st AS (SELECT url, max(status) AS code FROM (SELECT " + ", ".join(f"{e} AS {n}" for n, e in STATUS.items()) + " FROM lineitem) GROUP BY 1)"
 LIVE_SQL = "CASE WHEN code < 400 THEN true WHEN code < 500 AND code NOT IN (401, 403, 407, 408, 429) THEN false END"
 LINKS_SQL = f"""{URLS_SQL}, {STATUS_SQL}, links AS (SELECT paper_id, ord, urls.url, {LIVE_SQL} AS live, coalesce(CAST(code AS VARCHAR), 'not checked') AS status FROM urls LEFT JOIN st ON st.url = urls.url WHERE ord <= 3)"""

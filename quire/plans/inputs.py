@@ -100,11 +100,11 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
 EVIDENCE = {
     "paper_id": "o_custkey",
     "seq": "o_orderkey",
-    "text": """concat('Our code is available at https://github.com/org', o_orderkey % 7, '/repo', o_orderkey % 3, '. We train on 8 NVIDIA ',
-      CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'A100' WHEN '2' THEN 'RTX 3090' WHEN '3' THEN 'V100' WHEN '4' THEN 'TPU v4' ELSE 'h100' END,
-      ' GPUs for ', o_orderkey % 40, ' GPU-hours with random seed ', o_custkey, ', averaged over 5 runs (86.1 ± 0.3, p < 0.05). ',
-      CASE o_orderstatus WHEN 'F' THEN 'Dedup removed overlap with the test set. See http://example.org/x.' WHEN 'O' THEN 'Code will be made available upon publication.'
-        ELSE 'We report CO2 emissions and use PyTorch 2 on CUDA 12.' END)""",
+    "text": """concat('Weights are released, see https://gitlab.com/yard', o_orderkey % 7, '/dock', o_orderkey % 3, '. Ran on two ',
+      CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'H100' WHEN '2' THEN 'RTX 4090' WHEN '3' THEN 'P100' WHEN '4' THEN 'TPU v3' ELSE 'l40s' END,
+      ' boards, ', o_orderkey % 40, ' days on end, seed ', o_custkey, '; mean of 4 trials, std. 0.7 ± 0.1, p = 0.02. ',
+      CASE o_orderstatus WHEN 'F' THEN 'Contaminated rows leaked twice. Log: http://example.org/x.' WHEN 'O' THEN 'The data would be open-sourced, models will be released.'
+        ELSE 'Energy consumption in kWh; JAX in a docker image.' END)""",
 }
 EVIDENCE_SQL = _sql(EVIDENCE, "orders")
 

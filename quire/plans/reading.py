@@ -146,7 +146,42 @@ def count_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
 
 
-@query("b9_chunk_pages")
+def chunks_sql(size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> str:
+    """Tables c1..c5 cut the pieces of `pages` that are too large by one separator each; `ch` has the chunks.
+
+    A fold keeps the open chunk as a list of pieces; a full one is closed, and of its pieces the longest
+    tail that is small enough opens the next.
+    """
+    tokens = "((length({}) + 3) // 4)".format
+    strip = ("trim({}, '" + T.SPACES + "')").format
+    closed = f"list_append(a.o, {{'t': {strip('array_to_string(a.h, chr(0))')}, 'big': false}})".replace("chr(0)", "''")
+    total = f"coalesce(list_sum(list_transform({{}}, lambda y: {tokens('y')})), 0)".format
+    room = f"least({overlap}, {size} - {tokens('x')})"
+    first = f"list_filter(range(1, len(a.h) + 2), lambda j: {total('a.h[j:]')} <= {room})[1]"
+    kinds = "STRUCT(t VARCHAR, big BOOLEAN)[]"
+    step = f"""CASE WHEN {tokens('x')} > {size} THEN {{'o': list_append(CASE WHEN len(a.h) > 0 THEN {closed} ELSE a.o END, {{'t': x, 'big': true}}), 'h': CAST([] AS VARCHAR[])}}
+      WHEN len(a.h) > 0 AND {total('a.h')} + {tokens('x')} > {size} THEN {{'o': {closed}, 'h': list_append(a.h[{first}:], x)}}
+      ELSE {{'o': a.o, 'h': list_append(a.h, x)}} END"""
+    out = [f"c0 AS (SELECT paper_id, page, [{{'t': {strip('text')}, 'big': {tokens(strip('text'))} > {size}}}] AS ps FROM pages)"]
+    for n, separator in enumerate(chunking.SEPARATORS):
+        sep = "'" + separator + "'"
+        cut = (
+            f"list_transform(string_split(p.t, {sep}), lambda y, i: CASE WHEN i < len(string_split(p.t, {sep})) THEN y || {sep} ELSE y END)"
+            if separator
+            else f"list_transform(range(0, length(p.t), {4 * size}), lambda i: substr(p.t, i + 1, {4 * size}))"
+        )
+        fold = f"list_reduce({cut}, lambda a, x: {step}, {{'o': CAST([] AS {kinds}), 'h': CAST([] AS VARCHAR[])}})"
+        rows = f"SELECT paper_id, page, p, i FROM (SELECT paper_id, page, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM c{n})"
+        made = f"SELECT *, CASE WHEN p.big AND contains(p.t, {sep}) THEN {fold} END AS a FROM ({rows})"
+        pieces = f"CASE WHEN a IS NULL THEN [p] WHEN len(a.h) > 0 THEN {closed} ELSE a.o END"
+        out.append(f"c{n + 1} AS (SELECT paper_id, page, flatten(list({pieces} ORDER BY i)) AS ps FROM ({made}) GROUP BY 1, 2)")
+    last = len(chunking.SEPARATORS)
+    out.append(f"""ch AS (SELECT paper_id, page, CAST(i - 1 AS INTEGER) AS pos, cs[i] AS text FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM
+  (SELECT paper_id, page, list_filter(list_transform(ps, lambda p: p.t), lambda t: {strip('t')} <> '') AS cs FROM c{last})))""")
+    return ",\n".join(out)
+
+
+@query("b9_chunk_pages", f"WITH {doc_pages_sql(20)}, {chunks_sql()} SELECT * FROM ch")
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     chunked = chunking.chunk_pages(doc_pages(spark, d, 20))
     return chunked.select("paper_id", "page", F.posexplode("chunks").alias("pos", "text"))
@@ -177,7 +212,21 @@ def label_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.label_chunks(lines)
 
 
-@query("b10_chunk_papers")
+@query(
+    "b10_chunk_papers",
+    f"""WITH {doc_pages_sql(20)}, {chunks_sql()},
+lines AS (SELECT paper_id, page, pos, i, {heading_sql("line")} AS heading FROM
+  (SELECT paper_id, page, pos, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM ch)),
+heads AS (SELECT paper_id, page, pos, first(heading ORDER BY i) AS head, last(heading ORDER BY i) AS tail FROM lines WHERE heading IS NOT NULL GROUP BY 1, 2, 3),
+page_lines AS (SELECT paper_id, page, i, {heading_sql("line")} AS heading FROM
+  (SELECT paper_id, page, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM pages)),
+page_heads AS (SELECT paper_id, page, last(heading ORDER BY i) AS tail FROM page_lines WHERE heading IS NOT NULL GROUP BY 1, 2),
+starts AS (SELECT paper_id, page, last_value(tail IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start
+  FROM pages LEFT JOIN page_heads USING (paper_id, page))
+SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, pos) - 1 AS chunk_index, page, regexp_replace(text, '\n{{2,}}', chr(10) || chr(10), 'g') AS text,
+  coalesce(head, last_value(tail IGNORE NULLS) OVER (PARTITION BY paper_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start, 'Front Matter') AS section
+FROM ch LEFT JOIN heads USING (paper_id, page, pos) JOIN starts USING (paper_id, page)""",
+)
 def chunk_papers(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_papers(doc_pages(spark, d, 20))
 
@@ -240,7 +289,7 @@ def extract_abstract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "b13_full_text",
-    f"WITH {doc_pages_sql(20)} SELECT paper_id, CAST(0 AS BIGINT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM pages GROUP BY 1",
+    f"WITH {doc_pages_sql(20)} SELECT paper_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM pages GROUP BY 1",
 )
 def full_text(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.full_text(doc_pages(spark, d, 20))

@@ -6,56 +6,65 @@ from quire.operators import chunking, cleaning, scan
 
 SCHEMA = "paper_id string, page int, text string"
 PAGES = [
-    "Abstract\nWe study retrieval augmented generation for research papers.\n1 Introduction\nLarge language models hallucinate.",
-    "2 Method\nThe transformer encoder uses self-attention.\n" + "Detail sentence about the method. " * 60,
-    "3 Results\nOur system improves answer accuracy by 12 percent.\n4 Conclusion\nGrounded generation helps.",
+    "Abstract\nTide tables of eleven harbours were digitised.\n1 Introduction\nHarbour masters kept ledgers by hand.",
+    "2 Ledgers\nEach row names a quay, an hour and a depth.\n" + "A clerk copied the row twice. " * 70,
+    "3 Findings\nDepths agree within two inches.\n4 Outlook\nOlder ledgers await copying.",
 ]
 
 
 def paper(spark):
-    raw = [("p", i + 1, f"Journal of Test Papers\n{body}\n{i + 1}") for i, body in enumerate(PAGES)]
+    raw = [("p", i + 1, f"Annals of Harbour Ledgers\n{body}\n{i + 1}") for i, body in enumerate(PAGES)]
     return cleaning.clean_pages(spark.createDataFrame(raw, SCHEMA))
 
 
 def test_header_sections_abstract_and_full_text(spark):
     pages = paper(spark)
-    assert not pages.filter(F.contains("text", F.lit("Journal of Test"))).count()
+    assert not pages.filter(F.contains("text", F.lit("Annals of"))).count()
     sections = {r["page"]: r["section"] for r in cleaning.assign_sections(pages).collect()}
-    assert sections == {1: "Front Matter", 2: "Introduction", 3: "Method"}
-    assert cleaning.extract_abstract(pages).first()["abstract"].startswith("We study retrieval")
-    parts = cleaning.full_text(pages, pages_per_part=2).orderBy("part").collect()
-    assert [p["part"] for p in parts] == [0, 1]
-    assert "\n\n".join(p["text"] for p in parts) == "\n\n".join(r["text"] for r in pages.orderBy("page").collect())
+    assert sections == {1: "Front Matter", 2: "Introduction", 3: "Ledgers"}
+    assert cleaning.extract_abstract(pages).first()["abstract"] == "Tide tables of eleven harbours were digitised."
+    whole = cleaning.full_text(pages).collect()
+    assert len(whole) == 1 and whole[0]["text"] == "\n\n".join(r["text"] for r in pages.orderBy("page").collect())
+    parts = cleaning.full_text_parts(pages, pages_per_part=2).orderBy("part").collect()
+    assert [p["part"] for p in parts] == [0, 1] and "\n\n".join(p["text"] for p in parts) == whole[0]["text"]
+
+
+def test_full_text_of_many_pages_is_one_row(spark):
+    pages = spark.range(1, 3001).select(F.lit("p").alias("paper_id"), F.col("id").cast("int").alias("page"), F.concat(F.lit("t"), "id").alias("text"))
+    assert [r["text"] for r in cleaning.full_text(pages).collect()] == ["\n\n".join(f"t{i}" for i in range(1, 3001))]
 
 
 def test_chunks_keep_page_and_section(spark):
     chunks = chunking.chunk_papers(paper(spark), 120, 20).orderBy("chunk_index").collect()
     assert [c["chunk_index"] for c in chunks] == list(range(len(chunks)))
-    assert {c["page"] for c in chunks} == {1, 2, 3}
-    assert any(c["section"] == "Conclusion" or c["section"] == "Results" for c in chunks)
+    assert [c["page"] for c in chunks] == sorted(c["page"] for c in chunks) and {c["page"] for c in chunks} == {1, 2, 3}
+    assert [c["section"] for c in chunks if c["page"] == 3] == ["Findings"]
+    assert {c["section"] for c in chunks if c["page"] == 2} == {"Ledgers"}
 
 
-def test_split_text_size_overlap_and_no_loss():
-    text = "\n\n".join(f"Paragraph {i}. " + "word " * 40 for i in range(6))
-    chunks = chunking.split_text(text, 50, 10)
-    assert len(chunks) > 3 and all(-(-len(c) // 4) <= 50 for c in chunks)
-    small = chunking.split_text("One. Two. Three. Four. Five. Six. " * 20, 50, 10)
-    assert any(a.split()[-1] in b for a, b in zip(small, small[1:]))
-    rng = random.Random(1)
-    for _ in range(50):
-        t = "".join(rng.choice(["ab", " ", ". ", "\n", "\n\n", "x" * 90]) for _ in range(200))
-        got = chunking.split_text(t, 20, 5)
-        assert all(0 < -(-len(c) // 4) <= 20 for c in got)
-        assert set(t.split()) - set("x") and "".join("".join(got).split()).count("x") >= t.count("x")
+def chunks_of(spark, texts, size, overlap):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r["c"] for r in df.orderBy("i").select(chunking.chunk_text(F.col("t"), size, overlap).alias("c")).collect()]
 
 
-def test_split_text_worked_by_hand():
-    # Sizes in tokens: "one " 1, "two " 1, "three " 2, "four" 1.
-    assert chunking.split_text("one two three four", 2, 1) == ["one two", "three", "four"]
-    assert chunking.split_text("one two three four", 3, 1) == ["one two", "two three", "four"]
-    # The paragraph that fits stays whole and never overlaps into the oversized one.
-    assert chunking.split_text("short\n\n" + "x" * 20, 2, 1) == ["short", "x" * 8, "x" * 8, "x" * 4]
-    assert chunking.split_text("  \n ", 2, 1) == []
+def test_chunks_hold_their_size_and_lose_nothing(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["ab", " ", ". ", "\n", "\n\n", "x" * 90]) for _ in range(200)) for _ in range(50)]
+    for text, got in zip(texts, chunks_of(spark, texts, 20, 5)):
+        assert all(0 < -(-len(c) // 4) <= 20 for c in got)
+        assert "".join("".join(got).split()).count("x") >= text.count("x")
+        at = 0
+        for c in chunks_of(spark, [text], 20, 0)[0]:  # without overlap, the chunks in order are the text
+            at = text.index(c, at) + len(c)
+
+
+def test_chunks_worked_by_hand(spark):
+    # Sizes in tokens: "red " 1, "blue " 2, "violet " 2, "tan" 1.
+    assert chunks_of(spark, ["red blue violet tan"], 3, 1) == [["red blue", "violet tan"]]
+    assert chunks_of(spark, ["red blue violet tan"], 2, 1) == [["red", "blue", "violet", "tan"]]
+    assert chunks_of(spark, ["red red blue tan"], 3, 1) == [["red red", "red blue", "tan"]]
+    # A paragraph that fits stays whole and gives nothing to the oversized one after it.
+    assert chunks_of(spark, ["note\n\n" + "z" * 20, " \n\t", None], 2, 1) == [["note", "z" * 8, "z" * 8, "z" * 4], [], None]
 
 
 def brute_carry(rows):

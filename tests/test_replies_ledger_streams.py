@@ -80,3 +80,24 @@ def test_event_stream_out_of_order(spark, tmp_path):
     source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     E.assemble_stream(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("x", "Streamed answer [1]", 3)]
+
+
+def test_one_row_per_key_whatever_the_changes(spark):
+    target = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "paper_id string, n int, note string")
+    twice = spark.createDataFrame([("a", 5, "p"), ("a", 7, "q"), ("c", 1, None)], target.schema)
+    assert sorted(map(tuple, L.upsert(target, twice, ["paper_id"]).collect())) == [("a", 7, "q"), ("b", 2, "y"), ("c", 1, None)]
+    changes = spark.createDataFrame([("a", 3, None, 1), ("a", None, "new", 2), ("a", 4, None, 3)], "paper_id string, n int, note string, at int")
+    got = L.update_by_key(target, changes.drop("at").withColumn("note", F.col("note")), newest=None)
+    assert sorted(map(tuple, got.collect())) == [("a", 4, "new"), ("b", 2, "y")]
+    nulls = spark.createDataFrame([("a", None, None, ["note"]), ("b", 9, "gone", ["n"])], "paper_id string, n int, note string, changed array<string>")
+    assert sorted(map(tuple, L.update_by_key(target, nulls).collect())) == [("a", 1, None), ("b", 9, "y")]
+
+
+def test_outcomes_of_one_paper_leave_one_row(spark):
+    papers = spark.createDataFrame([("a", "t", "indexing", None, 0, 0, None, None)], "paper_id string, title string, status string, error_message string, page_count int, chunk_count int, authors string, abstract string")
+    fields = "paper_id string, ok boolean, error string, title string, page_count int, chunk_count int, authors string, abstract string"
+    good = ("a", True, None, "T", 3, 9, "Ann, Bo", "Short.")
+    row = L.apply_index_outcome(papers, spark.createDataFrame([good, good], fields)).collect()
+    assert [tuple(r) for r in row] == [("a", "T", "completed", None, 3, 9, "Ann, Bo", "Short.")]
+    mixed = L.apply_index_outcome(papers, spark.createDataFrame([good, ("a", False, "broken", None, None, None, None, None)], fields)).collect()
+    assert [(r["status"], r["error_message"]) for r in mixed] == [("failed", "broken")]

@@ -10,7 +10,7 @@ from quire.operators import context as C, embedding as E, search
 
 
 def test_hash_embed(spark):
-    texts = ["Self-attention transformer tokens", "", "the the THE cat", "é ab"]
+    texts = ["Lamp oil, rope and lamp glass", "", "the the THE cat", "é ab"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", E.hash_embed(F.col("t")).alias("v"))
     for r in df.collect():
         want = [0.0] * 256
@@ -55,18 +55,18 @@ def test_knn_equals_brute_force_with_copies_filters_and_many_passes(spark):
 
 
 def test_needs_tables(one):
-    assert one(search.needs_tables, "What accuracy does the model reach on MNLI?", "Compare the baselines", "What is the main idea of the paper?", "In 2 steps") == [True, True, False, True]
+    assert one(search.needs_tables, "Which accuracy has the gauge?", "Compare both quays", "Who built the lighthouse?", "Over 3 winters") == [True, True, False, True]
 
 
 HITS = "query_id int, position int, kind string, table_index bigint, paper_name string, page int, section string, text string"
 
 
 def test_pack_prefix_budget_and_headers(spark):
-    hits = spark.createDataFrame([(1, i, "text", None, "P", i, "S", "x" * 400) for i in range(10)] + [(2, 0, "table", 3, "P", 4, "Table 3: Ablation", "| a | b |")], HITS)
+    hits = spark.createDataFrame([(1, i, "text", None, "P", i, "S", "x" * 400) for i in range(10)] + [(2, 0, "table", 3, "P", 4, "Table 3: Depths", "| a | b |")], HITS)
     packed = C.pack_prefix(hits, ["query_id"], [F.col("position")], 250)
     made = {r["query_id"]: r for r in C.render_context(packed, ["query_id"]).collect()}
     assert made[1]["n_used"] == 2 and made[1]["context"].startswith("[1] P | page 0 | S")
-    assert made[2]["context"].startswith("[1] TABLE 3 | P | page 4 | Table 3: Ablation")
+    assert made[2]["context"].startswith("[1] TABLE 3 | P | page 4 | Table 3: Depths")
     big = C.pack_prefix(hits, ["query_id"], [F.col("position")], 10)
     assert big.filter("query_id = 1").count() == 1
 
@@ -98,3 +98,59 @@ def test_no_evidence_is_split_off(spark):
     asked = spark.createDataFrame([(1,), (2,)], "query_id int")
     yes, no = C.split_answerable(asked, spark.createDataFrame([(1,), (1,)], "query_id int"))
     assert [r[0] for r in yes.collect()] == [1] and [r[0] for r in no.collect()] == [2]
+
+
+def test_hits_of_a_question_are_never_cut(spark):
+    hits = spark.range(1500).select(
+        F.lit(1).alias("query_id"), F.when(F.col("id") % 2 == 0, "text").otherwise("table").alias("kind"),
+        (F.col("id") + 1).cast("int").alias("rank"), F.lit("p").alias("paper_id"), F.col("id").alias("chunk_index"),
+    )
+    got = [(r["kind"], r["rank"]) for r in search.order_hits(hits).orderBy("position").collect()]
+    want = sorted(((("text", "table")[i % 2], i + 1) for i in range(1500)), key=lambda x: (x[0] == "table", x[1]))
+    assert got == want
+
+
+def test_blocks_without_cost_all_stay(spark):
+    rows = [("a", i, "" if i % 4 else "w" * 40) for i in range(400)]
+    got = C.pack_greedy(spark.createDataFrame(rows, "k string, o int, t string"), ["k"], [F.col("o")], F.col("t"), 100)
+    kept = [r["o"] for r in got.orderBy("ordinal").collect()]
+    assert kept == [i for i in range(400) if i % 4 or i < 40]
+
+
+def test_a_budget_column_bounds_each_group_by_its_own_value(spark):
+    rows = [(q, i, "P", i % 9, "S", "t", 100_000 if q == 1 else 50) for q in (1, 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "query_id int, position int, paper_name string, page int, section string, text string, budget bigint")
+    got = {r["query_id"]: r["n"] for r in C.pack_prefix(df, ["query_id"], [F.col("position")], "budget").groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    costs = [-(-len(f"[{i + 1}] P | page {i % 9} | S\nt") // 4) for i in range(3000)]
+    want = {1: 3000, 2: sum(1 for i in range(3000) if sum(costs[: i + 1]) <= 50)}
+    assert got == want
+
+
+def test_null_parts_of_a_hit_are_empty(spark):
+    row = C.pack_prefix(spark.createDataFrame([(1, 0, None, None, None, None)], "query_id int, position int, paper_name string, page int, section string, text string"), ["query_id"], [F.col("position")]).first()
+    assert row["block"] == "[1]  | page  | Unknown section\n" and row["cost"] == 8
+
+
+def test_requests_say_which_papers_are_missing(spark):
+    chunks = spark.createDataFrame([("a", 0, "A", 1, "S", "one", [1.0]), ("b", 0, "B", 2, "S", "two", [0.5])], "paper_id string, chunk_index bigint, paper_name string, page int, section string, text string, embedding array<double>")
+    asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "zz"]), (3, ["zz", "y"]), (4, [])], "request_id int, paper_ids array<string>")
+    ask = spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<double>")
+    for frame in (C.coverage_context(asked, chunks), C.focused_context(asked, chunks, ask)):
+        got = {r["request_id"]: r for r in frame.collect()}
+        assert [got[i]["reason"] for i in (1, 2, 3, 4)] == [None, "no indexed chunks: zz", "no indexed chunks: zz, y", None]
+        assert "one" in got[1]["context"] and "two" in got[1]["context"] and got[1]["n_used"] == 2
+        assert [got[i]["context"] for i in (2, 3, 4)] == [None, None, ""]
+
+
+def test_papers_whose_tables_do_not_fit_say_so(spark):
+    rows = [("a", 1, 1, "Small", ["h"], "| x |"), ("b", 1, 1, "Large", ["h"], "y" * 9000)]
+    tables = spark.createDataFrame(rows, "paper_id string, table_index bigint, page int, caption string, headers array<string>, markdown string")
+    papers = spark.createDataFrame([("a",), ("b",), ("c",)], "paper_id string")
+    got = {r["paper_id"]: r["tables_block"] for r in C.select_tables(tables, papers=papers).collect()}
+    assert got == {"a": "[Table 1 | page 1] Small\n| x |", "b": C.NO_TABLES, "c": C.NO_TABLES}
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    chunks = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, None)], "paper_id string, chunk_index bigint, embedding array<double>")
+    ask = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, embedding array<double>")
+    assert [r["chunk_index"] for r in search.knn(chunks, ask, 5).collect()] == [0]
