@@ -62,6 +62,21 @@ def activity_of_questions(qa: DataFrame) -> DataFrame:
     )
 
 
+def activity_of_outcomes(outcomes: DataFrame) -> DataFrame:
+    """Activity rows of papers that were indexed: title, chunks, and tables if there are any.
+
+    outcomes(paper_id, ok, title, chunk_count, table_count, created_at)
+    """
+    tables = F.when(F.col("table_count") > 0, F.concat(F.lit(", "), F.col("table_count").cast("string"), F.lit(" tables"))).otherwise("")
+    said = F.concat(F.lit("Indexed "), F.left("title", F.lit(80)), F.lit(" ("), F.col("chunk_count").cast("string"), F.lit(" chunks"), tables, F.lit(")"))
+    return outcomes.filter("ok").select(F.lit("indexed").alias("event_type"), said.alias("description"), "paper_id", "created_at")
+
+
+def activity_of_uploads(files: DataFrame) -> DataFrame:
+    """Activity rows of uploaded files(paper_id, file_name, created_at)."""
+    return files.select(F.lit("upload").alias("event_type"), F.concat(F.lit("Uploaded "), "file_name").alias("description"), "paper_id", "created_at")
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Add rows to a log table."""
     rows.write.mode("append").parquet(path)

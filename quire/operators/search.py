@@ -1,7 +1,7 @@
 """Exact cosine top-k, routing, hit shaping, citations.
 
 Scoring runs inside the tasks that read the vectors: each Arrow batch is multiplied with the matrix
-of query vectors and only the best k rows per query leave the batch. No pair of a query and a chunk
+of query vectors and only the best k rows per query leave a task. No pair of a query and a chunk
 ever becomes a row, and the query matrix is broadcast only up to a fixed number of queries; a larger
 set of queries is served in several passes over the vectors.
 """
@@ -146,8 +146,19 @@ def knn(
         allowed = [set(r["paper_ids"]) if own_papers and r["paper_ids"] else None for r in piece]
         shared = source.sparkSession.sparkContext.broadcast(([r["query_id"] for r in piece], matrix, allowed))
 
+        def shrink(held: pa.Table) -> pa.Table:
+            """The best k rows of each query, and the forced ones, of what a task has seen so far."""
+            query = held.column("_q").to_numpy()
+            ties = [held.column(c).to_numpy() for c in keys]
+            order = np.lexsort([*reversed(ties), -held.column("score").to_numpy(), query])
+            starts = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
+            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+            forced = ties[1][order] < openers if openers else np.zeros(len(order), bool)
+            return held.take(pa.array(order[(place < k) | forced]))
+
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix, allowed = shared.value
+            held, limit = None, 4 * k * len(ids) + 1024
             for batch in batches:
                 if not batch.num_rows or not ids:
                     continue
@@ -162,7 +173,16 @@ def knn(
                 at, query, value = _best(vectors, matrix, ties, groups, allowed, names, k, min_score, forced)
                 out_ids = pa.array(ids, type=id_type).take(pa.array(query))
                 kept = [batch.column(c).take(pa.array(at)) for c in keys + payload]
-                yield pa.RecordBatch.from_arrays([out_ids, *kept, pa.array(value)], names=["query_id", *keys, *payload, "score"])
+                made = pa.RecordBatch.from_arrays([out_ids, *kept, pa.array(value)], names=["query_id", *keys, *payload, "score"])
+                if per_paper:  # papers are many, so their rankings are merged by the shuffle
+                    yield made
+                    continue
+                part = pa.Table.from_batches([made]).append_column("_q", pa.array(query))
+                held = part if held is None else pa.concat_tables([held, part])
+                if held.num_rows > limit:
+                    held = shrink(held)
+            if held is not None and held.num_rows:
+                yield from shrink(held).drop_columns(["_q"]).combine_chunks().to_batches()
 
         return source.mapInArrow(score, schema)
 

@@ -210,6 +210,39 @@ def render_summary_prompt(spark: SparkSession, d: str) -> DataFrame:
     return prompts.render_prompt(rows, "summary", instruction="Summarise.").select("doc_id", "user_prompt")
 
 
+OTHER_PLACES = {
+    "quiz": ("grounded", {"context": "text", "count": "doc_id % 9 + 1", "difficulty": "lang", "kind": "'mcq'", "format_hint": "source"}),
+    "flashcards": ("grounded", {"context": "text", "count": "doc_id % 7 + 3"}),
+    "compare": ("grounded", {"context": "text", "titles": "source"}),
+    "gaps": ("grounded", {"context": "text"}),
+}
+for _kind, (_system, _places) in OTHER_PLACES.items():
+
+    def _render(spark: SparkSession, d: str, kind: str = _kind, system: str = _system, places: dict = _places) -> DataFrame:
+        rows = derive(spark, d, "documents", {"doc_id": "doc_id", **places})
+        return prompts.render_prompt(rows, kind, system).select("doc_id", "user_prompt")
+
+    query(f"e10_render_{_kind}_prompt", _prompt_sql(_kind, _places, "documents"))(_render)
+
+
+@query("e10_render_table_prompt", _prompt_sql("qa", {"context": "text", "question": "lang"}, "documents"))
+def render_table_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about tables: the question template under the table rules."""
+    rows = derive(spark, d, "documents", {"doc_id": "doc_id", "context": "text", "question": "lang"})
+    return prompts.render_prompt(rows, "qa", "table_qa").select("doc_id", "user_prompt")
+
+
+def _brief_sql() -> dict[str, str]:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return {"title": "source", "context": "text", "tables": "lang", "signals": "source", "dimensions": quoted(prompts.dimension_brief()), "recipe_args": quoted(prompts.recipe_arguments())}
+
+
+@query("e10_render_audit_prompt", _prompt_sql("audit", _brief_sql(), "documents"))
+def render_audit_prompt(spark: SparkSession, d: str) -> DataFrame:
+    rows = derive(spark, d, "documents", {"doc_id": "doc_id", "title": "source", "context": "text", "tables": "lang", "signals": "source"})
+    return prompts.render_prompt(rows, "audit", "audit").select("doc_id", "user_prompt")
+
+
 @query(
     "e11_split_answerable",
     """SELECT CAST(o_orderkey AS BIGINT) AS query_id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'prompt'

@@ -11,10 +11,27 @@ from quire.operators.embedding import dim_report
 from quire.plans.inputs import derive, doc_pages, doc_pages_sql
 from quire.plans.registry import query
 from quire.sources import admission
-from quire.sources.pages import table
+from quire.sources.pages import page_counts, read_pages, table
 
 query("a1_read_pages", f"WITH {doc_pages_sql(20)} SELECT paper_id, page, text FROM pages")(lambda spark, d: doc_pages(spark, d, 20))
 
+
+
+@query("a1_read_page_table", f"WITH {doc_pages_sql(20)} SELECT paper_id, page, text FROM pages")
+def read_page_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same pages through a table in the shared folder."""
+    from quire.plans.streams import run_folder
+
+    path = run_folder(spark)
+    doc_pages(spark, d, 20).write.parquet(path)
+    return read_pages(spark, path)
+
+
+@query("a1_page_counts", f"WITH {doc_pages_sql(20)} SELECT paper_id, count(*) AS page_count FROM pages GROUP BY 1")
+def count_pages(spark: SparkSession, d: str) -> DataFrame:
+    return page_counts(doc_pages(spark, d, 20))
+
+
 FILES = {
     "file_name": "concat(p_name, ' ', p_partkey, CASE WHEN p_brand LIKE '%1%' THEN '.PDF' WHEN p_brand LIKE '%2%' THEN '.pdf' ELSE '.docx' END)",
     "size": "CAST(p_size AS BIGINT) * 2097152",

@@ -150,6 +150,34 @@ def index_outcome(spark: SparkSession, d: str) -> DataFrame:
     return L.apply_index_outcome(papers(spark, d), outcome)
 
 
+INDEXED = {"paper_id": "o_orderkey", "ok": "o_orderstatus <> 'P'", "title": "concat('Order of ', o_orderdate, ' ', repeat('x', 80))", "chunk_count": "o_orderkey % 40", "table_count": "o_custkey % 3", "created_at": "o_orderdate"}
+
+
+@query(
+    "a12_indexed_activity",
+    f"""WITH o AS ({select(INDEXED, 'orders')}) SELECT 'indexed' AS event_type, paper_id, created_at,
+  'Indexed ' || left(title, 80) || ' (' || chunk_count || ' chunks' || CASE WHEN table_count > 0 THEN ', ' || table_count || ' tables' ELSE '' END || ')' AS description FROM o WHERE ok""",
+)
+def indexed_activity(spark: SparkSession, d: str) -> DataFrame:
+    return L.activity_of_outcomes(derive(spark, d, "orders", INDEXED))
+
+
+@query("a10_upload_activity", "SELECT 'upload' AS event_type, 'Uploaded ' || p_name || '.pdf' AS description, p_partkey AS paper_id, p_size AS created_at FROM part")
+def upload_activity(spark: SparkSession, d: str) -> DataFrame:
+    return L.activity_of_uploads(derive(spark, d, "part", {"paper_id": "p_partkey", "file_name": "concat(p_name, '.pdf')", "created_at": "p_size"}))
+
+
+@query("a10_appended_rows", "SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0")
+def appended_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A log that is written and added to."""
+    from quire.plans.streams import run_folder
+
+    path, rows = run_folder(spark), table(spark, d, "documents", "doc_id", "source")
+    L.append(rows, path)
+    L.append(rows.filter("doc_id % 2 = 0"), path)
+    return spark.read.parquet(path)
+
+
 @query("a12_stale_audits", f"WITH {FACTS_SQL} SELECT o_orderkey AS paper_id, o_totalprice AS score FROM orders WHERE o_orderkey NOT IN (SELECT paper_id FROM facts WHERE worst = 'O')")
 def stale_audits(spark: SparkSession, d: str) -> DataFrame:
     audits = derive(spark, d, "orders", {"paper_id": "o_orderkey", "score": "o_totalprice"})

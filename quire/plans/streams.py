@@ -16,8 +16,13 @@ from quire.streaming.indexing import Sink, index_pages, index_stream
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A fresh folder for one run: below the shared folder the cluster names, else (in tests) below the warehouse."""
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder for one run, below the shared folder the cluster names. Only a local session, whose
+    tasks all run on one machine, may do without and uses its warehouse folder."""
+    base = spark.conf.get(CHECKPOINT_KEY, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(base, f"quire-{uuid.uuid4().hex}")
 
 

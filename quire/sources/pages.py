@@ -41,6 +41,11 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path).select("paper_id", F.col("page").cast("bigint").alias("page"), "text")
 
 
+def page_counts(pages: DataFrame) -> DataFrame:
+    """Number of pages of each paper."""
+    return pages.groupBy("paper_id").agg(F.count("*").alias("page_count"))
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table of a folder, with only the columns asked for."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
