@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.bind import let
 from quire.functions.text import strip
 
 PAGE = ["paper_id", "page"]
@@ -241,40 +242,83 @@ def infer_columns(rowed: DataFrame, keys: list[str], gap: float = COLUMN_GAP) ->
     return spans.select(*keys, cut.alias("cut")).filter(F.col("cut").isNotNull())
 
 
+def _anchors(words: Column, tolerance: float) -> Column:
+    """Baselines of the rows of words sorted by top."""
+    start = F.array().cast("array<double>")
+    joins = lambda anchors, w: F.coalesce(w["top"] - F.try_element_at(anchors, F.lit(-1)) <= tolerance, F.lit(False))
+    return F.aggregate(words, start, lambda anchors, w: F.when(joins(anchors, w), anchors).otherwise(F.concat(anchors, F.array(w["top"]))))
+
+
+def _cuts(spans: Column, gap: float) -> Column:
+    """Middles of the bands at least `gap` wide that no span (x0, x1) of a sorted array crosses."""
+    start = F.struct(F.lit(None).cast("double").alias("reach"), F.array().cast("array<double>").alias("cuts"))
+
+    def step(s: Column, span: Column) -> Column:
+        wide = F.coalesce(span["x0"] - s["reach"] >= gap, F.lit(False))
+        cuts = F.when(wide, F.concat(s["cuts"], F.array((span["x0"] + s["reach"]) / 2))).otherwise(s["cuts"])
+        return F.struct(F.greatest(s["reach"], span["x1"]).alias("reach"), cuts.alias("cuts"))
+
+    return F.aggregate(spans, start, step, lambda s: s["cuts"])
+
+
+def _cells(placed: Column) -> Column:
+    """Map of place to text from words(place, x0, top, text) sorted by place and then from left to right."""
+    pair = "struct<place:bigint,text:string>"
+    start = F.struct(F.lit(None).cast(pair).alias("open"), F.array().cast(f"array<{pair}>").alias("done"))
+
+    def step(s: Column, w: Column) -> Column:
+        same = F.coalesce(s["open"]["place"] == w["place"], F.lit(False))
+        longer = F.struct(w["place"].alias("place"), F.concat_ws(" ", s["open"]["text"], w["text"]).alias("text"))
+        fresh = F.struct(w["place"].alias("place"), w["text"].alias("text"))
+        done = F.when(same | s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+        return F.struct(F.when(same, longer).otherwise(fresh).cast(pair).alias("open"), done.alias("done"))
+
+    return F.map_from_entries(F.aggregate(placed, start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))))
+
+
+def _grids(words: DataFrame, keys: list[str], tolerance: float, gap: float) -> DataFrame:
+    """Grid of each region as `_g`: n_rows, n_cols, and the texts of cells by row * n_cols + column.
+
+    The words of a region fit one array, as a page bounds them; rows, columns and cells are folds over it.
+    """
+    sorted_words = F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "text")))
+    pages = words.groupBy(*keys).agg(sorted_words.alias("_w"))
+
+    def with_rows(w: Column) -> Column:
+        return let(_anchors(w, tolerance), lambda anchors: with_columns(w, anchors))
+
+    def with_columns(w: Column, anchors: Column) -> Column:
+        row = lambda x: F.size(F.filter(anchors, lambda a: a <= x["top"])) - 1
+        rowed = F.transform(w, lambda x: F.struct(row(x).cast("bigint").alias("row"), x["x0"].alias("x0"), x["x1"].alias("x1"), x["top"].alias("top"), x["text"].alias("text")))
+        return let(rowed, lambda r: let(_cuts(body(r, anchors), gap), lambda cuts: grid(r, F.size(anchors).cast("bigint"), cuts)))
+
+    def body(rowed: Column, anchors: Column) -> Column:
+        kept = F.filter(rowed, lambda x: (F.size(anchors) <= 2) | (x["row"] > 0))
+        return F.array_sort(F.transform(kept, lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"))))
+
+    def grid(rowed: Column, n_rows: Column, cuts: Column) -> Column:
+        n_cols = (F.size(cuts) + 1).cast("bigint")
+        column = lambda x: F.size(F.filter(cuts, lambda c: c < (x["x0"] + x["x1"]) / 2))
+        # Words of a row are met by (top, x0) and then put in x order, so equal x keeps the top order.
+        placed = F.transform(rowed, lambda x: F.struct((x["row"] * n_cols + column(x)).cast("bigint").alias("place"), x["x0"].alias("x0"), x["top"].alias("top"), x["text"].alias("text")))
+        return F.struct(n_rows.alias("n_rows"), n_cols.alias("n_cols"), _cells(F.array_sort(placed)).alias("cells"))
+
+    return pages.select(*keys, let(F.col("_w"), with_rows).alias("_g"))
+
+
 def words_to_cells(words: DataFrame, keys: list[str], tolerance: float = ROW_TOLERANCE, gap: float = COLUMN_GAP) -> DataFrame:
     """One row per non-empty cell: row_no, col_no, text, and the grid's n_rows and n_cols."""
-    rowed = cluster_rows(words, keys, tolerance)
-    cuts = infer_columns(rowed, keys, gap).groupBy(*keys).agg(F.array_sort(F.collect_set("cut")).alias("_cuts"))
-    placed = rowed.join(cuts, keys, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<double>")))
-    centre = (F.col("x0") + F.col("x1")) / 2
-    placed = placed.withColumns(
-        {
-            "col_no": F.size(F.filter("_cuts", lambda c: c < centre)).cast("bigint"),
-            "n_cols": (F.size("_cuts") + 1).cast("bigint"),
-        }
-    )
-    # Words of a row are met by (top, x0) and then put in x order, so equal x keeps the top order.
-    words_in_order = F.array_sort(F.collect_list(F.struct("x0", "top", "text")))
-    return placed.groupBy(*keys, "row_no", "col_no", "n_rows", "n_cols").agg(
-        F.array_join(F.transform(words_in_order, lambda w: w["text"]), " ").alias("text")
-    )
+    cells = _grids(words, keys, tolerance, gap).select(*keys, "_g.n_rows", "_g.n_cols", F.explode("_g.cells").alias("_at", "text"))
+    row = F.floor(F.col("_at") / F.col("n_cols")).cast("bigint")
+    return cells.select(*keys, row.alias("row_no"), (F.col("_at") - row * F.col("n_cols")).alias("col_no"), "n_rows", "n_cols", "text")
 
 
 def words_to_matrix(words: DataFrame, keys: list[str], tolerance: float = ROW_TOLERANCE, gap: float = COLUMN_GAP) -> DataFrame:
-    """One grid (array of rows of cells) per region."""
-    cells = words_to_cells(words, keys, tolerance, gap)
-    by_place = F.map_from_entries(
-        F.collect_list(F.struct(F.col("row_no") * F.col("n_cols") + F.col("col_no"), "text"))
-    )
-    grid = cells.groupBy(*keys, "n_rows", "n_cols").agg(by_place.alias("_cells"))
-    matrix = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("n_rows") - 1),
-        lambda i: F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.col("n_cols") - 1),
-            lambda j: F.coalesce(F.try_element_at("_cells", i * F.col("n_cols") + j), F.lit("")),
-        ),
-    )
-    return grid.select(*keys, matrix.alias("matrix"))
+    """One grid (array of rows of cells) per region, from one pass over the words."""
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    cell = lambda g, i, j: F.coalesce(F.try_element_at(g["cells"], i * g["n_cols"] + j), F.lit(""))
+    matrix = let(F.col("_g"), lambda g: F.transform(upto(g["n_rows"]), lambda i: F.transform(upto(g["n_cols"]), lambda j: cell(g, i, j))))
+    return _grids(words, keys, tolerance, gap).select(*keys, matrix.alias("matrix"))
 
 
 def booktabs_tables(
