@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.graph import components
 from quire.llm.registry import query, table
-from quire.llm.shared import written
+from quire.llm.shared import small_batches, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -30,7 +30,7 @@ SEED = 20240301
 SMALL = 32  # members of a bucket whose pairs are sent one by one
 BLOCK_BYTES = 4 << 20  # sets of a block of a larger bucket
 TILE = 256
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,11 +118,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tool = Shingler(words)
         for batch in batches:
-            found = [tool.grams(text if isinstance(text, str) else None) for text in batch]
-            yield pd.DataFrame({"id": [_set_id(g) for g in found], "grams": [g.tobytes() for g in found]})
+            made = (tool.grams(text if isinstance(text, str) else None) for text in batch)
+            yield pd.DataFrame([(_set_id(g), g.tobytes()) for g in made], columns=["id", "grams"])
 
     texts = docs.select(F.col("doc_id").alias("first_doc"), "text").join(wanted, "first_doc")
-    made = texts.withColumn("g", of("text")).where(F.col("g.id") == F.col("set_id")).select("set_id", F.col("g.grams").alias("grams"))
+    # Not deterministic by name only: the sets are to be made after the join, of the wanted texts alone.
+    made = texts.withColumn("g", of.asNondeterministic()("text")).where(F.col("g.id") == F.col("set_id")).select("set_id", F.col("g.grams").alias("grams"))
     return made.dropDuplicates(["set_id"])
 
 
@@ -220,6 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     they are. Null texts and texts without words have no grams and no links; each is a class of its own
     with its own doc_id. Rows that repeat are copies of each other. Null doc_ids stay null.
     """
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     signed = written(_signatures(docs, words, bands, rows), "signatures")
     classes = written(

@@ -28,3 +28,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session to BATCH_BYTES, so that long texts do not fill the Python
+    workers of an executor; a session that has set less keeps it."""
+    if int(spark.conf.get(BATCH_KEY).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
