@@ -72,7 +72,7 @@ SCORE_SQL = f"""{FILL_SQL}, {RUBRIC_SQL},
 share AS (SELECT paper_id, dim_key, 10 * sum(CASE status WHEN 'specified' THEN 10 WHEN 'partial' THEN 5 WHEN 'inferred' THEN 4 ELSE 0 END)::DOUBLE / count(*) AS i FROM filled GROUP BY ALL),
 both_ AS (SELECT paper_id, dim_key, i, greatest(0.0::DOUBLE, least(100.0::DOUBLE, TRY_CAST(score AS DOUBLE))) AS r, TRY_CAST(score AS DOUBLE) IS NOT NULL AS has FROM share FULL JOIN rubric USING (paper_id, dim_key)),
 blended AS (SELECT paper_id, dim_key, CASE WHEN NOT has THEN coalesce(i, 0) WHEN i IS NULL THEN r ELSE 0.5::DOUBLE * r + 0.5::DOUBLE * i END AS s FROM both_),
-scores AS (SELECT paper_id, dim_key, round(s, 1) AS score FROM blended)"""
+scores AS (SELECT paper_id, dim_key, CASE WHEN s % 1 IN (0.25, 0.75) THEN round_even(s, 1) ELSE round(s, 1) END AS score FROM blended)"""
 
 
 def rubrics(spark: SparkSession, d: str) -> DataFrame:
@@ -246,6 +246,18 @@ tot AS (SELECT paper_id, round(CAST(sum(CAST(score * 10 AS BIGINT) * CAST({WEIGH
 ORDER_ITEM = "ord, parameter, status, value NULLS FIRST, citation_page NULLS FIRST, risk_level, note"
 
 
+@query(
+    "f15_report_categories",
+    f"""WITH {REPORT_SQL}, n AS (SELECT paper_id, dim_key, max(dn) AS ord, count(*) AS n_items, count(*) FILTER (status = 'missing') AS n_missing FROM shown GROUP BY 1, 2)
+SELECT paper_id, ord, dim_key AS key, round(score, 1) AS score, n_items, n_missing, o AS overall_score FROM capped JOIN n USING (paper_id, dim_key) JOIN tot USING (paper_id)""",
+)
+def report_categories(spark: SparkSession, d: str) -> DataFrame:
+    """The report's categories, one row each."""
+    rows = reports(spark, d).select("paper_id", "overall_score", F.explode("categories").alias("c"))
+    missing = F.size(F.filter("c.items", lambda i: i["status"] == "missing")).cast("bigint")
+    return rows.select("paper_id", "c.ord", "c.key", "c.score", F.size("c.items").cast("bigint").alias("n_items"), missing.alias("n_missing"), "overall_score")
+
+
 @query(
     "f16_reviewer_questions",
     f"""WITH {REPORT_SQL}, q AS (SELECT paper_id, concat('Please report: ', parameter, '.') AS question, row_number() OVER (PARTITION BY paper_id ORDER BY dn, {ORDER_ITEM}) AS n FROM shown WHERE status = 'missing' AND risk_level = 'high')
