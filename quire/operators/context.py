@@ -152,6 +152,23 @@ def gather_evidence(chunks: DataFrame, queries: DataFrame, budgets: DataFrame |
     return _prefix(once, ["paper_id"], [F.col("chunk_index")], block, limit, _EVIDENCE_COST).drop("_budget")
 
 
+def audit_inputs(papers: DataFrame, chunks: DataFrame, tables: DataFrame, questions: DataFrame, budget: int = AUDIT_BUDGET) -> DataFrame:
+    """What an audit prompt is filled with, one row per paper: tables_block, context and signals_text, or a reason.
+
+    Tables come first and may take a third of the budget; evidence gets what they leave. Signals are
+    counted over the chunks and the tables. A paper without chunks cannot be audited and says so.
+    """
+    from quire.operators.signals import as_texts, scan_signals, signals_summary
+
+    blocks = select_tables(tables, budget // 3, papers)
+    left = blocks.select("paper_id", (F.lit(budget) - count_tokens(F.col("tables_block"))).alias("budget"))
+    evidence = render_context(gather_evidence(chunks, questions, left), ["paper_id"]).select("paper_id", "context")
+    said = signals_summary(scan_signals(as_texts(chunks, tables))).select("paper_id", "signals_text")
+    every = papers.select("paper_id").distinct().join(blocks, "paper_id", "left").join(evidence, "paper_id", "left").join(said, "paper_id", "left")
+    none = F.when(F.col("context").isNull(), F.concat(F.lit(NO_CHUNKS), F.col("paper_id").cast("string")))
+    return every.withColumn("reason", none)
+
+
 def sample_evenly(chunks: DataFrame, count: int = 12) -> DataFrame:
     """Chunks spread over each paper, `count` at most. Chunk numbers are dense from 0.
 

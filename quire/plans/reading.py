@@ -212,9 +212,7 @@ def label_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.label_chunks(lines)
 
 
-@query(
-    "b10_chunk_papers",
-    f"""WITH {doc_pages_sql(20)}, {chunks_sql()},
+LABELLED_SQL = f"""{chunks_sql()},
 lines AS (SELECT paper_id, page, pos, i, {heading_sql("line")} AS heading FROM
   (SELECT paper_id, page, pos, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM ch)),
 heads AS (SELECT paper_id, page, pos, first(heading ORDER BY i) AS head, last(heading ORDER BY i) AS tail FROM lines WHERE heading IS NOT NULL GROUP BY 1, 2, 3),
@@ -222,11 +220,13 @@ page_lines AS (SELECT paper_id, page, i, {heading_sql("line")} AS heading FROM
   (SELECT paper_id, page, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM pages)),
 page_heads AS (SELECT paper_id, page, last(heading ORDER BY i) AS tail FROM page_lines WHERE heading IS NOT NULL GROUP BY 1, 2),
 starts AS (SELECT paper_id, page, last_value(tail IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start
-  FROM pages LEFT JOIN page_heads USING (paper_id, page))
-SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, pos) - 1 AS chunk_index, page, regexp_replace(text, '\n{{2,}}', chr(10) || chr(10), 'g') AS text,
+  FROM pages LEFT JOIN page_heads USING (paper_id, page)),
+labelled AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, pos) - 1 AS chunk_index, page, regexp_replace(text, '\n{{2,}}', chr(10) || chr(10), 'g') AS text,
   coalesce(head, last_value(tail IGNORE NULLS) OVER (PARTITION BY paper_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start, 'Front Matter') AS section
-FROM ch LEFT JOIN heads USING (paper_id, page, pos) JOIN starts USING (paper_id, page)""",
-)
+  FROM ch LEFT JOIN heads USING (paper_id, page, pos) JOIN starts USING (paper_id, page))"""
+
+
+@query("b10_chunk_papers", f"WITH {doc_pages_sql(20)}, {LABELLED_SQL} SELECT * FROM labelled")
 def chunk_papers(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_papers(doc_pages(spark, d, 20))
 
