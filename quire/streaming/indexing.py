@@ -1,4 +1,4 @@
-"""Incremental indexing: new documents in, chunks, tables and ledger rows out."""
+"""Incremental indexing: new pages in, chunks and one outcome per paper out."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from quire.functions.ids import chunk_id
 from quire.operators.chunking import OVERLAP, SIZE, chunk_papers
 from quire.operators.cleaning import assign_sections, clean_pages
 from quire.operators.embedding import HASH_DIM, hash_embed
+from quire.operators.scan import latest
 
 NO_TEXT = "No extractable text found. Scanned/image-only PDFs are not supported."
-BUCKETS = 64
 
 
 def index_pages(pages_raw: DataFrame, size: int = SIZE, overlap: int = OVERLAP, dim: int = HASH_DIM, sections: bool = False) -> DataFrame:
@@ -45,12 +45,29 @@ class Sink:
 
     The chunk table is partitioned by batch; readers take, for each paper, the rows of its last
     good batch. A batch overwrites only its own folder, so a repeated batch changes nothing.
+
+    Without `pages`, a paper arrives whole in one micro-batch. With it, pages are kept there and need a
+    column `upload`, a number that grows with each upload of a paper: pages of one upload may then come
+    in any number of batches, and each time all that have come are indexed together.
     """
 
     chunks: str
     outcomes: str
+    pages: str | None = None
+
+    def _arrived(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """All pages so far of the newest uploads of the papers in a batch."""
+        if self.pages is None:
+            return batch
+        batch.write.mode("overwrite").parquet(f"{self.pages}/batch={batch_id}")
+        kept = batch.sparkSession.read.parquet(self.pages).filter(F.col("batch") <= batch_id)
+        kept = kept.join(batch.select("paper_id").distinct(), "paper_id", "left_semi")
+        newest = kept.groupBy("paper_id").agg(F.max("upload").alias("upload"))
+        own = kept.join(newest, ["paper_id", "upload"])
+        return latest(own, ["paper_id", "page"], [F.desc("batch"), F.desc("text")]).select("paper_id", "page", "text")
 
     def write(self, batch: DataFrame, batch_id: int, **options) -> None:
+        batch = self._arrived(batch, batch_id)
         chunks = index_pages(batch, **options)
         chunks.write.mode("overwrite").parquet(f"{self.chunks}/batch={batch_id}")
         written = batch.sparkSession.read.parquet(f"{self.chunks}/batch={batch_id}")
@@ -69,6 +86,6 @@ class Sink:
 
 
 def index_stream(source: DataFrame, sink: Sink, checkpoint: str, available_now: bool = True, **options) -> StreamingQuery:
-    """Run the index on a stream of raw pages. A paper arrives whole in one micro-batch; a later arrival replaces it."""
+    """Run the index on a stream of raw pages. A later upload of a paper replaces it."""
     writer = source.writeStream.foreachBatch(lambda df, n: sink.write(df, n, **options)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -64,9 +64,9 @@ def test_stream_index_equals_batch_and_replaces(spark, tmp_path):
 
     batch = sorted((r["paper_id"], r["chunk_index"], r["text"], r["section"]) for r in index_pages(pages).collect())
     assert run() == batch
-    pages.filter("paper_id = 'p1'").withColumn("text", F.lit("Fresh text of the paper.")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    pages.filter("paper_id = 'p1'").withColumn("text", F.concat(F.lit("Fresh text of page "), F.col("page").cast("string"), F.lit("."))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     after = run()
-    assert [r[2] for r in after if r[0] == "p1"] == ["Fresh text of the paper."] * 4 or len([r for r in after if r[0] == "p1"]) == 4
+    assert [r[2] for r in after if r[0] == "p1"] == [f"Fresh text of page {n}." for n in range(1, 5)]
     assert [r for r in after if r[0] != "p1"] == [r for r in batch if r[0] != "p1"]
     outcome = {r["paper_id"]: r for r in sink.papers(spark).collect()}
     assert not outcome["blank"]["ok"] and outcome["blank"]["error"] and outcome["p0"]["ok"]
@@ -101,3 +101,14 @@ def test_outcomes_of_one_paper_leave_one_row(spark):
     assert [tuple(r) for r in row] == [("a", "T", "completed", None, 3, 9, "Ann, Bo", "Short.")]
     mixed = L.apply_index_outcome(papers, spark.createDataFrame([good, ("a", False, "broken", None, None, None, None, None)], fields)).collect()
     assert [(r["status"], r["error_message"]) for r in mixed] == [("failed", "broken")]
+
+
+def test_a_paper_may_arrive_in_several_batches(spark, tmp_path):
+    pages = spark.createDataFrame([("p", i, f"Part {i} of the log.\n2 Voyage\nRow {i}", 1) for i in range(1, 7)], "paper_id string, page bigint, text string, upload int")
+    sink = Sink(f"{tmp_path}/chunks", f"{tmp_path}/outcomes", f"{tmp_path}/pages")
+    for n, part in enumerate((pages.filter("page > 4"), pages.filter("page <= 2"), pages.filter("page in (3, 4)"))):
+        sink.write(part, n)
+    whole = lambda df: sorted((r["chunk_index"], r["page"], r["section"], r["text"]) for r in df.collect())
+    assert whole(sink.current(spark)) == whole(index_pages(pages.drop("upload")))
+    sink.write(spark.createDataFrame([("p", 1, "A new log.", 2)], pages.schema), 3)
+    assert [r[3] for r in whole(sink.current(spark))] == ["A new log."]
