@@ -49,6 +49,7 @@ def synthesize_recipe(df: DataFrame) -> DataFrame:
     model = _or(_value(F.col("model_name")), "architecture_from_paper")
     dataset = _value(F.col("dataset"))
     values = {k: _value(F.try_element_at("arguments", F.lit(k))) for k in ARGUMENTS}
+    # Fixed values in this function: the wording of the command and of the recipe's lines.
     lines = [F.lit("python train.py"), F.concat(F.lit('  --model_name "'), model, F.lit('"'))]
     lines += [F.concat(F.lit(f"  --{k} "), _or(_quoted(v), "<SWEEP>")) for k, v in values.items()]
     lines.append(_or(F.concat(F.lit('  --dataset "'), dataset, F.lit('"')), "  --dataset <UNSPECIFIED>"))
@@ -171,6 +172,7 @@ def export_scorecards(reports: DataFrame, path: str) -> None:
     ).text(path)
 
 
+# Fixed values in the functions above and below: the wording of scorecards and badges.
 def _host(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
     return F.coalesce(F.substring_index(host, ".", 1), F.lit("link"))

@@ -16,6 +16,7 @@ LETTERS = "ABCD"
 
 def json_body(reply: Column) -> Column:
     """The JSON text of a reply, without code fences or prose around it; null when there is none."""
+    # The forms in which models wrap their JSON.
     bare = F.regexp_replace(strip(reply), r"(?i)\A```(?:json)?\s*|\s*```\z", "")
     outer = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
     valid = lambda c: F.try_parse_json(c).isNotNull()
