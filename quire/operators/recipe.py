@@ -164,12 +164,20 @@ def scorecard(reports: DataFrame) -> DataFrame:
     return reports.withColumn("markdown", text)
 
 
-def export_scorecards(reports: DataFrame, path: str) -> None:
-    """Write scorecards as text, one folder per file name."""
+def scorecard_files(reports: DataFrame) -> DataFrame:
+    """(file_name, markdown) of every report's scorecard."""
     name = F.concat(slug(F.col("title")), F.lit("_repro_scorecard"))
-    scorecard(reports).select(name.alias("file_name"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy(
-        "file_name"
-    ).text(path)
+    return scorecard(reports).select(name.alias("file_name"), "markdown")
+
+
+def export_scorecards(reports: DataFrame, path: str, folders: bool = False) -> None:
+    """Write scorecards: as a table of file names and texts, which any number of papers allows, or as text
+    files in one folder per file name, for a few."""
+    files = scorecard_files(reports)
+    if folders:
+        files.withColumnRenamed("markdown", "value").write.mode("overwrite").partitionBy("file_name").text(path)
+    else:
+        files.write.mode("overwrite").parquet(path)
 
 
 # Fixed values in the functions above and below: the wording of scorecards and badges.

@@ -278,6 +278,22 @@ def scorecard_items(spark: SparkSession, d: str) -> DataFrame:
     return cards.select("paper_id", F.array_join(lines, "\n").alias("lines"))
 
 
+@query(
+    "a15_exported_scorecards",
+    f"""WITH {REPORT_SQL}, l AS (SELECT paper_id, count(*) AS n_lines FROM shown GROUP BY 1)
+SELECT 'Order_' || o_orderkey || '_of_' || o_custkey || '_repro_scorecard' AS file_name, n_lines, '# Reproducibility Scorecard: Order ' || o_orderkey || ' of ' || o_custkey AS first_line
+FROM orders JOIN l ON l.paper_id = o_orderkey""",
+)
+def exported_scorecards(spark: SparkSession, d: str) -> DataFrame:
+    """Scorecards written to the shared folder and read again: name, item lines and first line."""
+    from quire.plans.streams import run_folder
+
+    path = run_folder(spark)
+    recipe.export_scorecards(reports(spark, d), path)
+    items = F.size(F.filter(F.split("markdown", "\n"), lambda x: x.rlike(r"^- \[[x~? ]\] "))).cast("bigint")
+    return spark.read.parquet(path).select("file_name", items.alias("n_lines"), F.substring_index("markdown", "\n", 1).alias("first_line"))
+
+
 @query("f16_scorecard")
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
     return recipe.scorecard(reports(spark, d)).select("paper_id", "markdown")
