@@ -168,16 +168,16 @@ def grid_sql(opening: str, closing: str) -> str:
 
 
 GRID_SQL = f"src AS (SELECT p_partkey AS paper_id, {grid_sql('[', ']')} AS raw FROM part)"
-CLEAN_SQL = f"""{GRID_SQL},
-tidy AS (SELECT paper_id, list_transform(raw, lambda r: list_transform(r, lambda c: left(trim(regexp_replace(coalesce(c, ''), '\\s+', ' ', 'g')), 200))) AS m FROM src),
-pad AS (SELECT paper_id, list_filter(list_transform(m, lambda r: list_resize(r, 5, '')), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS m FROM tidy),
-clean AS (SELECT paper_id, list_transform(m, lambda r: list_transform(list_filter([1, 2, 3, 4, 5], lambda j: len(list_filter(m, lambda q: q[j] <> '')) > 0), lambda j: r[j])) AS m FROM pad)"""
-SPLIT_SQL = f"""{CLEAN_SQL},
-info AS (SELECT paper_id, m, len(m[1]) AS w, len(list_filter(m[1], lambda c: c <> '')) AS filled, len(list_filter(m[2], lambda c: c <> '')) AS filled2 FROM clean),
+TIDY_SQL = """tidy AS (SELECT paper_id, list_transform(raw, lambda r: list_transform(r, lambda c: left(trim(regexp_replace(coalesce(c, ''), '\\s+', ' ', 'g')), 200))) AS m FROM src),
+pad AS (SELECT paper_id, list_filter(list_transform(m, lambda r: list_resize(r, list_max(list_transform(m, lambda z: len(z))), '')), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS m FROM tidy),
+clean AS (SELECT paper_id, list_transform(m, lambda r: list_transform(list_filter(range(1, len(m[1]) + 1), lambda j: len(list_filter(m, lambda q: q[j] <> '')) > 0), lambda j: r[j])) AS m FROM pad)"""
+CLEAN_SQL = f"{GRID_SQL}, {TIDY_SQL}"
+HEADED_SQL = """info AS (SELECT paper_id, m, len(m[1]) AS w, len(list_filter(m[1], lambda c: c <> '')) AS filled, len(list_filter(m[2], lambda c: c <> '')) AS filled2 FROM clean),
 mrg AS (SELECT *, w > 2 AND filled <= w / 2.0 AND filled2 > filled AND len(m) > 1 AS merged,
   list_transform(m[1], lambda c, i: coalesce(list_filter(m[1][1:i], lambda k: k <> '')[-1], '')) AS top FROM info),
 hd AS (SELECT paper_id, m, merged, CASE WHEN merged THEN list_transform(top, lambda t, i: CASE WHEN t <> '' AND t <> m[2][i] THEN trim(t || ' ' || m[2][i]) WHEN m[2][i] <> '' THEN m[2][i] ELSE t END) ELSE m[1] END AS h FROM mrg),
 split AS (SELECT paper_id, list_transform(h, lambda c, i: CASE WHEN c = '' THEN 'Column ' || i ELSE c END) AS headers, CASE WHEN merged THEN m[3:] ELSE m[2:] END AS rows FROM hd)"""
+SPLIT_SQL = f"{CLEAN_SQL}, {HEADED_SQL}"
 FLAT = "array_to_string(list_transform({0}, lambda r: array_to_string(r, '¦')), chr(10))"
 
 
@@ -282,7 +282,19 @@ def table_search_text(spark: SparkSession, d: str) -> DataFrame:
     return split(spark, d).select("paper_id", grids.search_text(caption, F.col("headers"), F.col("rows"), 300).alias("search_text"))
 
 
-@query("c_extract_tables")
+SEARCH_SQL = """left(concat(caption, ': Columns [', array_to_string(list_filter(headers, lambda c: c <> ''), ', '), ']. Rows: ',
+  array_to_string(list_transform(rows, lambda r: array_to_string(list_filter(r, lambda c: c <> ''), ' | ')), '; ')), 2000)"""
+
+
+@query(
+    "c_extract_tables",
+    f"""WITH {CELLS_SQL}, mp AS (SELECT paper_id, n_rows, n_cols, map_from_entries(list((row_no * n_cols + col_no, text))) AS c FROM cells GROUP BY ALL),
+src AS (SELECT paper_id, list_transform(generate_series(0, n_rows - 1), lambda i: list_transform(generate_series(0, n_cols - 1), lambda j: coalesce(c[i * n_cols + j], ''))) AS raw FROM mp),
+{TIDY_SQL}, {HEADED_SQL}, tall AS (SELECT split.* FROM split JOIN clean USING (paper_id) WHERE len(clean.m) >= 2),
+fit AS (SELECT *, list_filter(flatten(rows), lambda x: x <> '') AS f, concat('Table 1: order ', paper_id) AS caption FROM tall)
+SELECT paper_id, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS table_index, caption, {MD_SQL} AS markdown, {SEARCH_SQL} AS search_text FROM fit
+WHERE len(headers) >= 2 AND len(rows) >= 1 AND len(f) / greatest(len(flatten(rows)), 1)::DOUBLE >= 0.35 AND coalesce(list_sum(list_transform(f, lambda x: length(x))), 0) / greatest(len(f), 1)::DOUBLE <= 60""",
+)
 def extract_tables(spark: SparkSession, d: str) -> DataFrame:
     """Words of every order to a numbered, plausible table with Markdown."""
     grid = G.words_to_matrix(words(spark, d), KEYS).selectExpr(
