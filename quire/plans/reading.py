@@ -73,11 +73,12 @@ def drop_noise_by_count(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.drop_noise(pages, cleaning.repeated_lines(pages, ratio=None), bounded=False)
 
 
-@query(
-    "b3_normalize_text",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'),
-  '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents""",
-)
+# Normalised text of the given documents, which hold no formula.
+NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'),
+  '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+
+
+@query("b3_normalize_text", f"SELECT doc_id, {NORMAL} AS text FROM documents")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return wide_table(spark, d, "documents", "doc_id", "text").select("doc_id", mathtext.normalize_text(F.col("text")).alias("text"))
 
@@ -146,8 +147,8 @@ def count_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
 
 
-def chunks_sql(size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> str:
-    """Tables c1..c5 cut the pieces of `pages` that are too large by one separator each; `ch` has the chunks.
+def chunks_sql(size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, source: str = "pages") -> str:
+    """Tables c1..c5 cut the pieces of the source that are too large by one separator each; `ch` has the chunks.
 
     A fold keeps the open chunk as a list of pieces; a full one is closed, and of its pieces the longest
     tail that is small enough opens the next.
@@ -162,7 +163,7 @@ def chunks_sql(size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> st
     step = f"""CASE WHEN {tokens('x')} > {size} THEN {{'o': list_append(CASE WHEN len(a.h) > 0 THEN {closed} ELSE a.o END, {{'t': x, 'big': true}}), 'h': CAST([] AS VARCHAR[])}}
       WHEN len(a.h) > 0 AND {total('a.h')} + {tokens('x')} > {size} THEN {{'o': {closed}, 'h': list_append(a.h[{first}:], x)}}
       ELSE {{'o': a.o, 'h': list_append(a.h, x)}} END"""
-    out = [f"c0 AS (SELECT paper_id, page, [{{'t': {strip('text')}, 'big': {tokens(strip('text'))} > {size}}}] AS ps FROM pages)"]
+    out = [f"c0 AS (SELECT paper_id, page, [{{'t': {strip('text')}, 'big': {tokens(strip('text'))} > {size}}}] AS ps FROM {source})"]
     for n, separator in enumerate(chunking.SEPARATORS):
         sep = "'" + separator + "'"
         cut = (

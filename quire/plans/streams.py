@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.inputs import derive, doc_pages, doc_pages_sql
+from quire.plans.reading import NORMAL, chunks_sql, dropped_sql, edges_sql
 from quire.plans.registry import query
 from quire.session import CHECKPOINT_KEY
 from quire.streaming import events as E
@@ -58,7 +59,12 @@ def assemble_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/answers")
 
 
-@query("s1_index_stream")
+@query(
+    "s1_index_stream",
+    f"""WITH {doc_pages_sql(20)}, {edges_sql("SELECT paper_id, page, text FROM pages", "greatest(3, n // 2)")}, dropped AS ({dropped_sql()}),
+cleaned AS (SELECT * FROM (SELECT paper_id, page, {NORMAL} AS text FROM dropped) WHERE text <> ''), {chunks_sql(source="cleaned")}
+SELECT paper_id, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ch GROUP BY 1""",
+)
 def index_stream_query(spark: SparkSession, d: str) -> DataFrame:
     """Documents arrive as files of pages; every micro-batch is indexed and replaces its papers."""
     folder = run_folder(spark)
