@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
-from quire.llm.shared import written
+from quire.llm.shared import small_batches, written
 
 LENGTH = 100  # bytes of a repeated string
 SLICE = 1 << 18  # bytes of a text scanned at once
 PLACE_BITS = 20  # more than the bytes scanned at once have
 HOT = 100_000  # segments of an anchor above which its windows are dealt by more of their bytes
 FINE = 4  # window offsets that share a key then
+HELD = 48 << 20  # bytes of different segments a task gathers before it sends them
+ROWS = 20_000  # rows of an output batch
 CHUNK = 1 << 20  # bytes of segments in one index, about
 FIRST = -(1 << 63)  # place of a null doc_id
 _P = 0x9E3779B97F4A7C15
@@ -131,18 +133,24 @@ def _suffix_places(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     eight = np.zeros(n, np.uint64)
     for j in range(8):
         eight = (eight << np.uint64(8)) | wide[j : j + n]
-    key, reach = eight, 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        if reach >= depth or first.all():
+    order = np.argsort(eight)
+    ordered = eight[order]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    rank = np.empty(n, np.int64)  # of a suffix: where its group of equal prefixes begins
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    reach = 8
+    while reach < depth:
+        tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if not len(tied):
             break
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(first).astype(np.uint64)
-        after = np.zeros(n, np.uint64)
-        after[: max(n - reach, 0)] = rank[reach:]
-        key = (rank << np.uint64(32)) | after
+        own = order[tied]
+        after = own + reach
+        key = (rank[own] << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        own, key = own[turn], key[turn]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        order[tied], first[tied] = own, new
+        rank[own] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
         reach *= 2
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -276,29 +284,36 @@ def _fine_keys(text: bytes, start: int, windows: int, anchor: int, spot: int, le
 
 
 def _cut(joined: DataFrame, length: int) -> DataFrame:
-    """Segments of the repeated anchors with their bytes; of equal ones in a batch only the first keeps
-    its bytes, the others are sent as places to remove."""
+    """Segments of the repeated anchors with their bytes; of equal ones only the first met in a task keeps
+    its bytes, the others are sent as places to remove. A task holds HELD bytes of segments at most."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["key", "place", "variant", "start", "size", "content"])
+        return made.astype({"key": "int64", "place": "int64", "variant": "int64", "start": "int64", "size": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        out: list[tuple] = []
+        held = 0
+
+        def offer(key: int, content: bytes, at: tuple[int, int, int]) -> None:
+            nonlocal held
+            old = best.get((key, content))
+            if old is None:
+                best[key, content] = at
+                held += len(content)
+            elif at[:2] == old[:2]:
+                out.append((key, at[0], at[2], at[1], None, content))  # the same place: neither is earlier
+            else:
+                first, later = min(at, old), max(at, old)
+                best[key, content] = first
+                out.append((later[0] ^ later[1], later[0], later[2], later[1], len(content), None))
+
         for batch in batches:
             texts = [_bytes(t) for t in batch["text"]]
             place, variant = batch["_place"].to_numpy(np.int64), batch["_variant"].to_numpy(np.int64)
             number, start, width, anchor, spot = _scan(texts, length)
             bounds = np.searchsorted(number, np.arange(len(texts) + 1))
-            best: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-            rest = []
-
-            def offer(key: int, content: bytes, at: tuple[int, int, int], best=best, rest=rest) -> None:
-                old = best.get((key, content))
-                if old is None:
-                    best[key, content] = at
-                elif at[:2] == old[:2]:
-                    rest.append((key, *at, content))  # the same place: neither is earlier
-                else:
-                    first, later = min(at, old), max(at, old)
-                    best[key, content] = first
-                    rest.append((later[0] ^ later[1], *later, len(content)))
-
             for n, wanted in enumerate(batch["_anchors"]):
                 low, high = bounds[n], bounds[n + 1]
                 if low == high:
@@ -314,10 +329,17 @@ def _cut(joined: DataFrame, length: int) -> DataFrame:
                         continue
                     for key, begin, count in _fine_keys(text, s, w, a, at, length):
                         offer(key, text[begin : begin + count + length - 1], (doc, begin, kind))
-            rows = [(key, d, v, s, None, content) for (key, content), (d, s, v) in best.items()]
-            rows += [(key, d, v, s, size, None) if isinstance(size, int) else (key, d, v, s, None, size) for key, d, s, v, size in rest]
-            frame = pd.DataFrame(rows, columns=["key", "place", "variant", "start", "size", "content"])
-            yield frame.astype({"key": "int64", "place": "int64", "variant": "int64", "start": "int64", "size": "Int64"})
+            if held >= HELD:
+                out.extend((key, d, v, s, None, content) for (key, content), (d, s, v) in best.items())
+                best.clear()
+                held = 0
+            for at in range(0, len(out), ROWS):
+                yield frame(out[at : at + ROWS])
+            out.clear()
+        rest = [(key, d, v, s, None, content) for (key, content), (d, s, v) in best.items()]
+        best.clear()
+        for at in range(0, len(rest), ROWS):
+            yield frame(rest[at : at + ROWS])
 
     kinds = "key bigint, place bigint, variant bigint, start bigint, size bigint, content binary"
     return joined.mapInPandas(run, kinds)
@@ -356,6 +378,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     doc_id or before in the same text. Null doc_ids come before all others. Rows with one doc_id stand at
     the same place: a string at the same start in both is not earlier. Null texts are empty.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("_place", "_variant", "_spans", "_anchors", "_again")]
     base = docs.select(*names).withColumn("_place", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)))
     again = base.groupBy("_place").count().where("count > 1").select("_place")
