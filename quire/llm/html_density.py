@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
+from quire.llm.shared import small_batches
 
 # Element names of HTML and words used for parts of a page.
 BLOCKS = frozenset(
@@ -269,6 +270,7 @@ def extract(column: str | Column) -> Column:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html); one row per input row, other columns
     are ignored, null pages give an empty text."""
+    small_batches(pages.sparkSession)
     texts = pages.select("page_id", "url", extract("html").alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 

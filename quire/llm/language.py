@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
+from quire.llm.shared import small_batches
 
 WIDTH = 1024  # components of a vector
 LETTERS = 64  # 0 is everything but letters, 1-26 are a-z, the rest is shared by the other letters
@@ -84,6 +85,8 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     order of rows. What reaches the driver is MAX_LANGUAGES vectors at most; more labels raise.
     """
 
+    small_batches(labelled.sparkSession)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.graph import components
 from quire.llm.registry import query, table
-from quire.llm.shared import small_batches, written
+from quire.llm.shared import files_for, small_batches, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -229,10 +229,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.min("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")),
         "classes",
+        files_for(signed.count(), 25_000),
     )
     meeting = classes.select("set_id", "n_bytes", F.posexplode("bands").alias("band", "key"))
     buckets = meeting.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bucket_bytes")).where("n > 1")
-    live = written(meeting.join(buckets, ["key", "band"]), "meetings")
+    live = written(meeting.join(buckets, ["key", "band"]), "meetings", files_for(classes.count(), 25_000))
+    n_live = live.count()
 
     large = live.where(F.col("n") > SMALL).groupBy("set_id").agg(F.collect_set("band").alias("large_bands"))
     wanted = classes.join(live.select("set_id").distinct(), "set_id").join(large, "set_id", "left")
@@ -244,6 +246,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
             "set_id",
         ),
         "sets",
+        files_for(n_live, 50_000),
     )
 
     few = live.where(F.col("n") <= SMALL).select("key", "band", "set_id")
@@ -262,7 +265,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         return pd.Series([_alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold) for a, b in zip(left, right, strict=True)], dtype=bool)
 
     met = pairs.join(side("a"), F.col("a") == F.col("set_id_a")).join(side("b"), F.col("b") == F.col("set_id_b")).where(apart)
-    small_links = written(met.where(verified("grams_a", "grams_b")).select("a", "b", "copies_a", "copies_b"), "pairs")
+    small_links = written(met.where(verified("grams_a", "grams_b")).select("a", "b", "copies_a", "copies_b"), "pairs", files_for(n_live, 50_000))
 
     parts = F.greatest(F.ceil(F.col("bucket_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     dealt = live.where(F.col("n") > SMALL).select("key", "band", "set_id", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
-from quire.llm.shared import written
+from quire.llm.shared import small_batches, written
 from quire.llm.token_counts import byte_letters, vocabulary_path
 
 CAPACITY = 2048
@@ -41,6 +41,14 @@ _LATIN_WORDS = re.compile(
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
 
 
+@functools.cache
+def _tool(path: str) -> object:
+    """The library's tokenizer of a file, one for each Python worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class _Words(dict):
     """Ids of words as bytes, made by the library's own model when a word is first met."""
 
@@ -68,9 +76,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tool = Tokenizer.from_file(path)
+        self.tool = _tool(path)
         special = sorted(t.content for t in self.tool.get_added_tokens_decoder().values())
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.words = _Words(self.tool.model)
@@ -89,12 +95,6 @@ class Encoder:
         return b"".join(out)
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    """The encoder of a file, one for each Python worker."""
-    return Encoder(path)
-
-
 def _fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """Counts of lengths whose sum is the largest that is at most `room`.
 
@@ -176,11 +176,11 @@ def plan_windows(histogram: dict[int, int], capacity: int = CAPACITY, max_slack:
     return pd.DataFrame(rows, columns=["origin", "lo", "hi", "cut", "part", "skip", "each", "first", "offset"], dtype="int64")
 
 
-def _pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
+def _pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool) -> DataFrame:
     """Full windows and remainders of documents, with their rank among the pieces of equal length in
-    their task, and the remainders' ids, which a later cut needs."""
+    their task, and the remainders' ids, which a later cut needs; all ids if they are wanted."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, task, seen = encoder(vocabulary_path(vocabulary)), TaskContext.get().partitionId(), defaultdict(int)
+        tool, task, seen = Encoder(vocabulary_path(vocabulary)), TaskContext.get().partitionId(), defaultdict(int)
         small = tool.tool.get_vocab_size() < 1 << 16
         for batch in batches:
             out = []
@@ -190,7 +190,7 @@ def _pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
                 for start in range(0, total, capacity):
                     own = ids[4 * start : 4 * (start + capacity)]
                     length = len(own) // 4
-                    tail = None if length == capacity else np.frombuffer(own, "<u4").astype("<u2").tobytes() if small else own
+                    tail = None if length == capacity and not with_ids else np.frombuffer(own, "<u4").astype("<u2").tobytes() if small else own
                     out.append((doc_id, start, length, zlib.crc32(own), total, task, seen[length], tail))
                     seen[length] += 1
             frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "crc", "doc_tokens", "task", "nth", "tail"])
@@ -200,15 +200,19 @@ def _pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, kinds)
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
+def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]), one row per piece.
+
+    With `with_ids` the ids of each piece come along as little-endian unsigned 32-bit numbers: the pieces
+    of a sequence by their offset are the training sequence. Without, only their checksum leaves the task.
 
     Null and empty texts are one token, the end id. Repeated rows are packed each by itself; a null
     doc_id stays null. An empty table gives no rows. The pieces are written to the shared folder once,
     because ranks must not change if a task runs again; the histogram (at most `capacity` rows) is all
     that reaches the driver, and the plan made from it is all that the tasks are sent.
     """
-    pieces = written(_pieces(docs, vocabulary, capacity), "pieces")
+    small_batches(docs.sparkSession)
+    pieces = written(_pieces(docs, vocabulary, capacity, with_ids), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -219,6 +223,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
         for origin, own in plan.groupby("origin")
     }
 
+    kinds = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -229,17 +235,19 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
                         continue
                     i = rank - lo[at] + skip[at]
                     size, begin = int(part[at]), int(cut[at])
-                    if size != length:
+                    ids = None
+                    if with_ids or size != length:
                         wide = np.frombuffer(tail, "<u2" if len(tail) == 2 * length else "<u4")
-                        crc = zlib.crc32(wide[begin : begin + size].astype("<u4").tobytes())
-                    out.append((doc_id, start + begin, size, crc, total, int(first[at] + i // each[at]), int(offset[at] + i % each[at] * size)))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                        ids = wide[begin : begin + size].astype("<u4").tobytes()
+                    if size != length:
+                        crc = zlib.crc32(ids)
+                    out.append((doc_id, start + begin, size, crc, total, int(first[at] + i // each[at]), int(offset[at] + i % each[at] * size), *([ids] if with_ids else [])))
+            frame = pd.DataFrame(out, columns=[k.split()[0] for k in kinds.split(", ")])
             yield frame.astype({"doc_id": "Int64"})
 
     ranked = pieces.join(bases, ["task", "length"]).select(
         "doc_id", "start", F.col("length").cast("bigint").alias("length"), "crc", "doc_tokens", (F.col("base") + F.col("nth")).alias("rank"), "tail"
     )
-    kinds = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return ranked.mapInPandas(assign, kinds)
 
 

@@ -22,14 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in a new folder of the shared folder. This runs `df`, once; the caller
-    of the job may delete the folder when the result has been used."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """`df` as a Parquet table in a new folder of the shared folder, in `files` files if given. This
+    runs `df`, once; the caller of the job may delete the folder when the result has been used."""
     path = f"{shared_folder(df.sparkSession)}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.repartition(files)).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int, each: int) -> int:
+    """Files for so many rows at `each` rows a file: small tables need not have one per shuffle partition."""
+    return max(1, -(-rows // each))
+
+
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.registry import query, table
+from quire.llm.shared import small_batches
 
 LIMIT = 2048  # tokens above which a document is too long for one window
 KEPT_WORDS = 400_000  # counts of words a task remembers
@@ -151,6 +152,7 @@ def n_tokens(text: str | Column, vocabulary: str = "word_bpe_49k.json") -> Colum
 
 def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row per input row; other columns are ignored."""
+    small_batches(docs.sparkSession)
     counted = docs.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), n_tokens("text", vocabulary).alias("n_tokens")
     )

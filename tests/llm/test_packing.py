@@ -49,6 +49,19 @@ def test_cut_pieces_keep_their_ids(spark):
     assert (pieces.groupby("sequence_id").length.sum() < 184).sum() <= 1
 
 
+def test_sequences_hold_the_ids(spark):
+    rows = [(i, "alpha beta " * (60 + i) + "gamma") for i in range(25)]
+    df = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=150, with_ids=True)
+    pieces = check(df.drop("ids"), rows, 150)
+    tool = Tokenizer.from_file(PATH)
+    told = df.toPandas().sort_values(["doc_id", "start"])
+    assert len(told) == len(pieces)
+    for doc_id, own in told.groupby("doc_id"):
+        ids = np.frombuffer(b"".join(own.ids), "<u4").tolist()
+        assert ids == [*tool.encode(rows[doc_id][1], add_special_tokens=False).ids, 1]
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in told.itertuples())
+
+
 def test_query_round_trip(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check(packing.op7_packing(spark, SF), rows)
