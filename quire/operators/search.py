@@ -65,9 +65,9 @@ def _norms(m: np.ndarray) -> np.ndarray:
 
 def _best(
     vectors: np.ndarray, matrix: np.ndarray, ties: list[np.ndarray], groups: np.ndarray | None,
-    allowed: list[set | None], papers: np.ndarray | None, k: int, min_score: float | None, forced: np.ndarray,
+    allowed: list[set | None], papers: np.ndarray | None, k: int, min_score: float | None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, query, score) of the best k rows of a batch per query, or per query and group, and of forced rows.
+    """(row, query, score) of the best k rows of a batch per query, or per query and group.
 
     A fast matrix product picks candidates; they are scored again by a left-to-right sum, so that
     equal vectors have equal scores, rounded to nine decimals, and ties always break by the row keys.
@@ -92,15 +92,15 @@ def _best(
             last = order[starts + np.minimum(k, sizes) - 1]
             floor = np.empty(group.max() + 1)
             floor[group[last]] = near[pool[last]]
-            keep = (near[pool] >= floor[group] - _SLACK) | forced[pool]
+            keep = near[pool] >= floor[group] - _SLACK
             pool, group = pool[keep], group[keep]
             exact = np.round(np.cumsum(vectors[pool] * matrix[q], axis=1)[:, -1] / (row_norm[pool] * query_norm[q]), DECIMALS)
             order = np.lexsort([t[pool] for t in reversed(ties)] + [-exact, group])
             starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
             place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-            chosen = order[(place < k) | forced[pool][order]]
+            chosen = order[place < k]
             if min_score:
-                chosen = chosen[(exact[chosen] >= min_score) | forced[pool][chosen]]
+                chosen = chosen[exact[chosen] >= min_score]
             rows.append(pool[chosen])
             cols.append(np.full(len(chosen), q))
             scores.append(exact[chosen])
@@ -126,7 +126,8 @@ def knn(
     `papers` restricts all queries, a `paper_ids` array restricts its own query (null or empty: no
     restriction). `per_paper` ranks within each paper. A `min_score` of 0 means no threshold. Ties
     break by `keys`. `payload` columns come along; name few, or join them to the hits later. Chunks
-    with an index below `openers` are returned for every query; their rank is null where it is above k.
+    with an index below `openers` are returned for every query, without rank and score where they are not
+    among its best; this is for a short list of queries.
     Rows without a vector take no part. The queries are read to the driver when the plan is made.
     """
     keys, payload = list(keys), list(payload)
@@ -147,14 +148,13 @@ def knn(
         shared = source.sparkSession.sparkContext.broadcast(([r["query_id"] for r in piece], matrix, allowed))
 
         def shrink(held: pa.Table) -> pa.Table:
-            """The best k rows of each query, and the forced ones, of what a task has seen so far."""
+            """The best k rows of each query of what a task has seen so far."""
             query = held.column("_q").to_numpy()
             ties = [held.column(c).to_numpy() for c in keys]
             order = np.lexsort([*reversed(ties), -held.column("score").to_numpy(), query])
             starts = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
             place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-            forced = ties[1][order] < openers if openers else np.zeros(len(order), bool)
-            return held.take(pa.array(order[(place < k) | forced]))
+            return held.take(pa.array(order[place < k]))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix, allowed = shared.value
@@ -169,8 +169,7 @@ def knn(
                 ties = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
                 names = ties[0]
                 groups = np.unique(names, return_inverse=True)[1] if per_paper else None
-                forced = ties[1] < openers if openers else np.zeros(batch.num_rows, bool)
-                at, query, value = _best(vectors, matrix, ties, groups, allowed, names, k, min_score, forced)
+                at, query, value = _best(vectors, matrix, ties, groups, allowed, names, k, min_score)
                 out_ids = pa.array(ids, type=id_type).take(pa.array(query))
                 kept = [batch.column(c).take(pa.array(at)) for c in keys + payload]
                 made = pa.RecordBatch.from_arrays([out_ids, *kept, pa.array(value)], names=["query_id", *keys, *payload, "score"])
@@ -195,8 +194,12 @@ def knn(
     best = first_rows(hits, group, order, k)
     if not openers:
         return best
-    # Openers are few per group and are ranked by counting; the others keep the pruned ranking.
-    first = hits.filter(F.col(keys[1]) < openers)
+    # Openers are read by their own filter, without vectors and scores, and given to each of the few queries.
+    every = wanted.select("query_id").limit(block + 1).collect()
+    if len(every) > block:
+        raise ValueError(f"openers are for at most {block} queries")
+    ids = F.array(*[F.lit(r["query_id"]) for r in every]).cast(T.ArrayType(query_type))
+    first = source.filter(F.col(keys[1]) < openers).select(F.explode(ids).alias("query_id"), *keys, *payload, F.lit(None).cast("double").alias("score"))
     rest = first.join(best.select("query_id", *keys), ["query_id", *keys], "left_anti")
     return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
 
