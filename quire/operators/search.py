@@ -126,8 +126,8 @@ def knn(
     `papers` restricts all queries, a `paper_ids` array restricts its own query (null or empty: no
     restriction). `per_paper` ranks within each paper. A `min_score` of 0 means no threshold. Ties
     break by `keys`. `payload` columns come along; name few, or join them to the hits later. Chunks
-    with an index below `openers` are returned for every query, without rank and score where they are not
-    among its best; this is for a short list of queries.
+    with an index below `openers` are returned for every query, without rank and score, beside its best
+    others; this is for a short list of queries.
     Rows without a vector take no part. The queries are read to the driver when the plan is made.
     """
     keys, payload = list(keys), list(payload)
@@ -200,8 +200,7 @@ def knn(
         raise ValueError(f"openers are for at most {block} queries")
     ids = F.array(*[F.lit(r["query_id"]) for r in every]).cast(T.ArrayType(query_type))
     first = source.filter(F.col(keys[1]) < openers).select(F.explode(ids).alias("query_id"), *keys, *payload, F.lit(None).cast("double").alias("score"))
-    rest = first.join(best.select("query_id", *keys), ["query_id", *keys], "left_anti")
-    return best.unionByName(rest.withColumn("rank", F.lit(None).cast("int")))
+    return best.filter(F.col(keys[1]) >= openers).unionByName(first.withColumn("rank", F.lit(None).cast("int")))
 
 
 def attach(hits: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
