@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
 Each block element of a page gets the characters per tag of its subtree, lowered by the share of
-characters that lie in links. The element whose children's densities sum highest is the content; blocks
-elsewhere join it when they are at least as dense as the sparsest element on its way up to the body.
-Menus, headers, footers, forms, adverts and the like are known by element, role or class and left out.
+characters that lie in links. The element whose children's densities sum highest is the core of the
+content. All blocks of the page's article, main element or else body are kept, with the text directly in
+them; outside the core, blocks made of links go when they are sparser than the sparsest element on the
+core's way up. Menus, headers, footers, forms, adverts and the like are known by element, role or class
+and left out.
 """
 
 from __future__ import annotations
@@ -57,13 +59,13 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """A block element: its place in the tree, its counts, and whether it is noise of a page."""
 
-    __slots__ = ("chars", "density", "inside", "link_chars", "link_tags", "links", "marked", "noise", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "inside", "link_chars", "link_tags", "marked", "noise", "own_links", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.noise = self.marked = self.inside = False
+        self.noise = self.marked = self.inside = self.own_links = False
 
 
 def _marks(rest: str) -> tuple[bool, bool]:
@@ -173,6 +175,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
 def _measure(nodes: list[Node]) -> Node:
     """Fill in counts, noise and densities; gives the body, or the page's only main element or article."""
     own = {id(n): (n.tag in ("article", "main")) for n in nodes}
+    for node in nodes:
+        node.own_links = _of_links(node)
     for node in reversed(nodes[1:]):
         up = node.parent
         up.chars += node.chars
@@ -208,6 +212,15 @@ def _under(node: Node, top: Node) -> bool:
     return False
 
 
+def _of_links(node: Node) -> bool:
+    """Whether a block is a list of links: three at least, with over two thirds of its characters."""
+    return node.link_tags >= 3 and _mostly_links(node)
+
+
+def _mostly_links(node: Node) -> bool:
+    return 3 * node.link_chars > 2 * node.chars
+
+
 def _density(node: Node, ratio: float) -> float:
     """Characters per tag, adjusted by the characters and tags of links; `ratio` is that of the page."""
     if not node.chars:
@@ -241,10 +254,23 @@ def main_text(page: str | None) -> str:
             break
         node = node.parent
     content: set[int] = set()
-    for node in eligible:
-        above = node.parent is not None and id(node.parent) in content
-        if node is best or above or (id(node) not in way and node.density >= threshold):
+    core, lists = {id(best)}, set()
+    for node in eligible:  # page order: parents come first
+        up = id(node.parent)
+        if up in core:
+            core.add(id(node))
+        if id(node) in core:
+            kept = True
+        elif id(node) in way:
+            kept = not node.own_links  # this is about the text directly in it
+        elif up in lists:
+            kept = not _mostly_links(node)
+        else:
+            kept = node.density >= threshold or not _of_links(node)
+        if kept:
             content.add(id(node))
+        elif id(node) not in way:
+            lists.add(id(node))
     blocks, last, part = [], None, []
     for node, value in [*runs, (None, "")]:
         if node is not last:

@@ -47,6 +47,21 @@ def test_small_pages(page, text):
     assert html_density.main_text(page) == text
 
 
+def test_short_blocks_beside_the_densest_part_are_kept():
+    paragraphs = "".join(f"<p>{'long words ' * 45}{i}</p>" for i in range(10))
+    body = "\n".join(f"{'long words ' * 45}{i}" for i in range(10))
+    head = "<h1>A headline of about forty characters</h1><p>By someone</p>"
+    kept = f"A headline of about forty characters\nBy someone\n{body}"
+    for top in ("article", "main", "body"):
+        assert html_density.main_text(f"<{top}>{head}<div>{paragraphs}</div></{top}>") == kept
+    last = f"<article><section>{paragraphs}</section><section><h2>End</h2><p>{'short ' * 20}</p></section></article>"
+    assert html_density.main_text(last) == f"{body}\nEnd\n{('short ' * 20).strip()}"
+    assert html_density.main_text(f"<article>Directly here<div>{paragraphs}</div>and here</article>") == f"Directly here\n{body}\nand here"
+    links = "".join(f"<li><a href=/{i}>story {i}</a></li>" for i in range(9))
+    mixed = f"<div><ul>{links}</ul><p>A plain line.</p></div>"
+    assert html_density.main_text(f"<body><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a>{mixed}<div>{paragraphs}</div><h1><a href=/t>Title</a></h1>") == f"A plain line.\n{body}\nTitle"
+
+
 def test_pages_nested_deeply_and_long():
     deep = "<div>" * 20_000 + "core text" + "</div>" * 20_000
     assert html_density.main_text(deep) == "core text"
