@@ -4,8 +4,8 @@ Each block element of a page gets the characters per tag of its subtree, lowered
 characters that lie in links. The element whose children's densities sum highest is the core of the
 content. All blocks of the page's article, main element or else body are kept, with the text directly in
 them; outside the core, blocks made of links go when they are sparser than the sparsest element on the
-core's way up. Menus, headers, footers, forms, adverts and the like are known by element, role or class
-and left out.
+core's way up. Menus, headers, footers, forms, adverts and the like are left out: known by element, or
+by role, class or id where these agree with the links and the share of the text they mark.
 """
 
 from __future__ import annotations
@@ -38,6 +38,13 @@ NOISE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices newsletter subscribe signup comment comments disqus respond replies related recommended share sharing social footer header "
     "masthead popup modal overlay widget widgets toolbar pagination pager contentinfo complementary search dialog alert alertdialog skip".split()
 )
+# Words that content bears too: inside an article or main element they need links as a second sign.
+LOOSE_WORDS = frozenset("share sharing social notice notices promo promotion banner header masthead widget widgets alert skip overlay related recommended search consent".split())
+HEAD_WORDS = frozenset("header masthead banner".split())
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+# A compound with one of these says how a page is laid out, not what the element is.
+STATE_FIRST, STATE_LAST = frozenset("has with without no not".split()), frozenset("open opened closed enabled disabled on off".split())
+SHARE, LOOSE_SHARE = 0.5, 0.1  # of a page's plain characters: what a word marks in all must be less
 ENDS_BEFORE = {
     **{tag: frozenset(["p"]) for tag in BLOCKS - {"html", "body", "head", "option", "optgroup", "button", "iframe", "svg", "canvas", "audio", "video", "map", "object"}},
     "li": frozenset(["p", "li"]),
@@ -57,27 +64,35 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """A block element: its place in the tree, its counts, and whether it is noise of a page."""
+    """A block element: its place in the tree, its counts, whether it is noise of a page, and the noise words
+    that it bears, with whether the word stands alone."""
 
-    __slots__ = ("chars", "density", "inside", "link_chars", "link_tags", "marked", "noise", "own_links", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "inside", "link_chars", "link_tags", "noise", "own_links", "parent", "sum", "tag", "tags", "words")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.noise = self.marked = self.inside = self.own_links = False
+        self.noise = self.inside = self.own_links = False
+        self.words: dict[str, bool] = {}
 
 
-def _marks(rest: str) -> tuple[bool, bool]:
-    """Whether attributes name a noisy part, and whether they hide it."""
-    noisy = hidden = False
+def _marks(rest: str) -> tuple[dict[str, bool], bool]:
+    """Noise words of the attributes, with whether they stand alone, and whether attributes hide the element."""
+    words: dict[str, bool] = {}
+    hidden = False
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            noisy = noisy or not NOISE_WORDS.isdisjoint(_WORD.findall(value))
+            for token in value.split():
+                parts = _WORD.findall(token)
+                if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+                    continue
+                for word in NOISE_WORDS.intersection(parts):
+                    words[word] = words.get(word, False) or len(parts) == 1
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             hidden = True
-    return noisy, hidden
+    return words, hidden
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -161,9 +176,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if name in ENDS_BEFORE:
             close(ENDS_BEFORE[name], KEEPS_OPEN.get(name, KEEPS_OPEN["p"]))
         node = Node(name, stack[-1])
-        noisy, hidden = _marks(rest) if rest.strip() else (False, False)
+        words, hidden = _marks(rest) if rest.strip() else ({}, False)
         node.noise = name in NOISE or hidden or (name == "header" and not (opened.get("article") or opened.get("main")))
-        node.marked = noisy and not node.noise and name not in ("body", "main")
+        if words and not node.noise and name not in ("body", "main"):
+            node.words = words
         nodes.append(node)
         if name in EMPTY:
             continue
@@ -174,21 +190,38 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
 
 def _measure(nodes: list[Node]) -> Node:
     """Fill in counts, noise and densities; gives the body, or the page's only main element or article."""
-    own = {id(n): (n.tag in ("article", "main")) for n in nodes}
-    for node in nodes:
+    none: frozenset[tuple[str, bool]] = frozenset()
+    above, within, core, titled, plain = {id(nodes[0]): none}, set(), set(), set(), 0
+    for node in nodes:  # page order, own counts
         node.own_links = _of_links(node)
+        up = node.parent
+        if up is not None:
+            node.noise = node.noise or up.noise
+            above[id(node)] = above[id(up)].union(up.words.items()) if up.words else above[id(up)]
+            if id(up) in within or up.tag in ("article", "main"):
+                within.add(id(node))
+        if not node.noise:
+            plain += node.chars - node.link_chars
+        # Comments are articles too, in another article or in a list of comments.
+        comment = not COMMENT_WORDS.isdisjoint(node.words) and (id(node) in within or any(w in COMMENT_WORDS for w, _ in above[id(node)]))
+        if node.tag == "main" or (node.tag == "article" and not comment):
+            core.add(id(node))
     for node in reversed(nodes[1:]):
         up = node.parent
         up.chars += node.chars
         up.tags += node.tags + 1
         up.link_chars += node.link_chars
         up.link_tags += node.link_tags
-        if own[id(node)]:
-            own[id(up)] = True
-    for node in nodes[1:]:
-        # A class that speaks of a noisy part does not count on an element around the article.
-        holds_article = own[id(node)] and node.tag != "article"
-        node.noise = node.parent.noise or node.noise or (node.marked and not holds_article)
+        if id(node) in core:
+            core.add(id(up))
+        if id(node) in titled or (node.tag == "h1" and node.chars and not _mostly_links(node)):
+            titled.add(id(up))
+    ratio = nodes[0].link_chars / nodes[0].chars if nodes[0].chars else 0.0
+    for node in nodes:
+        node.density = _density(node, ratio)
+        if node.parent is not None and not node.noise:
+            node.parent.sum += node.density
+    _drop_marked(nodes, above, within, core, titled, plain)
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     for tag in ("main", "article"):
         found = [n for n in nodes if n.tag == tag and not n.noise and n.chars]
@@ -196,14 +229,47 @@ def _measure(nodes: list[Node]) -> Node:
         if len(outer) == 1:
             body = outer[0]
             break
-    ratio = nodes[0].link_chars / nodes[0].chars if nodes[0].chars else 0.0
-    for node in nodes:
-        node.density = _density(node, ratio)
-        if node.parent is not None and not node.noise:
-            node.parent.sum += node.density
     return body
 
 
+def _drop_marked(nodes: list[Node], above: dict[int, frozenset[tuple[str, bool]]], within: set[int], core: set[int], titled: set[int], plain: int) -> None:
+    """Make noise of elements whose words name a noisy part, if they consist of links or if all that a word
+    marks is a small share of the page's plain characters; never an article, or the element whose
+    children's densities sum highest, or one around these."""
+    best: Node | None = max((n for n in nodes if not n.noise), key=lambda n: n.sum, default=None)
+    safe = set(core)
+    while best is not None:
+        safe.add(id(best))
+        best = best.parent
+    held: dict[tuple[str, bool], int] = {}  # compounds count apart
+    for node in nodes:
+        if node.words and not node.noise and id(node) not in core:
+            if id(node) in titled:
+                node.words = {w: alone for w, alone in node.words.items() if w not in HEAD_WORDS}
+            for word in node.words.items():
+                if word not in above[id(node)]:
+                    held[word] = held.get(word, 0) + node.chars - node.link_chars
+
+    def dropped(node: Node) -> bool:
+        if 2 * node.link_chars > node.chars:
+            return True
+        for word, alone in node.words.items():
+            loose = word in LOOSE_WORDS
+            if loose and id(node) in within:
+                continue
+            share = SHARE if word in COMMENT_WORDS or (alone and not loose) else LOOSE_SHARE
+            if held[word, alone] < share * plain:
+                return True
+        return False
+
+    for node in nodes[1:]:
+        if node.parent.noise:
+            node.noise = True
+        elif node.words and not node.noise and id(node) not in safe and dropped(node):
+            node.noise = True
+            node.parent.sum -= node.density
+
+
 def _under(node: Node, top: Node) -> bool:
     while node is not None:
         if node is top:

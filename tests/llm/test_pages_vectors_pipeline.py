@@ -62,6 +62,26 @@ def test_short_blocks_beside_the_densest_part_are_kept():
     assert html_density.main_text(f"<body><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a>{mixed}<div>{paragraphs}</div><h1><a href=/t>Title</a></h1>") == f"A plain line.\n{body}\nTitle"
 
 
+def test_words_of_class_and_id_alone_do_not_drop_content():
+    paragraphs = "".join(f"<p>Main text in line {i} of the page.</p>" for i in range(6))
+    body = "\n".join(f"Main text in line {i} of the page." for i in range(6))
+    for page in (
+        "<body><article class='post comments-open'>{}</article>",
+        "<body><div id=content class='has-sidebar'>{}</div>",
+        "<body><div class='layout sidebar-right'>{}</div><div class=sidebar><p>aside</p></div>",
+        "<body><article class=promo id=related>{}</article>",
+    ):
+        assert html_density.main_text(page.format(paragraphs)) == body, page
+    for word in ("share", "notice", "promo", "header", "widget"):
+        assert html_density.main_text(f"<article><h1>T</h1><div class=post-{word}><p>Own words.</p></div>{paragraphs}</article>") == f"T\nOwn words.\n{body}"
+        blocks = "".join(f"<div class='{word}'><p>Main text in line {i} of the page.</p></div>" for i in range(6))
+        assert html_density.main_text(f"<body>{blocks}</body>") == body
+        assert html_density.main_text(f"<article>{paragraphs}<div class={word}><a href=/a>One</a> <a href=/b>Two</a></div></article>") == body
+    assert html_density.main_text(f"<body><div class='cookie-banner'>Yes?</div><div class=post-header><h1>T</h1></div><div>{paragraphs}</div>") == f"T\n{body}"
+    comments = "<div id=comments><ol><li class=comment><article class=comment-body><p>Reader says</p></article></ol></div>"
+    assert html_density.main_text(f"<main><article class=post>{paragraphs}</article>{comments}</main>") == body
+
+
 def test_pages_nested_deeply_and_long():
     deep = "<div>" * 20_000 + "core text" + "</div>" * 20_000
     assert html_density.main_text(deep) == "core text"
