@@ -224,8 +224,13 @@ def _measure(nodes: list[Node]) -> Node:
     _drop_marked(nodes, above, within, core, titled, plain)
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     for tag in ("main", "article"):
-        found = [n for n in nodes if n.tag == tag and not n.noise and n.chars]
-        outer = [n for n in found if not any(n is not m and _under(n, m) for m in found)] if len(found) < 50 else found
+        inside: set[int] = set()  # of an element of this name; page order, parents come first
+        outer = []
+        for node in nodes:
+            if node.tag == tag and not node.noise and node.chars and id(node.parent) not in inside:
+                outer.append(node)
+            if id(node.parent) in inside or (node.tag == tag and not node.noise and node.chars):
+                inside.add(id(node))
         if len(outer) == 1:
             body = outer[0]
             break
@@ -270,14 +275,6 @@ def _drop_marked(nodes: list[Node], above: dict[int, frozenset[tuple[str, bool]]
             node.parent.sum -= node.density
 
 
-def _under(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
 def _of_links(node: Node) -> bool:
     """Whether a block is a list of links: three at least, with over two thirds of its characters."""
     return node.link_tags >= 3 and _mostly_links(node)

@@ -82,6 +82,13 @@ def test_words_of_class_and_id_alone_do_not_drop_content():
     assert html_density.main_text(f"<main><article class=post>{paragraphs}</article>{comments}</main>") == body
 
 
+@pytest.mark.parametrize("n", [1, 48, 49, 50, 200])
+def test_nested_articles_at_any_number(n):
+    nested = "".join(f"<div><article><p>Part {i} of the whole text.</p></article></div>" for i in range(n))
+    page = f"<body><div><p>Outside of the article lies this line of some length.</p></div><article>{nested}</article>"
+    assert html_density.main_text(page) == "\n".join(f"Part {i} of the whole text." for i in range(n))
+
+
 def test_pages_nested_deeply_and_long():
     deep = "<div>" * 20_000 + "core text" + "</div>" * 20_000
     assert html_density.main_text(deep) == "core text"
