@@ -32,12 +32,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group, once if its row repeats.
 
-    Rows with a null doc_id cannot be named by a group and stay.
+    A row with a null doc_id stands for its group if no other has a doc_id; without words each stays.
     """
-    groups = ngram_join.near_duplicates(docs.where("doc_id is not null"))
-    kept = groups.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return one.unionByName(docs.where("doc_id is null"))
+    groups = ngram_join.classified(docs).where("first").groupBy(F.col("row_key").alias("_row")).agg(F.max("has_words").alias("_words"))
+    found = _bundled(docs).withColumn("_row", ngram_join.row_key()).join(groups, "_row")
+    # Rows without name and words are not copies of each other.
+    told = found.withColumn("_apart", F.when(F.col("doc_id").isNull() & ~F.col("_words"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return _spread(told.dropDuplicates(["_row", "doc_id", "text", "_apart"]), docs.columns)
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

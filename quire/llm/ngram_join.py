@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.graph import components
@@ -91,8 +91,13 @@ def _set_id(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def row_key() -> Column:
+    """Names a row by doc_id and text, with a null doc_id too; rows with equal keys are copies."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, set_id, n_bytes, bands) of documents; set_id is null without words."""
+    """(doc_id, row_key, set_id, n_bytes, bands) of documents; set_id is null without words."""
     factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     @F.pandas_udf("set_id binary, n_bytes int, bands array<bigint>")
@@ -108,11 +113,12 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
                     out.append((None, 0, None))
             yield pd.DataFrame(out, columns=["set_id", "n_bytes", "bands"])
 
-    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.set_id", "s.n_bytes", "s.bands")
+    signed = docs.select("doc_id", row_key().alias("row_key"), sign("text").alias("s"))
+    return signed.select("doc_id", "row_key", "s.set_id", "s.n_bytes", "s.bands")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, grams) of the wanted sets, from one document of each (set_id, first_doc)."""
+    """(set_id, grams) of the wanted sets, from the row of each (set_id, row_key)."""
 
     @F.pandas_udf("id binary, grams binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -121,7 +127,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             made = (tool.grams(text if isinstance(text, str) else None) for text in batch)
             yield pd.DataFrame([(_set_id(g), g.tobytes()) for g in made], columns=["id", "grams"])
 
-    texts = docs.select(F.col("doc_id").alias("first_doc"), "text").join(wanted, "first_doc")
+    texts = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key")
     # Not deterministic by name only: the sets are to be made after the join, of the wanted texts alone.
     made = texts.withColumn("g", of.asNondeterministic()("text")).where(F.col("g.id") == F.col("set_id")).select("set_id", F.col("g.grams").alias("grams"))
     return made.dropDuplicates(["set_id"])
@@ -221,13 +227,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     they are. Null texts and texts without words have no grams and no links; each is a class of its own
     with its own doc_id. Rows that repeat are copies of each other. Null doc_ids stay null.
     """
+    return classified(docs, threshold, words, recall).select("doc_id", "class_id", "n_links")
+
+
+def classified(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """(doc_id, row_key, has_words, class_id, n_links, first): as `near_duplicates`, and whether the row, or
+    a copy with its row_key, stands for its class: the smallest doc_id does, a null one if there is no other."""
     small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     signed = written(_signatures(docs, words, bands, rows), "signatures")
     classes = written(
         signed.where("set_id is not null")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.min("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")),
+        .agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "row_key")).alias("first_row"), F.count(F.lit(1)).alias("copies"), F.min("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")),
         "classes",
         files_for(signed.count(), 25_000),
     )
@@ -239,7 +251,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     large = live.where(F.col("n") > SMALL).groupBy("set_id").agg(F.collect_set("band").alias("large_bands"))
     wanted = classes.join(live.select("set_id").distinct(), "set_id").join(large, "set_id", "left")
     sets = written(
-        _sets(docs, wanted.select("set_id", "first_doc"), words).join(
+        _sets(docs, wanted.select("set_id", "first_row.row_key"), words).join(
             wanted.select(
                 "set_id", "copies", "bands", F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.array_contains("large_bands", b), F.lit(False))).alias("large")
             ),
@@ -284,12 +296,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
         .groupBy("set_id")
         .agg(F.sum("n").alias("linked"))
     )
-    rooted = classes.select("set_id", "first_doc", "copies").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rooted = rooted.select("set_id", "first_doc", "copies", F.coalesce("root", "set_id").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    told = rooted.join(named, "root").join(counts, "set_id", "left").select("set_id", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "set_id").join(told, "set_id", "left").select(
-        "doc_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    rooted = classes.select("set_id", "first_row", "copies").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rooted = rooted.select("set_id", "first_row", "copies", F.coalesce("root", "set_id").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first_row").alias("class_row"))
+    told = rooted.join(named, "root").join(counts, "set_id", "left").select("set_id", "class_row", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    has_words = F.col("set_id").isNotNull()
+    return signed.select("doc_id", "row_key", "set_id").join(told, "set_id", "left").select(
+        "doc_id",
+        "row_key",
+        has_words.alias("has_words"),
+        F.when(has_words, F.col("class_row.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (~has_words | (F.col("row_key") == F.col("class_row.row_key"))).alias("first"),
     )
 
 

@@ -56,6 +56,23 @@ def test_a_group_of_different_near_copies(spark, monkeypatch, small):
     assert found(df) == brute(rows)
 
 
+WORDS = [f"w{i}" for i in range(60)]
+
+
+def near_copy(*changed):
+    return " ".join("x" if i in changed else w for i, w in enumerate(WORDS))
+
+
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_copies_without_doc_id(spark, monkeypatch, small):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    # The first and third are linked only through the second, which has no doc_id; the last group has none at all.
+    rows = [(1, near_copy()), (None, near_copy(0, 1, 2, 3)), (3, near_copy(0, 1, 2, 3, 56, 57, 58, 59)), (None, near_copy().upper()), (None, near_copy(5).upper())]
+    want = brute(rows)
+    assert want[None, 1, 2] == 1 and want[3, 1, 1] == 1
+    assert found(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == want
+
+
 def test_query_equals_all_pairs(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert found(ngram_join.op1_ngram_join(spark, SF)) == brute(rows)

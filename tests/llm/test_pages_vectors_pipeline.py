@@ -11,6 +11,7 @@ import corpus_pipeline
 from quire.llm import cover_search, html_density
 from tests.llm.conftest import SF, VECTORS, odd_rows
 from tests.llm.test_ngram_join import brute as near
+from tests.llm.test_ngram_join import near_copy
 from tests.llm.test_packing import check
 from tests.llm.test_text_operators import poisson
 from tools.compare import compare, oracle_connection
@@ -192,6 +193,22 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     check(stages["packing"](spark, fourth, SF), [(r.doc_id, r.text) for r in fourth.collect()])
 
 
+def test_one_row_of_each_group_without_ids_and_with_repeated_ids(spark):
+    first, second, third, other = near_copy(), near_copy().upper(), near_copy().replace("w", "v"), "of its own and with no copy"
+    near_first, near_second, near_third = near_copy(0), near_copy(0).upper(), near_copy(0).replace("w", "v")
+    rows = [
+        (5, first), (None, near_first), (5, near_second), (3, second), (3, second),  # 5 stands for one group, 3 for the other
+        (None, third), (None, near_third), (None, third), (7, other), (7, near_copy().replace("w", "u")), (8, None), (None, " "), (None, " "),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "!") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string")
+    got = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept[None, third] + kept[None, near_third] == 1
+    assert Counter({k: n for k, n in kept.items() if k[0] is not None or k[1] == " "}) == {(5, first): 1, (3, second): 1, (7, other): 1, (7, near_copy().replace("w", "u")): 1, (8, None): 1, (None, " "): 2}
+    assert sum(kept.values()) == 8
+
+
 def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     for frame in (odd_docs, no_docs):
         docs = frame
