@@ -23,8 +23,13 @@ def _spread(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those whose text is null or has no letter go."""
+    """Documents with a language: those whose text is null or has no letter go, and no others.
+
+    If no label can be learnt from, or one is `und` itself, the letters of the text alone decide.
+    """
     profiles = language.learn(docs.where(~language.held_out()))
+    if not profiles or language.UNKNOWN in profiles:
+        return docs.where(language.has_letter("text"))
     told = _bundled(docs).withColumn("_language", language.predict("text", profiles))
     return _spread(told.where(F.col("_language.lang") != language.UNKNOWN), docs.columns)
 

@@ -146,6 +146,17 @@ def predict(text: str | Column, profiles: dict[str, np.ndarray]) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+def has_letter(text: str | Column) -> Column:
+    """Whether a text has a letter, which is when a language can be told for it; false for null."""
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([isinstance(v, str) and any(map(str.isalpha, v)) for v in batch], dtype=bool)
+
+    return run(F.col(text) if isinstance(text, str) else text)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from learning: crc32 of its number as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -209,6 +209,15 @@ def test_one_row_of_each_group_without_ids_and_with_repeated_ids(spark):
     assert sum(kept.values()) == 8
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, lang):
+    rows = [(1, "some words", lang), (2, "日本", lang), (3, "12 !", lang), (4, None, lang), (None, "é", lang), (6, "", lang)]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == {(1, "some words"): 1, (2, "日本"): 1, (None, "é"): 1}
+
+
 def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     for frame in (odd_docs, no_docs):
         docs = frame
