@@ -124,6 +124,29 @@ def audit_inputs(spark: SparkSession, d: str) -> DataFrame:
     return made.select("paper_id", "tables_block", "context", "reason")
 
 
+# The same over all documents with their whole texts; papers without evidence are numbers that no document has.
+WHOLE_TABLES = {**OWN_TABLES, "markdown": "concat('| ', text)"}
+
+
+@query(
+    "e_audit_inputs_whole",
+    f"""WITH {doc_chunks_sql(5)}, {_queries_sql(DIM_QUERIES)}, {_best_sql(3)},
+every AS (SELECT doc_id AS paper_id FROM documents UNION SELECT doc_id + 7 FROM labels),
+tb AS (SELECT {", ".join(f"{e} AS {n}" for n, e in WHOLE_TABLES.items())} FROM documents),
+blk AS (SELECT every.paper_id, concat('[Table 1 | page 1] ', caption, chr(10), markdown) AS x, CASE WHEN tb.paper_id IS NOT NULL AND length(x) <= 6664 THEN x ELSE '{C.NO_TABLES}' END AS tables_block FROM every LEFT JOIN tb ON tb.paper_id = every.paper_id),
+o AS (SELECT DISTINCT paper_id, chunk_index, '[p.' || page || ' | Body]' || chr(10) || trim(text) AS block FROM best),
+c AS (SELECT o.*, tables_block, CAST(ceil(length(block) / 4.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS n FROM o JOIN blk USING (paper_id)),
+t AS (SELECT *, sum(cost) OVER (PARTITION BY paper_id ORDER BY n) AS total FROM c),
+ctx AS (SELECT paper_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM t WHERE n = 1 OR total <= 5000 - ceil(length(tables_block) / 4.0) GROUP BY 1)
+SELECT paper_id, tables_block, context, CASE WHEN context IS NULL THEN '{C.NO_CHUNKS}' || paper_id END AS reason FROM blk LEFT JOIN ctx USING (paper_id)""",
+)
+def audit_inputs_whole(spark: SparkSession, d: str) -> DataFrame:
+    tables = derive(spark, d, "documents", {**WHOLE_TABLES, "headers": "array('a')"})
+    papers = tables.select("paper_id").union(table(spark, d, "labels", "doc_id").selectExpr("doc_id + 7 AS paper_id"))
+    made = C.audit_inputs(papers, doc_chunks(spark, d, 5), tables, _queries(spark, DIM_QUERIES))
+    return made.select("paper_id", "tables_block", "context", "reason")
+
+
 @query(
     "e5_sample_evenly",
     f"""WITH {doc_pages_sql(2)}, n AS (SELECT paper_id, count(*) AS n FROM pages GROUP BY 1)

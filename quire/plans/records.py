@@ -178,6 +178,17 @@ def appended_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("a10_appended_all", "SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents")
+def appended_all(spark: SparkSession, d: str) -> DataFrame:
+    """A log to which all its rows are added again."""
+    from quire.plans.streams import run_folder
+
+    path, rows = run_folder(spark), table(spark, d, "documents", "doc_id", "source")
+    L.append(rows, path)
+    L.append(rows, path)
+    return spark.read.parquet(path)
+
+
 @query("a12_stale_audits", f"WITH {FACTS_SQL} SELECT o_orderkey AS paper_id, o_totalprice AS score FROM orders WHERE o_orderkey NOT IN (SELECT paper_id FROM facts WHERE worst = 'O')")
 def stale_audits(spark: SparkSession, d: str) -> DataFrame:
     audits = derive(spark, d, "orders", {"paper_id": "o_orderkey", "score": "o_totalprice"})

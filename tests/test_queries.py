@@ -28,3 +28,11 @@ def test_query(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_every_document_has_audit_evidence(spark):
+    got = {r.paper_id: r for r in QUERIES["e_audit_inputs_whole"](spark, FOLDER).select("paper_id", "context", "reason").collect()}
+    documents = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("trim(text) <> ''").select("doc_id").collect()}
+    assert all(got[i].context is not None for i in documents)
+    assert any(r.reason is not None for r in got.values())
