@@ -73,7 +73,8 @@ def test_only_functions_of_dataframes(spark):
 @pytest.mark.parametrize(
     "text, labels",
     [
-        ("x released under the MIT licence", ""),
+        ("x released under the MIT licence", "mit"),
+        ("released under the license", ""),
         ("Released, under THE mit-license!", "mit"),
         ("This work is licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
         ("This work is hereby licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
@@ -108,6 +109,6 @@ def test_edited_copies_equal_plain_loops(spark):
 def test_repeated_rows_do_not_add_votes(spark):
     text = "We say: released under the MIT License. And so on."
     df = spark.createDataFrame([(None, text)] * 50 + [(1, text)] * 3, "doc_id bigint, text string").repartition(4)
-    spans = licenses.license_spans(df).collect()
+    spans = licenses.license_spans(df, (("mit", "Released under the MIT License"),)).collect()
     assert sorted((s.doc_id or 0, s.first_word, s.end_word, s.votes, s.coverage) for s in spans) == [(0, 2, 7, 3, 1.0), (1, 2, 7, 3, 1.0)]
     assert licenses.license_labels(df).count() == 53
