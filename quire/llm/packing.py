@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,16 @@ _LATIN_WORDS = re.compile(
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
 
 
+@functools.cache
+def _letter_bytes() -> dict[str, int]:
+    return {letter: b for b, letter in byte_letters().items()}
+
+
+def token_bytes(token: str) -> bytes:
+    """Bytes of an entry of a byte-level vocabulary."""
+    return bytes(map(_letter_bytes().__getitem__, token))
+
+
 @functools.cache
 def _tool(path: str) -> object:
     """The library's tokenizer of a file, one for each Python worker."""
@@ -50,16 +61,20 @@ def _tool(path: str) -> object:
 
 
 class _Words(dict):
-    """Ids of words as bytes, made by the library's own model when a word is first met."""
+    """Ids of words as bytes, merged when a word is first met.
 
-    def __init__(self, model: object) -> None:
+    In a byte-level vocabulary the id of a merged token is its rank plus a constant, so the table of
+    tokens is all that the merging needs.
+    """
+
+    def __init__(self, tool: object) -> None:
         super().__init__()
-        self.model = model
-        letters = byte_letters()
-        self.letters = [letters[b] for b in range(256)]
+        special = {t.content for t in tool.get_added_tokens_decoder().values()}
+        ranks = {token_bytes(token): n for token, n in tool.get_vocab(False).items() if token not in special}
+        self.merge = tiktoken.Encoding("words", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")]))]
+        ids = self.merge(word.encode("utf-8", "surrogatepass"))
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self) >= KEPT_WORDS:
@@ -72,14 +87,15 @@ class Encoder:
     """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit numbers.
 
     The library's result for a text is the concatenation of its model's results for the words of the
-    pattern, so each different word is encoded once and remembered; special strings are cut out first.
+    pattern, so each different word is encoded once and remembered; special strings are cut out first,
+    or are plain text if `special` is false.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
         self.tool = _tool(path)
-        special = sorted(t.content for t in self.tool.get_added_tokens_decoder().values())
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.words = _Words(self.tool.model)
+        found = sorted(t.content for t in self.tool.get_added_tokens_decoder().values()) if special else []
+        self.special = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
+        self.words = _Words(self.tool)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -95,6 +111,12 @@ class Encoder:
         return b"".join(out)
 
 
+@functools.cache
+def encoder(path: str, special: bool = True) -> Encoder:
+    """The encoder of a file, one for each Python worker: its words last over the worker's tasks."""
+    return Encoder(path, special)
+
+
 def _fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """Counts of lengths whose sum is the largest that is at most `room`.
 
@@ -180,7 +202,7 @@ def _pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool) ->
     """Full windows and remainders of documents, with their rank among the pieces of equal length in
     their task, and the remainders' ids, which a later cut needs; all ids if they are wanted."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool, task, seen = Encoder(vocabulary_path(vocabulary)), TaskContext.get().partitionId(), defaultdict(int)
+        tool, task, seen = encoder(vocabulary_path(vocabulary)), TaskContext.get().partitionId(), defaultdict(int)
         small = tool.tool.get_vocab_size() < 1 << 16
         for batch in batches:
             out = []
