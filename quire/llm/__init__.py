@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "cover_search", "suffix_dedup", "mixing", "quality_rules", "quality_bayes", "packing", "language", "token_counts", "html_density", "licenses", "resampling")
+MODULES = ("ngram_join", "cover_search", "suffix_dedup", "mixing", "quality_rules", "quality_bayes", "packing", "language", "token_counts", "html_density", "licenses", "alignment", "resampling")
 
 
 def all_queries() -> dict:
