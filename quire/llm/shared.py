@@ -41,6 +41,6 @@ BATCH_BYTES = 8 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session to BATCH_BYTES, so that long texts do not fill the Python
-    workers of an executor; a session that has set less keeps it."""
-    if int(spark.conf.get(BATCH_KEY).rstrip("b")) > BATCH_BYTES:
+    workers of an executor; a session that has set less keeps it. Sizes are read as Spark reads them."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_KEY)) > BATCH_BYTES:
         spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
