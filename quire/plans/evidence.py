@@ -99,34 +99,13 @@ def gather_evidence(spark: SparkSession, d: str) -> DataFrame:
     return found.select("paper_id", "chunk_index", "ordinal", "cost", "total")
 
 
-# One table per document, some too large for a third of the budget; every ninth document is not indexed.
-OWN_TABLES = {
-    "paper_id": "doc_id", "table_index": "CAST(1 AS BIGINT)", "page": "CAST(1 AS BIGINT)", "caption": "concat('Table 1: ', source)",
-    "markdown": "left(concat('| ', text), CASE WHEN doc_id % 5 = 0 THEN 9000 ELSE 300 END)",
+# One table per document with its whole text, some too large for a third of the budget; papers without
+# evidence are numbers that no document has.
+WHOLE_TABLES = {
+    "paper_id": "doc_id", "table_index": "CAST(1 AS BIGINT)", "page": "CAST(1 AS BIGINT)", "caption": "concat('Table 1: ', source)", "markdown": "concat('| ', text)",
 }
 
 
-@query(
-    "e_audit_inputs",
-    f"""WITH {doc_pages_sql(5)}, chunks AS (SELECT paper_id, page - 1 AS chunk_index, page, text, {buckets_sql("text")} AS b FROM pages WHERE paper_id % 9 > 0), {_queries_sql(DIM_QUERIES)}, {_best_sql(3)},
-tb AS (SELECT {", ".join(f"{e} AS {n}" for n, e in OWN_TABLES.items())} FROM documents),
-blk AS (SELECT paper_id, concat('[Table 1 | page 1] ', caption, chr(10), markdown) AS x, CASE WHEN length(x) <= 6664 THEN x ELSE '{C.NO_TABLES}' END AS tables_block FROM tb),
-o AS (SELECT DISTINCT paper_id, chunk_index, '[p.' || page || ' | Body]' || chr(10) || trim(text) AS block FROM best),
-c AS (SELECT o.*, tables_block, CAST(ceil(length(block) / 4.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS n FROM o JOIN blk USING (paper_id)),
-t AS (SELECT *, sum(cost) OVER (PARTITION BY paper_id ORDER BY n) AS total FROM c),
-ctx AS (SELECT paper_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM t WHERE n = 1 OR total <= 5000 - ceil(length(tables_block) / 4.0) GROUP BY 1)
-SELECT paper_id, tables_block, context, CASE WHEN context IS NULL THEN '{C.NO_CHUNKS}' || paper_id END AS reason FROM blk LEFT JOIN ctx USING (paper_id)""",
-)
-def audit_inputs(spark: SparkSession, d: str) -> DataFrame:
-    tables = derive(spark, d, "documents", {**OWN_TABLES, "headers": "array('a')"})
-    chunks = doc_chunks(spark, d, 5).filter("paper_id % 9 > 0")
-    made = C.audit_inputs(tables.select("paper_id"), chunks, tables, _queries(spark, DIM_QUERIES))
-    return made.select("paper_id", "tables_block", "context", "reason")
-
-
-# The same over all documents with their whole texts; papers without evidence are numbers that no document has.
-WHOLE_TABLES = {**OWN_TABLES, "markdown": "concat('| ', text)"}
-
 
 @query(
     "e_audit_inputs_whole",

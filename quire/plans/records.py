@@ -167,17 +167,6 @@ def upload_activity(spark: SparkSession, d: str) -> DataFrame:
     return L.activity_of_uploads(derive(spark, d, "part", {"paper_id": "p_partkey", "file_name": "concat(p_name, '.pdf')", "created_at": "p_size"}))
 
 
-@query("a10_appended_rows", "SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0")
-def appended_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A log that is written and added to."""
-    from quire.plans.streams import run_folder
-
-    path, rows = run_folder(spark), table(spark, d, "documents", "doc_id", "source")
-    L.append(rows, path)
-    L.append(rows.filter("doc_id % 2 = 0"), path)
-    return spark.read.parquet(path)
-
-
 @query("a10_appended_all", "SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, source FROM documents")
 def appended_all(spark: SparkSession, d: str) -> DataFrame:
     """A log to which all its rows are added again."""
