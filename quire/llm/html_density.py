@@ -31,8 +31,11 @@ BLOCKS = frozenset(
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 NOISE = frozenset(
-    "head nav footer aside form button select option datalist menu dialog noscript template object iframe svg canvas audio video map fieldset search".split()
+    "head nav footer aside button select option datalist menu dialog noscript template object iframe svg canvas audio video map search".split()
 )
+# Pages are wrapped in one form by some servers, so these are judged by their text, as elements with noise words are.
+FORMS = frozenset(["form", "fieldset"])
+CONTROLS = frozenset(["input", "select", "textarea", "button"])
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices newsletter subscribe signup comment comments disqus respond replies related recommended share sharing social footer header "
@@ -67,7 +70,7 @@ class Node:
     """A block element: its place in the tree, its counts, whether it is noise of a page, and the noise words
     that it bears, with whether the word stands alone."""
 
-    __slots__ = ("chars", "density", "inside", "link_chars", "link_tags", "noise", "own_links", "parent", "sum", "tag", "tags", "words")
+    __slots__ = ("chars", "controls", "density", "inside", "link_chars", "link_tags", "noise", "own_links", "parent", "sum", "tag", "tags", "words")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
@@ -75,6 +78,7 @@ class Node:
         self.density = self.sum = 0.0
         self.noise = self.inside = self.own_links = False
         self.words: dict[str, bool] = {}
+        self.controls = 0
 
 
 def _marks(rest: str) -> tuple[dict[str, bool], bool]:
@@ -159,6 +163,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                     depth -= 1
                 close_to(max(depth, 1))
             continue
+        if name in CONTROLS:
+            stack[-1].controls += 1
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end_of_page if not stop else page.find(">", stop.end()) + 1 or end_of_page
@@ -180,6 +186,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         node.noise = name in NOISE or hidden or (name == "header" and not (opened.get("article") or opened.get("main")))
         if words and not node.noise and name not in ("body", "main"):
             node.words = words
+        if name in FORMS and not node.noise:
+            node.words = {**node.words, name: True}
         nodes.append(node)
         if name in EMPTY:
             continue
@@ -212,6 +220,7 @@ def _measure(nodes: list[Node]) -> Node:
         up.tags += node.tags + 1
         up.link_chars += node.link_chars
         up.link_tags += node.link_tags
+        up.controls += node.controls
         if id(node) in core:
             core.add(id(up))
         if id(node) in titled or (node.tag == "h1" and node.chars and not _mostly_links(node)):
@@ -260,7 +269,7 @@ def _drop_marked(nodes: list[Node], above: dict[int, frozenset[tuple[str, bool]]
             return True
         for word, alone in node.words.items():
             loose = word in LOOSE_WORDS
-            if loose and id(node) in within:
+            if (loose and id(node) in within) or (word == "fieldset" and not node.controls):
                 continue
             share = SHARE if word in COMMENT_WORDS or (alone and not loose) else LOOSE_SHARE
             if held[word, alone] < share * plain:

@@ -90,6 +90,16 @@ def test_nested_articles_at_any_number(n):
     assert html_density.main_text(page) == "\n".join(f"Part {i} of the whole text." for i in range(n))
 
 
+def test_forms_are_judged_by_their_text():
+    says = "Paragraph {} of the article with many words that say something new about the sea, and the ships on it."
+    article = "<h1>Title of it</h1>" + "".join(f"<p>{says.format(i)}</p>" for i in range(6))
+    text = "\n".join(["Title of it", *[says.format(i) for i in range(6)]])
+    field = "<fieldset><p>A boxed remark, which is a part of the article.</p></fieldset>"
+    assert html_density.main_text(f"<body><form id=frame><input type=hidden name=state><div>{article}</div></form></body>") == text
+    assert html_density.main_text(f"<body><form><nav><a href=1>Home</a></nav><input name=q><div>{article}{field}</div></form></body>") == text + "\nA boxed remark, which is a part of the article."
+    assert html_density.main_text(f"<body><div>{article}</div><form><label>Name</label><p>Send us a message</p><input><button>Send</button></form></body>") == text
+
+
 def test_pages_nested_deeply_and_long():
     deep = "<div>" * 20_000 + "core text" + "</div>" * 20_000
     assert html_density.main_text(deep) == "core text"
