@@ -1,30 +1,34 @@
 """Exact cosine top-k, routing, hit shaping, citations.
 
-Scoring runs inside the tasks that read the vectors: each Arrow batch is multiplied with the matrix
-of query vectors and only the best k rows per query leave a task. No pair of a query and a chunk
-ever becomes a row, and the query matrix is broadcast only up to a fixed number of queries; a larger
-set of queries is served in several passes over the vectors.
+Scoring runs inside the tasks that read the vectors. The queries are a table of bounded files in the
+shared folder; a task holds a slice of vectors, reads the files one after another, and lets only the best
+k rows per query leave. No pair of a query and a chunk ever becomes a row, no query passes through the
+driver, and the vectors are read once whatever the number of queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from quire.operators.scan import first_rows
+from quire.session import new_folder
 
 TOP_K = 5
 TOP_K_TABLES = 2
 TABLE_MODE_K = (3, 4)  # text, tables
 MAX_TABLE_CHARS = 6000
-QUERY_BLOCK = 8192  # 64 MB of 1024-dimensional doubles
+QUERY_BLOCK = 8192  # queries of a file: 64 MB of 1024-dimensional doubles
+SLICE_BYTES = 64 << 20  # vectors a task holds while it reads the queries
 _SLICE = 256
 DECIMALS = 9
 _SLACK = 2e-9
@@ -47,15 +51,33 @@ def paper_filter(df: DataFrame, papers: Sequence | DataFrame | None, column: str
     return df.filter(F.col(column).isin(list(papers))) if len(papers) else df
 
 
-def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    """Queries in pieces that are small enough to broadcast."""
-    sample = queries.limit(block + 1).collect()
-    if len(sample) <= block:
-        yield sample
-        return
-    parts = -(-queries.count() // max(1, block // 2))
-    for part in range(parts):
-        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+def _stored(queries: DataFrame, block: int) -> tuple[int, list[str]]:
+    """The number of queries, and files of at most about `block` of them. Rows are dealt out by number, so
+    a query_id that is repeated lies in many files."""
+    spark = queries.sparkSession
+    folder = new_folder(spark, "queries")
+    queries.write.parquet(folder)
+    held = spark.read.schema(queries.schema).parquet(folder)
+    n = held.count()
+    if len(held.inputFiles()) > -(-n // block) or n > block:
+        folder = f"{folder}-dealt"
+        held.repartition(max(1, -(-n // block))).write.option("maxRecordsPerFile", block).parquet(folder)
+        held = spark.read.schema(queries.schema).parquet(folder)
+    return n, sorted(held.inputFiles()) if n else []
+
+
+@lru_cache(maxsize=2)
+def _queries_of(file: str) -> tuple[pa.Array, np.ndarray, list[set | None]]:
+    """Ids, vectors and allowed papers of the queries in a file, as a task reads them."""
+    system, path = pa.fs.FileSystem.from_uri(file)
+    told = pa.parquet.read_table(path, filesystem=system).combine_chunks()
+    rows = told.num_rows
+    vectors = told.column("embedding").combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False) if rows else np.empty(0)
+    if rows and (len(flat) % rows or np.ptp(vectors.value_lengths().to_numpy(zero_copy_only=False))):
+        raise ValueError("every query must have the same number of dimensions")
+    allowed = [set(p) if p else None for p in told.column("paper_ids").to_pylist()] if "paper_ids" in told.column_names else [None] * rows
+    return told.column("query_id").combine_chunks(), flat.reshape(rows, len(flat) // rows if rows else 0), allowed
 
 
 def _norms(m: np.ndarray) -> np.ndarray:
@@ -63,6 +85,13 @@ def _norms(m: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, n)
 
 
+def _places(papers: np.ndarray) -> dict:
+    """Rows of each paper of a slice."""
+    names, coded = np.unique(papers, return_inverse=True)
+    order = np.argsort(coded, kind="stable")
+    return dict(zip(names.tolist(), np.split(order, np.cumsum(np.bincount(coded))[:-1]), strict=True))
+
+
 def _best(
     vectors: np.ndarray, matrix: np.ndarray, ties: list[np.ndarray], groups: np.ndarray | None,
     allowed: list[set | None], papers: np.ndarray | None, k: int, min_score: float | None,
@@ -74,15 +103,22 @@ def _best(
     """
     rows, cols, scores = [], [], []
     row_norm, query_norm = _norms(vectors), _norms(matrix)
-    names, coded = np.unique(papers, return_inverse=True) if any(a is not None for a in allowed) else ((), None)
-    code_of = {name: at for at, name in enumerate(names)}
+    places = _places(papers) if any(a is not None for a in allowed) else {}
+    open_to_all = [q for q, a in enumerate(allowed) if a is None]
     for first in range(0, len(matrix), _SLICE):
-        rough = (vectors @ matrix[first : first + _SLICE].T) / row_norm[:, None] / query_norm[None, first : first + _SLICE]
-        for q in range(first, first + rough.shape[1]):
-            near = rough[:, q - first]
-            pool = np.arange(len(near))
-            if allowed[q] is not None:
-                pool = pool[np.isin(coded, [code_of[p] for p in allowed[q] if p in code_of])]
+        every = [q for q in open_to_all[first : first + _SLICE]]
+        rough = (vectors @ matrix[every].T) / row_norm[:, None] / query_norm[None, every] if every else None
+        own = [q for q in range(first, min(first + _SLICE, len(matrix))) if allowed[q] is not None]
+        for q, at in [*((q, n) for n, q in enumerate(every)), *((q, None) for q in own)]:
+            if at is not None:
+                pool, near = np.arange(len(vectors)), rough[:, at]
+            else:  # a restricted query meets the rows of its papers and no others
+                found = [places[p] for p in allowed[q] if p in places]
+                if not found:
+                    continue
+                pool = np.sort(np.concatenate(found))
+                near = np.full(len(vectors), -np.inf)
+                near[pool] = vectors[pool] @ matrix[q] / row_norm[pool] / query_norm[q]
             if not len(pool):
                 continue
             group = np.zeros(len(pool), int) if groups is None else groups[pool]
@@ -127,8 +163,9 @@ def knn(
     restriction). `per_paper` ranks within each paper. A `min_score` of 0 means no threshold. Ties
     break by `keys`. `payload` columns come along; name few, or join them to the hits later. Chunks
     with an index below `openers` are returned for every query, without rank and score, beside its best
-    others; this is for a short list of queries.
-    Rows without a vector take no part. The queries are read to the driver when the plan is made.
+    others; this is for at most `block` queries.
+    Rows without a vector take no part. The queries are written to the shared folder when the plan is made.
+    A restricted query is multiplied with the vectors of its papers only.
     """
     keys, payload = list(keys), list(payload)
     source = paper_filter(chunks, papers).filter(F.col("embedding").isNotNull()).select(*keys, *payload, F.col("embedding").cast("array<double>").alias("embedding"))
@@ -142,65 +179,81 @@ def knn(
     )
     wanted = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *(["paper_ids"] if own_papers else []))
 
-    def one_pass(piece: list) -> DataFrame:
-        matrix = np.array([r["embedding"] for r in piece], dtype=float)
-        allowed = [set(r["paper_ids"]) if own_papers and r["paper_ids"] else None for r in piece]
-        shared = source.sparkSession.sparkContext.broadcast(([r["query_id"] for r in piece], matrix, allowed))
-
-        def shrink(held: pa.Table) -> pa.Table:
-            """The best k rows of each query of what a task has seen so far."""
-            query = held.column("_q").to_numpy()
-            ties = [held.column(c).to_numpy() for c in keys]
-            order = np.lexsort([*reversed(ties), -held.column("score").to_numpy(), query])
-            starts = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
-            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-            return held.take(pa.array(order[place < k]))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, allowed = shared.value
-            held, limit = None, 4 * k * len(ids) + 1024
-            for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-                if len(vectors) != batch.num_rows * matrix.shape[1]:
-                    raise ValueError(f"every vector must have {matrix.shape[1]} dimensions, like the queries")
-                vectors = vectors.reshape(batch.num_rows, -1)
-                ties = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
-                names = ties[0]
-                groups = np.unique(names, return_inverse=True)[1] if per_paper else None
-                at, query, value = _best(vectors, matrix, ties, groups, allowed, names, k, min_score)
-                out_ids = pa.array(ids, type=id_type).take(pa.array(query))
-                kept = [batch.column(c).take(pa.array(at)) for c in keys + payload]
-                made = pa.RecordBatch.from_arrays([out_ids, *kept, pa.array(value)], names=["query_id", *keys, *payload, "score"])
-                if per_paper:  # papers are many, so their rankings are merged by the shuffle
-                    yield made
-                    continue
-                part = pa.Table.from_batches([made]).append_column("_q", pa.array(query))
-                held = part if held is None else pa.concat_tables([held, part])
-                if held.num_rows > limit:
-                    held = shrink(held)
-            if held is not None and held.num_rows:
-                yield from shrink(held).drop_columns(["_q"]).combine_chunks().to_batches()
-
-        return source.mapInArrow(score, schema)
-
-    passes = [one_pass(piece) for piece in _query_blocks(wanted, block) if piece]
-    if not passes:
-        passes = [source.sparkSession.createDataFrame([], schema)]
-    hits = reduce(DataFrame.unionByName, passes)
+    n_queries, files = _stored(wanted, block)
+    if not n_queries:
+        return source.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+
+    def shrink(held: pa.Table) -> pa.Table:
+        """The best k rows of each query of what a task has seen so far."""
+        query = held.column("_q").to_numpy()
+        ties = [held.column(c).to_numpy() for c in keys]
+        order = np.lexsort([*reversed(ties), -held.column("score").to_numpy(), query])
+        starts = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        return held.take(pa.array(order[place < k]))
+
+    def scored(rows: pa.Table, file: str) -> pa.Table:
+        """The best rows of a slice for the queries of a file."""
+        ids, matrix, allowed = _queries_of(file)
+        if not len(ids):
+            return pa.Table.from_batches([], to_arrow_schema(schema).append(pa.field("_q", pa.int64())))
+        vectors = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        if len(vectors) != rows.num_rows * matrix.shape[1]:
+            raise ValueError(f"every vector must have {matrix.shape[1]} dimensions, like the queries")
+        ties = [rows.column(c).to_numpy() for c in keys]
+        groups = np.unique(ties[0], return_inverse=True)[1] if per_paper else None
+        at, query, value = _best(vectors.reshape(rows.num_rows, -1), matrix, ties, groups, allowed, ties[0], k, min_score)
+        kept = rows.select([*keys, *payload]).take(pa.array(at))
+        made = [ids.cast(id_type).take(pa.array(query)), *kept.columns, pa.array(value), pa.array(query)]
+        return pa.Table.from_arrays(made, names=["query_id", *keys, *payload, "score", "_q"])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= SLICE_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(files) > 1 or per_paper:  # results go out slice by slice, and are merged by the shuffle
+            for rows in slices(batches):
+                for file in files:
+                    yield from scored(rows, file).drop_columns(["_q"]).combine_chunks().to_batches()
+            return
+        held = None
+        for rows in slices(batches):
+            part = scored(rows, files[0])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows > 4 * k * n_queries + 1024:
+                held = shrink(held)
+        if held is not None and held.num_rows:
+            yield from shrink(held).drop_columns(["_q"]).combine_chunks().to_batches()
+
+    hits = source.mapInArrow(score, schema)
     group = ["query_id", keys[0]] if per_paper else ["query_id"]
     order = [F.desc("score"), *[F.col(c) for c in keys]]
     best = first_rows(hits, group, order, k)
     if not openers:
         return best
-    # Openers are read by their own filter, without vectors and scores, and given to each of the few queries.
-    every = wanted.select("query_id").limit(block + 1).collect()
-    if len(every) > block:
+    if n_queries > block:
         raise ValueError(f"openers are for at most {block} queries")
-    ids = F.array(*[F.lit(r["query_id"]) for r in every]).cast(T.ArrayType(query_type))
-    first = source.filter(F.col(keys[1]) < openers).select(F.explode(ids).alias("query_id"), *keys, *payload, F.lit(None).cast("double").alias("score"))
-    return best.filter(F.col(keys[1]) >= openers).unionByName(first.withColumn("rank", F.lit(None).cast("int")))
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row once for each query."""
+        ids = [_queries_of(file)[0].cast(id_type) for file in files]
+        for batch in batches:
+            for one in (i for own in ids for i in own):
+                yield pa.RecordBatch.from_arrays([pa.array([one.as_py()] * batch.num_rows, id_type), *batch.columns], names=["query_id", *keys, *payload])
+
+    # Openers are read by their own filter, without vectors and scores.
+    plain = T.StructType(schema.fields[:-1])
+    first = source.filter(F.col(keys[1]) < openers).select(*keys, *payload).mapInArrow(given, plain)
+    return best.filter(F.col(keys[1]) >= openers).unionByName(first.withColumns({"score": F.lit(None).cast("double"), "rank": F.lit(None).cast("int")}))
 
 
 def attach(hits: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

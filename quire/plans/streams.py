@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.plans.inputs import derive, doc_pages, doc_pages_sql
 from quire.plans.reading import NORMAL, chunks_sql, dropped_sql, edges_sql
 from quire.plans.registry import query
-from quire.session import CHECKPOINT_KEY
+from quire.session import new_folder
 from quire.sources.pages import wide_table
 from quire.streaming import events as E
 from quire.streaming.indexing import NO_TEXT, Sink, index_pages, index_stream
@@ -19,14 +16,8 @@ from quire.streaming.library import LAYOUT, Library, library_stream
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A fresh folder for one run, below the shared folder the cluster names. Only a local session, whose
-    tasks all run on one machine, may do without and uses its warehouse folder."""
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(base, f"quire-{uuid.uuid4().hex}")
+    """A fresh folder for one run."""
+    return new_folder(spark, "run")
 
 
 # Tokens of answers: the words of assistant turns between a meta and a done event.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return named
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one run, below the shared folder the cluster names. Only a local session, whose
+    tasks all run on one machine, may do without and uses its warehouse folder."""
+    base = spark.conf.get(CHECKPOINT_KEY, None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(base, f"quire-{name}-{uuid.uuid4().hex}")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy row work enough tasks when the scan has fewer splits than there are cores.
 

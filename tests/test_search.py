@@ -54,6 +54,32 @@ def test_knn_equals_brute_force_with_copies_filters_and_many_passes(spark):
     assert search.knn(chunks, asked, 2, papers=[]).count() == 2 * len(queries)
 
 
+def test_restricted_queries_meet_their_papers_only():
+    class Counted(np.ndarray):
+        rows = 0
+
+        def __matmul__(self, other):
+            Counted.rows += len(self)
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(5)
+    vectors, papers = rng.normal(size=(60, 4)), np.array([f"p{i % 6}" for i in range(60)], object)
+    matrix, allowed = rng.normal(size=(3, 4)), [{"p1"}, {"p2", "p5", "none"}, {"none"}]
+    at, query, value = search._best(vectors.view(Counted), matrix, [papers, np.arange(60)], None, allowed, papers, 5, None)
+    assert Counted.rows == 10 + 20
+    for q in range(3):
+        own = [i for i in range(60) if papers[i] in allowed[q]]
+        cosine = {i: vectors[i] @ matrix[q] / np.linalg.norm(vectors[i]) / np.linalg.norm(matrix[q]) for i in own}
+        assert sorted(at[query == q]) == sorted(sorted(own, key=lambda i: -cosine[i])[:5])
+
+
+def test_queries_with_one_id_share_their_places(spark):
+    chunks = spark.createDataFrame([("a", i, [float(i), 1.0]) for i in range(6)], "paper_id string, chunk_index int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, float(n)]) for n in range(20)], "query_id int, embedding array<double>").repartition(4)
+    got = search.knn(chunks, asked, 3, block=4)
+    assert got.count() == 3 and got.agg(F.max("rank")).first()[0] == 3
+
+
 def test_needs_tables(one):
     assert one(search.needs_tables, "Which accuracy has the gauge?", "Compare both quays", "Who built the lighthouse?", "Over 3 winters") == [True, True, False, True]
 
