@@ -77,9 +77,12 @@ def activity_of_uploads(files: DataFrame) -> DataFrame:
     return files.select(F.lit("upload").alias("event_type"), F.concat(F.lit("Uploaded "), "file_name").alias("description"), "paper_id", "created_at")
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add rows to a log table."""
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, batch: int) -> None:
+    """Add the rows of a numbered batch to a log table; a batch that is run again replaces itself.
+
+    The log has a column `batch`. To commit logs together with tables use `store.Store`.
+    """
+    rows.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={int(batch)}")
 
 
 def update_by_key(
