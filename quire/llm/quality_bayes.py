@@ -59,7 +59,9 @@ def _evidence(slim: DataFrame, labels: DataFrame, names: list[str]) -> Column:
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     known = slim.join(marks, "doc_id")
     each = known.select("y", F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("b")) for n in names])).alias("x"))
-    counts = each.groupBy("x.f", "x.b").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")).limit(BINS * len(names)).collect()
+    counts = each.groupBy("x.f", "x.b").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad")).limit(BINS * len(names) + 1).collect()
+    if len(counts) > BINS * len(names):
+        raise ValueError(f"a feature has more than {BINS} bins")
     good = sum(r["good"] for r in counts if r["f"] == names[0])
     bad = sum(r["bad"] for r in counts if r["f"] == names[0])
     total = F.lit(0.0)
@@ -100,17 +102,24 @@ def _strength(groups: DataFrame, n: str, total: str, above: str) -> DataFrame:
     return sums.select("some", F.least(F.greatest(strength, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)).alias("strength"))
 
 
+def _named(group: Column) -> Column:
+    """Name of a group that joins can use: null has a name that no text has."""
+    return F.when(group.isNull(), "").otherwise(F.concat(F.lit("="), group.cast("string")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, kept, doc_evidence, host_posterior, path_posterior), one row per input row.
 
-    Null hosts and paths are groups of their own. Null texts count as empty; labels that are null or
+    Null hosts and paths are groups of their own, apart from empty ones. Null and empty texts count as empty,
+    very long ones are read whole, equal texts of one path have equal scores, and a score at the threshold is
+    kept. A null doc_id has no label. An empty table gives no rows; other columns are ignored. Labels that are null or
     belong to no document are ignored, several for one document are averaged, and without any label
     every score is 0.5. Features are written to the shared folder once; later passes read only them.
     """
     feats = features(F.col("text"))
     names = list(feats)
     slim = written(
-        docs.select("doc_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), *[c.alias(n) for n, c in feats.items()]),
+        docs.select("doc_id", _named(host).alias("host"), _named(path).alias("path"), *[c.alias(n) for n, c in feats.items()]),
         "features",
     )
     told = slim.select("doc_id", "host", "path", _evidence(slim, labels, names).alias("doc_evidence")).withColumn("p", _sigmoid(F.col("doc_evidence")))

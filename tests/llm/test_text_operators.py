@@ -196,6 +196,68 @@ def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
     assert quality_bayes.classify(no_docs, labels, *args).count() == 0
 
 
+def bayes(rows, marks):
+    """Posteriors and scores of rows (doc_id, host, path, bins by feature) by plain loops over the formulas."""
+    names = sorted(rows[0][3])
+    up, down, good, bad = {}, {}, 0.0, 0.0
+    for doc_id, _, _, bins in rows:
+        for y in [sum(marks[doc_id]) / len(marks[doc_id])] if marks.get(doc_id) else []:
+            good, bad = good + y, bad + 1 - y
+            for f in names:
+                up[f, bins[f]] = up.get((f, bins[f]), 0) + y
+                down[f, bins[f]] = down.get((f, bins[f]), 0) + 1 - y
+    told = []
+    for doc_id, host, path, bins in rows:
+        seen = [(f, bins[f]) for f in names if (f, bins[f]) in up]
+        ratio = sum(math.log((up[x] + 1) / (good + 16)) - math.log((down[x] + 1) / (bad + 16)) for x in seen) * 0.5
+        told.append((doc_id, host, path, ratio, 1 / (1 + math.exp(-ratio))))
+
+    def groups(key):
+        out = {}
+        for r in told:
+            n, p = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, p + r[4])
+        return out
+
+    def posterior(own, above):
+        spread = sum(n * (p / n - above(k)) ** 2 for k, (n, p) in own.items())
+        noise = sum(above(k) * (1 - above(k)) for k in own)
+        within = sum(n * above(k) * (1 - above(k)) for k, (n, _) in own.items())
+        total = sum(n for n, _ in own.values())
+        strength = min(max(within / total / max((spread - noise) / total, 1e-9) - 1, 1.0), 10_000.0)
+        return {k: (p + strength * above(k)) / (n + strength) for k, (n, p) in own.items()}
+
+    hosts = groups(lambda r: r[1])
+    prior = sum(p for _, p in hosts.values()) / len(told)
+    of_host = posterior(hosts, lambda k: prior)
+    of_path = posterior(groups(lambda r: (r[1], r[2])), lambda k: of_host[k[0]])
+    out = []
+    for doc_id, host, path, ratio, _ in told:
+        p = min(max(of_path[host, path], 1e-6), 1 - 1e-6)
+        out.append((doc_id, 1 / (1 + math.exp(-(ratio + math.log(p) - math.log(1 - p)))), of_host[host], of_path[host, path]))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def test_classifier_equals_plain_loops(spark):
+    rng = random.Random(12)
+    good, bad = "a plain sentence of the usual kind with some words in it", "### $$$ %%% &&& ***"
+    hosts = [None, "", "h1", "h2", "h3", "="]
+    rows = [(i if i % 29 else None, " ".join(rng.choice([good, good, bad, "WORDS!! 12", ""]) for _ in range(rng.randint(0, 5))), rng.choice(hosts), rng.choice([None, "", "x", "y"])) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
+    given = [(i, rng.randint(0, 1)) for i in range(0, 240, 3)] + [(3, 1), (6, None), (None, 1), (999, 0)]
+    marks = {}
+    for i, y in given:
+        if i is not None and y is not None:
+            marks.setdefault(i, []).append(y)
+    bins = docs.select("doc_id", "host", "path", F.struct(*[c.alias(n) for n, c in quality_bayes.features(F.col("text")).items()]).alias("bins")).collect()
+    want = bayes([(r.doc_id, r.host, r.path, r.bins.asDict()) for r in bins], marks)
+    labels = spark.createDataFrame(given, "doc_id bigint, quality int")
+    got = quality_bayes.classify(docs, labels, F.col("host"), F.col("path")).collect()
+    got = sorted(((r.doc_id, r.score, r.host_posterior, r.path_posterior) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert all(abs(a - b) < 1e-9 for g, w in zip(got, want, strict=True) for a, b in zip(g[1:], w[1:], strict=True))
+
+
 def test_sparse_paths_shrink_towards_their_host(spark):
     good, bad = "a plain sentence of the usual kind with some words in it", "### $$$ %%% &&& ***"
     rows = [(i, good if i % 10 else bad, "h1", "h1/a") for i in range(100)] + [(200, bad, "h1", "h1/b")] + [(300 + i, bad, "h2", "h2/a") for i in range(50)]
