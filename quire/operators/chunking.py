@@ -19,65 +19,103 @@ OVERLAP = 60
 
 
 _PIECES = "array<struct<text: string, open: boolean>>"
-_HELD = "array<struct<text: string, at: bigint>>"
+_FOLD = 1024  # pieces of a block
+_SPANS = "array<struct<start: int, stop: int, open: boolean>>"
 
 
-def _pieces(text: Column, separator: str, size: int) -> Column:
+def _pieces(text: Column, separator: Column, size: int) -> Column:
     """Pieces of a text that keep their separator; without one, windows of `size` tokens."""
-    if not separator:
-        return T.hard_split(text, size)
-    cut = F.split(text, "\\Q" + separator + "\\E", -1)
-    return let(cut, lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, F.concat(x, F.lit(separator))).otherwise(x)))
+    cut = F.split(text, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), -1)
+    kept = let(cut, lambda p: F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, F.concat(x, separator)).otherwise(x)))
+    return F.when(separator == "", T.hard_split(text, size)).otherwise(kept)
 
 
-def _merged(pieces: Column, size: int, overlap: int) -> Column:
-    """Chunks from pieces in order: pieces that fit are gathered up to `size` tokens, and of a full chunk
-    the longest tail within `overlap` tokens that leaves room begins the next; larger pieces stay open.
+def _tail(needs: Column, start: Column, stop: Column, room: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of (kept, need): how many of the last pieces before `stop` hold `room` tokens at most, and how many they hold."""
+    # Read by index: a slice would visit the whole array.
+    backwards = F.transform(F.sequence(stop - 1, start, F.lit(-1)), lambda i: F.get(needs, i))
+    none = F.struct(F.lit(0).alias("kept"), F.lit(0).cast("bigint").alias("need"), F.lit(True).alias("more"))
+
+    def step(t: Column, need: Column) -> Column:
+        fits = t["more"] & (t["need"] + need <= room)
+        return F.when(fits, F.struct((t["kept"] + 1).alias("kept"), (t["need"] + need).alias("need"), F.lit(True).alias("more"))).otherwise(
+            F.struct(t["kept"].alias("kept"), t["need"].alias("need"), F.lit(False).alias("more"))
+        )
+
+    return F.aggregate(backwards, none, step, then)
+
 
-    Held pieces remember the running total at which they begin, so the tail is a filter over them.
+def _spans(needs: Column, size: int, overlap: int) -> Column:
+    """Chunks as ranges of pieces: pieces that fit are gathered up to `size` tokens, and of a full chunk the
+    longest tail within `overlap` tokens that leaves room begins the next; larger pieces stay open.
+
+    The fold moves numbers only: `at` is the next piece, `start` the first one held and `held` the tokens
+    since. A held piece is looked at again only when its chunk is full. Spark copies the state of a fold at
+    every step, so pieces are folded in blocks whose state holds the chunks of the block alone.
     """
-    flushed = lambda s: F.when(
-        F.size(s["held"]) > 0,
-        F.concat(s["out"], F.array(F.struct(T.strip(F.array_join(F.transform(s["held"], lambda h: h["text"]), "")).alias("text"), F.lit(False).alias("open")))),
-    ).otherwise(s["out"])
 
-    def state(out: Column, held: Column, total: Column) -> Column:
-        return F.struct(out.cast(_PIECES).alias("out"), held.cast(_HELD).alias("held"), total.cast("bigint").alias("total"))
+    def state(at: Column, start: Column, held: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), start.alias("start"), held.alias("held"), out.alias("out"))
+
+    span = lambda start, stop, is_open: F.array(F.struct(start.alias("start"), stop.alias("stop"), F.lit(is_open).alias("open")))
+    flushed = lambda s: F.when(s["start"] < s["at"], F.concat(s["out"], span(s["start"], s["at"], False))).otherwise(s["out"])
 
-    def add(s: Column, piece: Column, need: Column) -> Column:
-        own = F.array(F.struct(piece.alias("text"), s["total"].alias("at")))
-        weight = s["total"] - F.coalesce(F.try_element_at(s["held"], F.lit(1))["at"], s["total"])
+    def add(s: Column, need: Column) -> Column:
+        after = s["at"] + 1
         room = F.least(F.lit(overlap).cast("bigint"), size - need)
-        tail = F.filter(s["held"], lambda h: s["total"] - h["at"] <= room)
         return (
-            F.when(need > size, state(F.concat(flushed(s), F.array(F.struct(piece.alias("text"), F.lit(True).alias("open")))), F.array(), s["total"]))
-            .when(weight + need > size, state(flushed(s), F.concat(tail, own), s["total"] + need))
-            .otherwise(state(s["out"], F.concat(s["held"], own), s["total"] + need))
+            F.when(s["held"] + need <= size, state(after, s["start"], s["held"] + need, s["out"]))
+            .when(need > size, state(after, after, F.lit(0).cast("bigint"), F.concat(flushed(s), span(s["at"], after, True))))
+            .otherwise(_tail(needs, s["start"], s["at"], room, lambda t: state(after, s["at"] - t["kept"], t["need"] + need, flushed(s))))
         )
 
-    start = state(F.array(), F.array(), F.lit(0))
-    return F.aggregate(pieces, start, lambda s, p: add(s, p, T.count_tokens(p)), flushed)
+    none = F.array().cast(_SPANS)
+
+    def add_block(s: Column, first: Column) -> Column:
+        own = F.transform(F.sequence(first, F.least(first + _FOLD, F.size(needs)) - 1), lambda i: F.get(needs, i))
+        done = lambda b: state(b["at"], b["start"], b["held"], F.concat(s["out"], b["out"]))
+        return F.aggregate(own, state(s["at"], s["start"], s["held"], none), add, done)
+
+    blocks = F.sequence(F.lit(0), F.size(needs) - 1, F.lit(_FOLD))
+    ranges = F.aggregate(blocks, state(F.lit(0), F.lit(0), F.lit(0).cast("bigint"), none), add_block, flushed)
+    return F.when(F.size(needs) > 0, ranges).otherwise(none)
 
 
-def _opener(separator: str, size: int, overlap: int) -> Callable[[Column], Column]:
+def _merged(pieces: Column, size: int, overlap: int) -> Column:
+    """Chunks of an array of pieces, in order."""
+
+    def text(p: Column, s: Column) -> Column:
+        run = F.array_join(F.transform(F.sequence(s["start"], s["stop"] - 1), lambda i: F.get(p, i)), "")
+        return F.struct(F.when(s["open"], run).otherwise(T.strip(run)).alias("text"), s["open"].alias("open"))
+
+    ranges = lambda p: let(F.transform(p, T.count_tokens), lambda needs: _spans(needs, size, overlap))
+    return let(pieces, lambda p: F.transform(ranges(p), lambda s: text(p, s)))
+
+
+def _opened(whole: Column, separator: Column, size: int, overlap: int) -> Column:
     """Cuts the open pieces of an array that hold the separator, and leaves the others as they are."""
 
     def opened(p: Column) -> Column:
-        cut = p["open"] & F.contains(p["text"], F.lit(separator))
+        cut = p["open"] & F.contains(p["text"], separator)
         return F.when(cut, _merged(_pieces(p["text"], separator, size), size, overlap)).otherwise(F.array(p))
 
-    return lambda w: F.when(F.exists(w, lambda p: p["open"]), F.flatten(F.transform(w, opened))).otherwise(w)
+    return F.when(F.exists(whole, lambda p: p["open"]), F.flatten(F.transform(whole, opened))).otherwise(whole)
 
 
 def chunk_text(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Array of chunks, in Spark expressions. Separators are tried from coarse to fine; at each, only the
-    pieces that are still too large are cut. Short text passes as it is."""
+    pieces that are still too large are cut. Short text passes as it is.
+
+    The separators are folded over, so the expression holds the chunking of one level only once.
+    """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the chunk size")
     whole = F.array(F.struct(T.strip(c).alias("text"), (T.count_tokens(T.strip(c)) > size).alias("open"))).cast(_PIECES)
-    for separator in SEPARATORS:
-        whole = let(whole, _opener(separator, size, overlap))
-    texts = let(whole, lambda w: F.filter(F.transform(w, lambda p: p["text"]), lambda t: T.strip(t) != ""))
+    levels = F.array(*map(F.lit, SEPARATORS))
+    texts = F.aggregate(
+        levels, whole, lambda w, separator: _opened(w, separator, size, overlap),
+        lambda w: F.filter(F.transform(w, lambda p: p["text"]), lambda t: T.strip(t) != ""),
+    )
     return F.when(c.isNotNull(), texts)
 
 

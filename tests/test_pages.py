@@ -58,6 +58,45 @@ def test_chunks_hold_their_size_and_lose_nothing(spark):
             at = text.index(c, at) + len(c)
 
 
+def brute_chunks(text, size, overlap, separators=chunking.SEPARATORS):
+    need = lambda t: -(-len(t) // 4)
+    if need(text) <= size:
+        return [text]
+    first, finer = separators[0], separators[1:]
+    if first and first not in text:
+        return brute_chunks(text, size, overlap, finer)
+    if first:
+        cut = text.split(first)
+        pieces = [x + first for x in cut[:-1]] + cut[-1:]
+    else:
+        pieces = [text[i : i + 4 * size] for i in range(0, len(text), 4 * size)]
+    out, held = [], []
+    for piece in pieces:
+        if need(piece) > size:
+            if held:
+                out.append("".join(held).strip())
+            out += brute_chunks(piece, size, overlap, finer)
+            held = []
+            continue
+        if held and sum(map(need, held)) + need(piece) > size:
+            out.append("".join(held).strip())
+            while held and sum(map(need, held)) > min(overlap, size - need(piece)):
+                held.pop(0)
+        held.append(piece)
+    return out + (["".join(held).strip()] if held else [])
+
+
+def test_chunks_of_long_pages_equal_brute_force(spark):
+    # More pieces than a block of the fold holds, at every level; characters beyond 16 bits count once.
+    rng = random.Random(3)
+    words = ["ab", "c", "𝔼é", "transformation", "z𝔼" * 60]
+    texts = ["".join(rng.choice(words) + rng.choice(seps) for _ in range(n)).strip() for n, seps in (
+        (3000, [" "]), (2500, ["\n", " ", " ", "\n\n", ". "]), (40, ["\n\n"]), (1024, [" "]), (2048, ["\n\n"]))] + ["q𝔼" * 9000]
+    for size, overlap in ((20, 5), (7, 6), (400, 60)):
+        for text, got in zip(texts, chunks_of(spark, texts, size, overlap)):
+            assert got == [c for c in brute_chunks(text, size, overlap) if c.strip()]
+
+
 def test_chunks_worked_by_hand(spark):
     # Sizes in tokens: "red " 1, "blue " 2, "violet " 2, "tan" 1.
     assert chunks_of(spark, ["red blue violet tan"], 3, 1) == [["red blue", "violet tan"]]

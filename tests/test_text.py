@@ -34,6 +34,14 @@ def test_math_display_inline_and_currency(one):
     assert folded == "five 1⁄2 cups" and mended == "note one\n\ntwo"
 
 
+def test_every_symbol_has_its_spelling(one):
+    spellings = {**mathtext.GREEK, **mathtext.OPERATORS, **{k: rf"\mathbb{{{v}}}" for k, v in mathtext.DOUBLE_STRUCK.items()}}
+    got = one(mathtext.normalize_math, *[f"so {symbol} here" for symbol in spellings])
+    assert got == [f"so ${latex}$ here" for latex in spellings.values()]
+    # Between two runs, several on a line, and next to characters that a formula may hold.
+    assert one(mathtext.normalize_math, "α and then β1/γ, or Δ") == r"$\alpha$ and then $\beta_{1}/\gamma$, or $\Delta$"
+
+
 def test_only_nfkc_runs_in_python(spark):
     plan = spark.range(1).select(mathtext.normalize_text(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
