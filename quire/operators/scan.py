@@ -11,9 +11,42 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 BLOCK = 4096
 BLOCK_COL = "_blk"
+CUTS = 4096  # cuts sampled from all groups together, about; at most twice as many are broadcast
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], position: str, block: int) -> DataFrame | None:
+    """(keys, _cuts): sorted positions at which the large groups are cut, or None if nothing needs a cut.
+
+    About one row in max(block, rows / CUTS) is picked by a hash of key and position, so the cuts follow
+    the rows whatever the numbers are, a group gets cuts by its share of the rows, and the same rows give
+    the same cuts again. Only keys and positions are read.
+    """
+    slim = df.select(*keys, position)
+    each = max(block, -(-slim.count() // CUTS))
+    picked = slim.filter(F.pmod(F.xxhash64(*keys, position), F.lit(each)) == 0).distinct().limit(2 * CUTS).collect()
+    groups: dict[tuple, list] = {}
+    for row in picked:
+        if row[-1] is not None:
+            groups.setdefault(tuple(row[:-1]), []).append(row[-1])
+    if not groups:
+        return None
+    types = [f.dataType for f in slim.schema]
+    schema = StructType([*[StructField(f"_k{i}", t) for i, t in enumerate(types[:-1])], StructField("_cuts", ArrayType(types[-1]))])
+    return df.sparkSession.createDataFrame([(*key, sorted(cuts)) for key, cuts in groups.items()], schema)
+
+
+def _in_blocks(df: DataFrame, keys: Sequence[str], position: str, block: int) -> DataFrame:
+    cuts = _cuts(df, keys, position, block)
+    if cuts is None:
+        return df.withColumn(BLOCK_COL, F.lit(0).cast("bigint"))
+    same = [df[k].eqNullSafe(cuts[f"_k{i}"]) for i, k in enumerate(keys)]
+    passed = F.size(F.filter("_cuts", lambda c: c <= F.col(position)))
+    number = F.when(F.col("_cuts").isNull() | F.col(position).isNull(), 0).otherwise(passed).cast("bigint")
+    return df.join(F.broadcast(cuts), same, "left").select(*[df[c] for c in df.columns], number.alias(BLOCK_COL))
 
 
 def carry(
@@ -23,18 +56,18 @@ def carry(
     sums: Mapping[str, str] | None = None,
     lasts: Mapping[str, str] | None = None,
     block: int = BLOCK,
-    levels: int = 1,
 ) -> DataFrame:
     """Add, for every row, totals and last non-null values of the rows before it in its group.
 
-    `position` is an integer that is unique within a group and roughly dense (a page or chunk
-    number). One task sees at most a group's rows / `block` summaries; more `levels` divide again.
-    `sums` and `lasts` map new column -> source column. The result keeps `_blk`, on which
+    `position` is unique within a group; its numbers may be sparse. Groups are cut at sampled positions,
+    so blocks hold like numbers of rows and all groups together have about CUTS summaries beyond one
+    each, which bounds what the window over a whole group sees. Counting and sampling run when the plan
+    is made. `sums` and `lasts` map new column -> source column. The result keeps `_blk`, on which
     (with the keys) the rows are partitioned, so that later work on a position needs no shuffle.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     keys = list(keys)
-    cut = df.withColumn(BLOCK_COL, F.floor(F.col(position) / F.lit(block)).cast("bigint"))
+    cut = _in_blocks(df, keys, position, block)
     before = Window.partitionBy(*keys, BLOCK_COL).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     inside = cut.select(
         "*",
@@ -45,25 +78,13 @@ def carry(
         *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(f"_t_{o}") for o, c in lasts.items()],
     )
-    if levels > 1:
-        above = carry(
-            blocks.withColumnRenamed(BLOCK_COL, "_at"),
-            keys,
-            "_at",
-            {f"_b_{o}": f"_t_{o}" for o in sums},
-            {f"_b_{o}": f"_t_{o}" for o in lasts},
-            block,
-            levels - 1,
-        ).drop(BLOCK_COL).withColumnRenamed("_at", BLOCK_COL)
-    else:
-        over = Window.partitionBy(*keys).orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1)
-        above = blocks.select(
-            *keys,
-            BLOCK_COL,
-            *[F.coalesce(F.sum(f"_t_{o}").over(over), F.lit(0)).cast("bigint").alias(f"_b_{o}") for o in sums],
-            *[F.last(f"_t_{o}", ignorenulls=True).over(over).alias(f"_b_{o}") for o in lasts],
-        )
-    above = above.select(*keys, BLOCK_COL, *[f"_b_{o}" for o in [*sums, *lasts]])
+    over = Window.partitionBy(*keys).orderBy(BLOCK_COL).rowsBetween(Window.unboundedPreceding, -1)
+    above = blocks.select(
+        *keys,
+        BLOCK_COL,
+        *[F.coalesce(F.sum(f"_t_{o}").over(over), F.lit(0)).cast("bigint").alias(f"_b_{o}") for o in sums],
+        *[F.last(f"_t_{o}", ignorenulls=True).over(over).alias(f"_b_{o}") for o in lasts],
+    )
     joined = inside.join(above, [*keys, BLOCK_COL], "left")
     outs: list[Column] = [(F.col(f"_in_{o}") + F.coalesce(F.col(f"_b_{o}"), F.lit(0))).alias(o) for o in sums]
     outs += [F.coalesce(F.col(f"_in_{o}"), F.col(f"_b_{o}")).alias(o) for o in lasts]

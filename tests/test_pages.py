@@ -119,11 +119,32 @@ def test_carry_equals_a_plain_running_window_over_a_hot_group(spark):
     rng = random.Random(2)
     rows = [("hot" if i % 3 else f"k{i % 7}", i, rng.randint(0, 5), rng.choice([None, None, f"h{i}"])) for i in range(1000)]
     df = spark.createDataFrame(rows, "k string, p int, n int, v string")
-    for levels in (1, 2, 3):
-        got = scan.carry(df, ["k"], "p", {"total": "n"}, {"last": "v"}, block=8, levels=levels).select("k", "p", "total", "last")
+    for block in (1, 8, 5000):
+        got = scan.carry(df, ["k"], "p", {"total": "n"}, {"last": "v"}, block=block).select("k", "p", "total", "last")
         assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == brute_carry(rows)
 
 
+def test_carry_cuts_by_rows_not_by_numbers(spark, monkeypatch):
+    # Sparse numbers, all in few large gaps: summaries of the hot group stay bounded by the cuts.
+    monkeypatch.setattr(scan, "CUTS", 20)
+    rng = random.Random(5)
+    places = sorted({rng.choice([0, 10**6, 10**9]) + rng.randint(-20000, 20000) * 7 for _ in range(3000)})
+    rows = [("hot", p, rng.randint(0, 3), rng.choice([None, None, f"h{p}"])) for p in places] + [("cold", 5, 1, "x"), ("cold", 9, 1, None)]
+    got = scan.carry(spark.createDataFrame(rows, "k string, p bigint, n int, v string"), ["k"], "p", {"total": "n"}, {"last": "v"}, block=8).collect()
+    assert sorted((r["k"], r["p"], r["total"], r["last"]) for r in got) == brute_carry(rows)
+    sizes = [sum(r["k"] == "hot" and r[scan.BLOCK_COL] == b for r in got) for b in {r[scan.BLOCK_COL] for r in got if r["k"] == "hot"}]
+    assert 5 <= len(sizes) <= 41 and max(sizes) < len(rows) / 3
+
+
+def test_carry_of_nothing_and_of_several_keys(spark):
+    shape = "k string, j int, p int, n int, v string"
+    assert scan.carry(spark.createDataFrame([], shape), ["k", "j"], "p", {"total": "n"}, {"last": "v"}).count() == 0
+    rows = [("a", i % 2, i, 1, f"v{i}" if i % 5 == 0 else None) for i in range(60)]
+    got = scan.carry(spark.createDataFrame(rows, shape), ["k", "j"], "p", {"total": "n"}, {"last": "v"}, block=4).collect()
+    want = brute_carry([(f"{k}{j}", p, n, v) for k, j, p, n, v in rows])
+    assert sorted((f"{r['k']}{r['j']}", r["p"], r["total"], r["last"]) for r in got) == want
+
+
 def test_first_rows_with_and_without_slices(spark):
     df = spark.range(6000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     for limit in (3, 1500):
