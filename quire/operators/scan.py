@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 BLOCK = 4096
 BLOCK_COL = "_blk"
-CUTS = 4096  # cuts sampled from all groups together, about; at most twice as many are broadcast
+CUTS = 4096  # cuts sampled from all groups together, about; at most twice as many and one are broadcast
 
 
 def _cuts(df: DataFrame, keys: Sequence[str], position: str, block: int) -> DataFrame | None:
@@ -23,11 +23,14 @@ def _cuts(df: DataFrame, keys: Sequence[str], position: str, block: int) -> Data
 
     About one row in max(block, rows / CUTS) is picked by a hash of key and position, so the cuts follow
     the rows whatever the numbers are, a group gets cuts by its share of the rows, and the same rows give
-    the same cuts again. Only keys and positions are read.
+    the same cuts again. Only keys and positions are read, and rows are counted only if one in `block`
+    is more than the bound.
     """
     slim = df.select(*keys, position)
-    each = max(block, -(-slim.count() // CUTS))
-    picked = slim.filter(F.pmod(F.xxhash64(*keys, position), F.lit(each)) == 0).distinct().limit(2 * CUTS).collect()
+    pick = lambda each: slim.filter(F.pmod(F.xxhash64(*keys, position), F.lit(each)) == 0).distinct().limit(2 * CUTS + 1).collect()
+    picked = pick(block)
+    if len(picked) > 2 * CUTS:
+        picked = pick(max(block, -(-slim.count() // CUTS)))
     groups: dict[tuple, list] = {}
     for row in picked:
         if row[-1] is not None:
@@ -61,8 +64,8 @@ def carry(
 
     `position` is unique within a group; its numbers may be sparse. Groups are cut at sampled positions,
     so blocks hold like numbers of rows and all groups together have about CUTS summaries beyond one
-    each, which bounds what the window over a whole group sees. Counting and sampling run when the plan
-    is made. `sums` and `lasts` map new column -> source column. The result keeps `_blk`, on which
+    each, which bounds what the window over a whole group sees. Sampling runs when the plan is made
+    and reads the input once more. `sums` and `lasts` map new column -> source column. The result keeps `_blk`, on which
     (with the keys) the rows are partitioned, so that later work on a position needs no shuffle.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
