@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,10 +26,27 @@ _HEADED_COST = 5
 _EVIDENCE_COST = 3
 
 
-def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, budget: int | str, least: int) -> DataFrame:
-    """Blocks in order up to the first that would exceed the budget; the first always stays.
+def text_chars(text: Column) -> Column:
+    """Characters that a text takes in a block: what packing needs to know of it."""
+    return F.length(strip(F.coalesce(text.cast("string"), F.lit(""))))
 
-    `least` is a lower bound of a block's cost. With a constant budget no more than budget / least
+
+def sized(chunks: DataFrame) -> DataFrame:
+    """Chunks with the size of their text in its place, so that ranks and budgets never move a text."""
+    return chunks.withColumn("text_chars", text_chars(F.col("text"))).drop("text")
+
+
+def with_texts(kept: DataFrame, texts: DataFrame, on: Sequence[str] = ("paper_id", "chunk_index")) -> DataFrame:
+    """The texts of kept rows, joined last. `on` identifies a row of `texts`; a row without a text gets null."""
+    named = texts.select(*[F.col(c).alias(f"_on_{c}") for c in on], "text")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return kept.join(named, same, "left").drop(*[f"_on_{c}" for c in on])
+
+
+def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: Column, budget: int | str, least: int) -> DataFrame:
+    """Rows in order up to the first whose block would exceed the budget; the first always stays.
+
+    `size` is the number of characters of a row's block, and may use its `ordinal`. `least` is a lower bound of a block's cost. With a constant budget no more than budget / least
     blocks can be kept, so ranks beyond are pruned before any window sees a whole group; a budget that
     comes as a column bounds each group by its own value.
     """
@@ -38,7 +57,7 @@ def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block:
         most = F.col(budget)
         ranked = df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         ranked = ranked.filter((F.col("ordinal") == 1) | (F.col("ordinal") * least <= most))
-    ranked = ranked.withColumn("block", block).withColumn("cost", count_tokens(F.col("block")))
+    ranked = ranked.withColumn("cost", F.ceil(size / 4).cast("bigint"))
     running = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranked.withColumn("total", F.sum("cost").over(running))
@@ -62,18 +81,26 @@ def source_header(ordinal: Column, kind: Column, table_index: Column, name: Colu
     )
 
 
-def pack_prefix(hits: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int | str = BUDGET) -> DataFrame:
+def pack_prefix(
+    hits: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int | str = BUDGET,
+    texts: DataFrame | None = None, on: Sequence[str] = ("paper_id", "chunk_index"),
+) -> DataFrame:
     """Numbered blocks with source headers that fit the budget: adds ordinal, block, cost, total.
 
     `budget` is a number or the name of a column that is constant in each group. Null parts of a hit
-    are empty in its block.
+    are empty in its block. Hits either hold their `text`, which suits short lists, or only `text_chars`
+    (see `sized`); then the texts of the kept hits alone are joined at the end, from `texts`, whose rows
+    `on` identifies.
     """
     have = set(hits.columns)
     kind = F.coalesce("kind", F.lit("text")) if "kind" in have else F.lit("text")
     index = F.col("table_index") if "table_index" in have else F.lit(None).cast("bigint")
     header = source_header(F.col("ordinal"), kind, index, _known("paper_name"), _known("page"), _known("section"))
-    block = F.concat(header, F.lit("\n"), strip(_known("text")))
-    return _prefix(hits, keys, order, block, budget, _HEADED_COST)
+    body = text_chars(F.col("text")) if texts is None else F.col("text_chars")
+    packed = _prefix(hits, keys, order, F.length(header) + 1 + body, budget, _HEADED_COST)
+    if texts is not None:
+        packed = with_texts(packed, texts, on)
+    return packed.withColumn("block", F.concat(header, F.lit("\n"), strip(_known("text"))))
 
 
 def render_context(packed: DataFrame, keys: Sequence[str], joiner: str = BLOCK_JOINER) -> DataFrame:
@@ -85,12 +112,20 @@ def render_context(packed: DataFrame, keys: Sequence[str], joiner: str = BLOCK_J
     )
 
 
-def pack_greedy(items: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, budget: int) -> DataFrame:
+def pack_greedy(
+    items: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, budget: int, on: Sequence[str] = ()
+) -> DataFrame:
     """Blocks in order, skipping each that does not fit what is left; smaller later ones may still enter.
 
     Among blocks of equal cost the kept ones come first, and at most budget / cost of them fit. Only
-    those can matter, so a group of any size shrinks to a bounded list before it is folded.
+    those can matter, so a group of any size shrinks to a bounded list before it is folded. If the columns
+    `on` identify an item, items are chosen by their cost alone and the rest of the kept ones, blocks
+    included, is joined at the end; without them whole items are moved.
     """
+    if on:
+        chosen = pack_greedy(items, keys, order, block, budget).select(*[F.col(c).alias(f"_on_{c}") for c in on], "cost", "ordinal")
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+        return items.withColumn("block", F.coalesce(block, F.lit(""))).join(chosen, same).drop(*[f"_on_{c}" for c in on])
     costed = items.withColumn("block", F.coalesce(block, F.lit(""))).withColumn("cost", count_tokens(F.col("block"))).filter(F.col("cost") <= budget)
     free = costed.filter(F.col("cost") == 0)  # blocks without cost always fit
     ranked = first_rows(costed.filter(F.col("cost") > 0), [*keys, "cost"], order, max(1, budget), "_same")
@@ -131,7 +166,7 @@ def select_tables(tables: DataFrame, budget: int = AUDIT_BUDGET // 3, papers: Da
         F.lit("[Table "), F.col("table_index").cast("string"), F.lit(" | page "), F.col("page").cast("string"), F.lit("] "),
         F.col("caption"), F.lit("\n"), F.col("markdown"),
     )
-    packed = pack_greedy(rank_tables(tables), ["paper_id"], [F.col("priority"), F.col("table_index")], head, budget)
+    packed = pack_greedy(rank_tables(tables), ["paper_id"], [F.col("priority"), F.col("table_index")], head, budget, on=["paper_id", "table_index"])
     made = render_context(packed, ["paper_id"], "\n\n")
     every = (tables if papers is None else papers).select("paper_id").distinct()
     return every.join(made, "paper_id", "left").select("paper_id", F.coalesce("context", F.lit(NO_TABLES)).alias("tables_block"))
@@ -142,14 +177,16 @@ def gather_evidence(chunks: DataFrame, queries: DataFrame, budgets: DataFrame |
 
     `budgets` is a number or a frame (paper_id, budget); papers it leaves out get AUDIT_BUDGET.
     """
-    hits = knn(chunks, queries, per_query, per_paper=True, payload=("page", "section", "text"))
+    hits = knn(sized(chunks), queries, per_query, per_paper=True, payload=("page", "section", "text_chars"))
     once = hits.dropDuplicates(["paper_id", "chunk_index"]).drop("query_id", "rank", "score")
     if isinstance(budgets, DataFrame):
         once = once.join(budgets.select("paper_id", F.col("budget").alias("_budget")), "paper_id", "left").fillna(AUDIT_BUDGET, ["_budget"])
     section = F.coalesce(F.when(F.col("section") != "", F.col("section")), F.lit("Unknown"))
-    block = F.concat(F.lit("[p."), _known("page"), F.lit(" | "), section, F.lit("]\n"), strip(_known("text")))
+    header = F.concat(F.lit("[p."), _known("page"), F.lit(" | "), section, F.lit("]\n"))
     limit = "_budget" if isinstance(budgets, DataFrame) else budgets
-    return _prefix(once, ["paper_id"], [F.col("chunk_index")], block, limit, _EVIDENCE_COST).drop("_budget")
+    kept = _prefix(once, ["paper_id"], [F.col("chunk_index")], F.length(header) + F.col("text_chars"), limit, _EVIDENCE_COST)
+    block = F.concat(header, strip(_known("text")))
+    return with_texts(kept.drop("_budget", "text_chars"), chunks).withColumn("block", block)
 
 
 def audit_inputs(papers: DataFrame, chunks: DataFrame, tables: DataFrame, questions: DataFrame, budget: int = AUDIT_BUDGET) -> DataFrame:
@@ -216,15 +253,15 @@ def _by_request(requests: DataFrame, asked: DataFrame, chunks: DataFrame, packed
 def coverage_context(requests: DataFrame, chunks: DataFrame, count: int = 12) -> DataFrame:
     """Context spread over the requested papers, for study material."""
     asked = _asked(requests)
-    wanted = chunks.drop("embedding").join(asked.select("paper_id").distinct(), "paper_id", "left_semi")
+    wanted = sized(chunks.drop("embedding")).join(asked.select("paper_id").distinct(), "paper_id", "left_semi")
     rows = asked.join(sample_evenly(wanted, count), "paper_id")
-    packed = pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget")
+    packed = pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget", chunks)
     return _by_request(requests, asked, chunks, packed, heading=False)
 
 
 def _openers_and_hits(chunks: DataFrame, queries: DataFrame, openers: int, k: int) -> DataFrame:
     """First chunks of each paper and its best chunks per query, each once. Reading order is chunk order."""
-    return knn(chunks, queries, k, per_paper=True, payload=("paper_name", "page", "section", "text"), openers=openers).drop("rank", "score")
+    return knn(sized(chunks), queries, k, per_paper=True, payload=("paper_name", "page", "section", "text_chars"), openers=openers).drop("rank", "score")
 
 
 def focused_context(requests: DataFrame, chunks: DataFrame, query: DataFrame, k: int = 6) -> DataFrame:
@@ -232,14 +269,14 @@ def focused_context(requests: DataFrame, chunks: DataFrame, query: DataFrame, k:
     asked = _asked(requests)
     wanted = chunks.join(asked.select("paper_id").distinct(), "paper_id", "left_semi")
     rows = asked.join(_openers_and_hits(wanted, query, 1, k), "paper_id")
-    packed = pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget")
+    packed = pack_prefix(rows, ["request_id", "_pos"], [F.col("chunk_index")], "budget", chunks)
     return _by_request(requests, asked, chunks, packed, heading=True)
 
 
 def summary_context(chunks: DataFrame, styles: DataFrame, k: int = 10) -> DataFrame:
     """Context of every paper for every summary style. styles(query_id, embedding): a short fixed list."""
     rows = _openers_and_hits(chunks, styles, 2, k)
-    packed = pack_prefix(rows, ["query_id", "paper_id"], [F.col("chunk_index")], BUDGET)
+    packed = pack_prefix(rows, ["query_id", "paper_id"], [F.col("chunk_index")], BUDGET, chunks)
     return render_context(packed, ["query_id", "paper_id"])
 
 

@@ -25,7 +25,8 @@ t AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY source ORDER BY rn) AS BIGINT)
 SELECT source AS paper_id, doc_id AS chunk_index, rn AS ordinal, cost, total, md5(block) AS block_md5 FROM t WHERE rn = 1 OR total <= 6000""",
 )
 def pack_prefix(spark: SparkSession, d: str) -> DataFrame:
-    packed = C.pack_prefix(derive(spark, d, "documents", HIT), ["paper_id"], [F.col("chunk_index")])
+    hits = derive(spark, d, "documents", HIT)
+    packed = C.pack_prefix(C.sized(hits), ["paper_id"], [F.col("chunk_index")], texts=hits)
     return packed.select("paper_id", "chunk_index", "ordinal", "cost", "total", F.md5(F.encode("block", "UTF-8")).alias("block_md5"))
 
 
@@ -37,7 +38,7 @@ SELECT source AS paper_id, doc_id, ordinal FROM (SELECT source, unnest(s.k) AS d
 )
 def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
     items = derive(spark, d, "documents", {"paper_id": "source", "doc_id": "doc_id", "text": "text"})
-    return C.pack_greedy(items, ["paper_id"], [F.col("doc_id")], F.col("text"), 1666).select("paper_id", "doc_id", "ordinal")
+    return C.pack_greedy(items, ["paper_id"], [F.col("doc_id")], F.col("text"), 1666, on=["paper_id", "doc_id"]).select("paper_id", "doc_id", "ordinal")
 
 
 TABLES = {

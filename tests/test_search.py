@@ -180,3 +180,32 @@ def test_rows_without_a_vector_take_no_part(spark):
     chunks = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, None)], "paper_id string, chunk_index bigint, embedding array<double>")
     ask = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, embedding array<double>")
     assert [r["chunk_index"] for r in search.knn(chunks, ask, 5).collect()] == [0]
+
+
+def _moved(df, column):
+    """How many exchanges of a plan that has not run carry a column of this name."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    inputs = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*?)\]", plan)
+    return sum(bool(re.search(rf"\b{column}#\d+", i)) for i in inputs)
+
+
+def test_texts_meet_only_the_kept(spark):
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else None, i, f"P{i % 2}", i % 7, None if i % 5 == 0 else "S", None if i % 11 == 0 else " w" * rng.randint(0, 40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "paper_id string, chunk_index int, paper_name string, page int, section string, text string")
+    order = [F.desc("chunk_index")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        columns = ["paper_id", "chunk_index", "ordinal", "cost", "total", "block"]
+        whole = C.pack_prefix(df, ["paper_id"], order, 400).select(*columns)
+        late = C.pack_prefix(C.sized(df), ["paper_id"], order, 400, df).select(*columns)
+        assert _moved(late, "text") == 1
+        assert sorted(map(str, late.collect())) == sorted(map(str, whole.collect()))
+        columns = ["paper_id", "chunk_index", "ordinal", "cost", "block", "page"]
+        whole = C.pack_greedy(df, ["paper_id"], order, F.col("text"), 100).select(*columns)
+        late = C.pack_greedy(df, ["paper_id"], order, F.col("text"), 100, ["paper_id", "chunk_index"]).select(*columns)
+        both = lambda f: _moved(f, "text") + _moved(f, "block")
+        assert both(late) < both(whole) and _moved(late, "block") <= 1
+        assert sorted(map(str, late.collect())) == sorted(map(str, whole.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
