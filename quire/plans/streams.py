@@ -44,10 +44,9 @@ def assemble_stream(spark: SparkSession, d: str) -> DataFrame:
     folder = run_folder(spark)
     answer_events(spark, d).write.parquet(f"{folder}/events")
     source = spark.readStream.schema(spark.read.parquet(f"{folder}/events").schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/events")
-    run = (
-        E.assemble_stream(source).writeStream.format("parquet").option("path", f"{folder}/answers")
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
+    made = E.assemble_stream(source).writeStream.format("parquet").option("path", f"{folder}/answers")
+    with E.listed_state(spark):
+        run = made.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/answers")
 

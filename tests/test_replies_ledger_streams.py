@@ -1,3 +1,5 @@
+import datetime
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -72,14 +74,46 @@ def test_stream_index_equals_batch_and_replaces(spark, tmp_path):
     assert not outcome["blank"]["ok"] and outcome["blank"]["error"] and outcome["p0"]["ok"]
 
 
+def _stream_answers(spark, folder, batches, **options):
+    """Answers and progress of a stream that reads one file per batch."""
+    schema = "answer_id string, seq bigint, type string, text string, at timestamp"
+    for part in batches:
+        spark.createDataFrame([(*r[:4], datetime.datetime(2025, 1, 1, r[4] if len(r) > 4 else 0)) for r in part], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    made = E.assemble_stream(source, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    with E.listed_state(spark):
+        run = made.trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sorted(map(tuple, spark.read.schema("answer_id string, answer string, n_tokens bigint").parquet(f"{folder}/out").collect()), key=str), run.recentProgress
+
+
 def test_event_stream_out_of_order(spark, tmp_path):
-    rows = [("x", 0, "meta", ""), ("x", 2, "token", "answer "), ("y", 0, "meta", ""), ("x", 4, "done", "")], [("x", 1, "token", "Streamed "), ("x", 3, "token", "[1]"), ("y", 1, "token", "a")]
-    schema = "answer_id string, seq bigint, type string, text string"
-    for i, part in enumerate(rows):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    E.assemble_stream(source).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("x", "Streamed answer [1]", 3)]
+    before = spark.conf.get(E.STATE_KEY, None)
+    got, _ = _stream_answers(spark, tmp_path, [
+        [("x", 0, "meta", ""), ("x", 2, "token", "answer "), ("y", 0, "meta", ""), ("x", 4, "done", ""), (None, 1, "done", None)],
+        [("x", 1, "token", "Streamed "), ("x", 3, "token", "[1]"), ("y", 1, "token", "a"), (None, 0, "token", None), ("x", None, "token", "lost")],
+    ])
+    assert got == [("x", "Streamed answer [1]", 3)]
+    assert spark.conf.get(E.STATE_KEY, None) == before
+
+
+def test_events_sent_again_change_nothing_and_only_new_ones_are_written(spark, tmp_path):
+    first = [("x", i, "token", f"w{i} ") for i in range(400)]
+    got, progress = _stream_answers(spark, tmp_path, [first, first[:3], [("x", 401, "done", "")], [("x", 400, "token", "end")], [("x", 400, "token", "end"), ("x", 401, "done", "")]])
+    assert got == [("x", "".join(r[3] for r in first) + "end", 401)]
+    written = [p["stateOperators"][0]["customMetrics"]["rocksdbTotalBytesWritten"] for p in progress if p["numInputRows"]]
+    # The third batch meets repeated events beside the done event, and leaves each once.
+    assert len(written) == 5 and all(5 * written[n] < written[0] for n in (1, 3, 4)), written
+
+
+def test_answers_without_end_are_given_up(spark, tmp_path):
+    got, progress = _stream_answers(spark, tmp_path, [
+        [("x", 0, "token", "early", 0), ("y", 0, "token", "kept", 9)],
+        [("z", 0, "meta", "", 10)],
+        [("x", 1, "done", "", 10), ("y", 1, "done", "", 10)],
+    ], patience="2 hours", at="at")
+    assert got == [("y", "kept", 1)]
 
 
 def test_one_row_per_key_whatever_the_changes(spark):
