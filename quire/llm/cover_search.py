@@ -25,6 +25,7 @@ GROUP = 512  # queries of a group, about
 FANOUT = 32  # children of a tree node at most
 LEAF = 64
 NEAR = 256  # blocks a bucket of block summaries holds, about
+LOWEST = -(2**63)  # stands for a kth score that is not known yet; scores are held within long
 
 
 def scaled(vector: Column) -> Column:
@@ -48,10 +49,12 @@ def centres(sample: np.ndarray, limit: int) -> np.ndarray:
 
 class Tree:
     """Cover tree over the rows of a matrix: a node's centre is a row, its children are centres picked
-    farthest first with the rows nearest to them, its radius is the distance of its farthest row."""
+    farthest first with the rows nearest to them, its radius is the distance of its farthest row. The tree
+    is built in doubles; `whole` keeps the integers that scores are made of."""
 
-    def __init__(self, rows: np.ndarray) -> None:
-        self.rows = rows
+    def __init__(self, whole: np.ndarray) -> None:
+        self.whole = whole
+        rows = whole.astype(np.float64)
         self.members: list[np.ndarray] = []
         self.children: list[list[int]] = []
         at, radius = [], []
@@ -90,8 +93,8 @@ class Best:
 
     def __init__(self, ids: np.ndarray, worst: np.ndarray, k: int) -> None:
         self.ids, self.k = ids, k
-        self.floor = worst.astype(np.float64)  # a score known to be reached, or minus infinity
-        self.scores = [np.empty(0)] * len(ids)
+        self.floor = worst.astype(np.int64)  # a score known to be reached, or LOWEST
+        self.scores = [np.empty(0, np.int64)] * len(ids)
         self.found = [np.empty(0, np.int64)] * len(ids)
 
     def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -101,19 +104,20 @@ class Best:
             q, cols = at[row], np.flatnonzero(take[row])
             s = np.concatenate([self.scores[q], scores[row, cols]])
             i = np.concatenate([self.found[q], ids[cols]])
-            order = np.lexsort((i, -s))[: self.k]
+            order = np.lexsort((i, ~s))[: self.k]  # ~s falls as s rises, and has no overflow
             self.scores[q], self.found[q] = s[order], i[order]
             if len(order) == self.k:
                 self.floor[q] = max(self.floor[q], s[order[-1]])
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-numbered rows; beyond 2**53 in Python integers, held within long."""
-    if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**53:
-        return a @ b.T
+    """Exact inner products of integer rows; beyond 2**53 in Python integers, held within long."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    if not a.size or not b.size or np.abs(x).max() * np.abs(y).max() * a.shape[1] < 2.0**53:
+        return (x @ y.T).astype(np.int64)
     exact = np.vectorize(int, otypes=[object])
     big = exact(a) @ exact(b).T
-    return np.clip(big, -(2**63), 2**63 - 1)
+    return np.clip(big, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def dual_search(queries: Tree, data: Tree, ids: np.ndarray, best: Best) -> None:
@@ -146,7 +150,7 @@ def dual_search(queries: Tree, data: Tree, ids: np.ndarray, best: Best) -> None:
             rows = np.concatenate([data.members[x] for x in front[near]])
             for at in range(0, len(rows), BLOCK):
                 part = rows[at : at + BLOCK]
-                best.add(own, products(queries.rows[own], data.rows[part]), ids[part])
+                best.add(own, products(queries.whole[own], data.whole[part]), ids[part])
 
 
 def _meet(rows: DataFrame, k: int) -> DataFrame:
@@ -161,7 +165,7 @@ def _meet(rows: DataFrame, k: int) -> DataFrame:
                 if block != now:
                     now, parts, tree = block, [], None
                 if kind == 0:
-                    parts.append((own["vec_id"].to_numpy(np.int64), np.array(own["v"].tolist(), np.float64).reshape(len(own), -1)))
+                    parts.append((own["vec_id"].to_numpy(np.int64), np.array(own["v"].tolist(), np.int64).reshape(len(own), -1)))
                     continue
                 if tree is None and parts:
                     ids = np.concatenate([p[0] for p in parts])
@@ -170,11 +174,10 @@ def _meet(rows: DataFrame, k: int) -> DataFrame:
                     continue
                 for at in range(0, len(own), GROUP):
                     part = own.iloc[at : at + GROUP]
-                    worst = part["worst"].to_numpy(np.float64, na_value=-np.inf)
-                    best = Best(part["vec_id"].to_numpy(np.int64), np.nan_to_num(worst, nan=-np.inf, neginf=-np.inf), k)
-                    dual_search(Tree(np.array(part["v"].tolist(), np.float64).reshape(len(part), -1)), tree, ids, best)
+                    best = Best(part["vec_id"].to_numpy(np.int64), part["worst"].to_numpy(np.int64), k)
+                    dual_search(Tree(np.array(part["v"].tolist(), np.int64).reshape(len(part), -1)), tree, ids, best)
                     for q in range(len(part)):
-                        found.append(pd.DataFrame({"query_id": best.ids[q], "vec_id": best.found[q], "score": [int(s) for s in best.scores[q]]}))
+                        found.append(pd.DataFrame({"query_id": best.ids[q], "vec_id": best.found[q], "score": best.scores[q]}))
             if found:
                 yield pd.concat(found, ignore_index=True).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
@@ -192,7 +195,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K) -> DataFrame:
 
     Both inputs are (vec_id, embedding); components become floor(256 x). Rows with a null vec_id, or a
     vector that is null or holds null or non-finite components, take no part; vectors of unequal length
-    have no product. A query's own vec_id is no candidate. Rows of data that repeat count each; repeated
+    have no product. A query's own vec_id is no candidate. Scores are exact at any size, those outside long are
+    its ends, and equal scores go to smaller vec_ids. Rows of data that repeat count each; repeated
     queries are asked once. Queries without candidates give no row.
     """
     spark = data.sparkSession
@@ -227,16 +231,16 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K) -> DataFrame:
     placed_rows = with_cell(rows, BLOCK).withColumn("block", block)
     placed_queries = with_cell(asked, GROUP).withColumn("near", block)
     columns = ["block", "kind", "vec_id", "v", "worst", "near"]
-    data_rows = placed_rows.select("block", F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("worst"), F.lit("").alias("near"))
+    data_rows = placed_rows.select("block", F.lit(0).alias("kind"), "vec_id", "v", F.lit(LOWEST).cast("bigint").alias("worst"), F.lit("").alias("near"))
 
-    home = placed_queries.select(F.concat_ws("-", "dim", "cell", F.lit(0)).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("worst"), "near")
+    home = placed_queries.select(F.concat_ws("-", "dim", "cell", F.lit(0)).alias("block"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(LOWEST).cast("bigint").alias("worst"), "near")
     first = _ranked(_meet(data_rows.where("block like '%-0'").select(columns).union(home.select(columns)), k), k)
-    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("worst"))
-    asking = placed_queries.join(floors.groupBy("vec_id").agg(F.min("worst").alias("worst")), "vec_id", "left")
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("worst"))
+    asking = placed_queries.join(floors.groupBy("vec_id").agg(F.min("worst").alias("worst")), "vec_id", "left").withColumn("worst", F.coalesce("worst", F.lit(LOWEST)))
 
     blocks = placed_rows.groupBy("dim", "cell", "block").agg(F.max("away").alias("radius"))
     groups = asking.groupBy("dim", F.col("cell").alias("q_cell"), "near").agg(
-        F.max("away").alias("q_radius"), F.min(F.coalesce("worst", F.lit(float("-inf")))).alias("q_worst")
+        F.max("away").alias("q_radius"), F.min("worst").alias("q_worst")
     )
     buckets = max(1, -(-rows.count() // (BLOCK * NEAR)))
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))

@@ -123,7 +123,7 @@ def brute_search(rows, wanted, k=5):
     asked = {(i, tuple(v)) for i, v in ok if wanted(i)}
     out = Counter()
     for q in {i for i, _ in asked}:
-        scores = sorted((-sum(a * b for a, b in zip(w, v, strict=True)), i) for j, w in asked if j == q for i, v in ok if i != q and len(v) == len(w))
+        scores = sorted((-min(max(sum(a * b for a, b in zip(w, v, strict=True)), -(2**63)), 2**63 - 1), i) for j, w in asked if j == q for i, v in ok if i != q and len(v) == len(w))
         for rank, (s, i) in enumerate(scores[:k], 1):
             out[q, rank, i, -s] += 1
     return out
@@ -146,6 +146,15 @@ def test_search_equals_brute_force(spark, monkeypatch, block, leaf):
     assert Counter(map(tuple, got.collect())) == brute_search(rows, lambda i: i % 5 == 0)
 
 
+@pytest.mark.parametrize("size", [1e6, 1e7, 1e14])
+def test_search_is_exact_for_large_components(spark, size):
+    rng = np.random.default_rng(11)
+    rows = [(i, (size * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(i, v, "!") for i, v in rows], VECTORS).repartition(3)
+    got = cover_search.top_k(df.where("vec_id % 5 = 0"), df)
+    assert Counter(map(tuple, got.collect())) == brute_search(rows, lambda i: i % 5 == 0)
+
+
 def test_search_query_equals_sql(spark):
     assert compare(cover_search.op2_cover_search(spark, SF), oracle_connection(SF), cover_search._SQL) == ""
 
@@ -159,7 +168,7 @@ def test_search_of_empty_tables(spark):
 
 
 def test_products_beyond_double_precision():
-    a, b = np.array([[2.0**40 + 1, 1.0]]), np.array([[2.0**20 + 1, 3.0]])
+    a, b = np.array([[2**40 + 1, 1]]), np.array([[2**20 + 1, 3]])
     assert int(cover_search.products(a, b)[0, 0]) == (2**40 + 1) * (2**20 + 1) + 3
 
 
