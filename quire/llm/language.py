@@ -23,6 +23,7 @@ LETTERS = 64  # 0 is everything but letters, 1-26 are a-z, the rest is shared by
 SEED = 20240229
 UNKNOWN = "und"
 MAX_LANGUAGES = 1000  # labels; their vectors are held by every task
+TABLES = 32  # labels whose trigrams a task counts at a time
 BLOCK = 4096  # trigrams bound at once
 
 
@@ -78,29 +79,40 @@ def _bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
+def learn(labelled: DataFrame, tables: int = TABLES) -> dict[str, np.ndarray]:
     """Unit vector of each label of (text, lang); rows where either is null or has no letter add nothing.
 
     Every task sends one vector of WIDTH whole numbers per label, so the result does not depend on the
-    order of rows. What reaches the driver is MAX_LANGUAGES vectors at most; more labels raise.
+    order of rows. A task holds the trigram counts of at most `tables` labels (2 MB each); further labels have
+    those bundled first, which gives the same sums. What reaches the driver is MAX_LANGUAGES vectors at most; more labels raise.
     """
 
     small_batches(labelled.sparkSession)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
+        vectors: dict[str, np.ndarray] = {}
+
+        def fold() -> None:
+            for lang, n in counts.items():
+                grams = np.flatnonzero(n)
+                vectors[lang] = vectors.get(lang, 0) + _bundle(grams, n[grams])
+            counts.clear()
+
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
                 found = _trigrams(text)
                 if found is not None:
                     if lang not in counts:
+                        if len(counts) >= tables:
+                            fold()
                         counts[lang] = np.zeros(LETTERS**3, np.int64)
+                        if len(counts.keys() | vectors.keys()) > MAX_LANGUAGES:
+                            raise ValueError(f"more than {MAX_LANGUAGES} languages")
                     counts[lang][found[0]] += found[1]
-                    if len(counts) > MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        for lang, n in counts.items():
-            grams = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": [lang], "vector": [_bundle(grams, n[grams]).tolist()]})
+        fold()
+        for lang, vector in vectors.items():
+            yield pd.DataFrame({"lang": [lang], "vector": [vector.tolist()]})
 
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
     parts = rows.mapInPandas(partial, "lang string, vector array<bigint>")

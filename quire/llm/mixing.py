@@ -71,37 +71,45 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: floa
     return weighted.join(totals, "held").select("source", "n", rate.alias("rate"))
 
 
+def document_name(text: Column) -> Column:
+    """What a document is hashed by: its doc_id, or without one its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, power: float = POWER, seed: str = SEED) -> DataFrame:
     """All columns of `docs`, `copy_no` (from 1) and `shuffle_key`, in globally shuffled order.
 
-    Documents whose number is 0 are left out: that is the sampling asked for. A null doc_id is hashed
-    as an empty string; repeated rows with one doc_id get the same number of copies each. Input columns
-    named like the added ones give way to them.
+    Documents whose number is 0 are left out: that is the sampling asked for. Rows with a null doc_id go by
+    their text instead; rows of one doc_id, and rows without one that have the same text, get the same number
+    of copies each. Rows are dealt by key and text, so only rows equal in both share a place for certain.
+    Input columns named like the added ones give way to them.
     """
     rates = source_rates(docs, weights, epochs, power)
     if rates.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES:
         rates = F.broadcast(rates)  # else a hot source is split by the join
     names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    text = F.col("text").cast("string") if "text" in names else F.lit(None).cast("string")
     # The row travels as one column, so no name of the input can clash with those used here.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("from"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").alias("from"), document_name(text).alias("doc"), F.xxhash64(text).alias("deal"))
     rated = rows.join(rates, F.col("from").eqNullSafe(F.col("source")))
-    counted = rated.select("row", "doc", poisson(F.col("rate"), F.lit(seed), F.col("doc")).alias("copies")).where("copies > 0")
-    copies = counted.select("row", "doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    counted = rated.select("row", "doc", "deal", poisson(F.col("rate"), F.lit(seed), F.col("doc")).alias("copies")).where("copies > 0")
+    copies = counted.select("row", "doc", "deal", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("doc"), F.col("copy_no").cast("string")))
-    keyed = copies.select(*[F.col("row").getField(c).alias(c) for c in names], "copy_no", key.alias("shuffle_key"))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    dealt = copies.select("row", "copy_no", key.alias("key"), "deal").repartition("key", "deal").sortWithinPartitions("key")
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in names], "copy_no", F.col("key").alias("shuffle_key"))
 
 
+_NAME = "coalesce(d.doc_id::VARCHAR, 'text ' || md5(coalesce(d.text, '')))"
 _SQL = f"""
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {POWER}) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, 1.0::DOUBLE * w / (SELECT sum(w) FROM counts) * (SELECT sum(n) FROM counts)::DOUBLE / n AS m FROM counts),
-drawn AS (SELECT d.doc_id, r.m, ('0x' || substr(md5('{SEED}|' || coalesce(d.doc_id::VARCHAR, '') || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+drawn AS (SELECT DISTINCT {_NAME} AS doc, r.source, r.m, ('0x' || substr(md5('{SEED}|' || doc || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
-steps AS (SELECT doc_id, m, u, 0 AS k, exp(-m) AS p, exp(-m) AS c FROM drawn
-  UNION ALL SELECT doc_id, m, u, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM steps WHERE NOT c > u AND k < ceil(m + 12 * sqrt(m) + 30)),
-numbers AS (SELECT doc_id, max(k) AS k FROM steps GROUP BY doc_id)
-SELECT d.*, i.copy_no::INTEGER AS copy_no, md5('{SEED}|order|' || coalesce(d.doc_id::VARCHAR, '') || '|' || i.copy_no) AS shuffle_key
-FROM documents d JOIN numbers USING (doc_id), unnest(range(1, k + 1)) AS i(copy_no)
+steps AS (SELECT doc, source, m, u, 0 AS k, exp(-m) AS p, exp(-m) AS c FROM drawn
+  UNION ALL SELECT doc, source, m, u, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM steps WHERE NOT c > u AND k < ceil(m + 12 * sqrt(m) + 30)),
+numbers AS (SELECT doc, source, max(k) AS k FROM steps GROUP BY doc, source)
+SELECT d.*, i.copy_no::INTEGER AS copy_no, md5('{SEED}|order|' || n.doc || '|' || i.copy_no) AS shuffle_key
+FROM documents d JOIN numbers n ON n.doc = {_NAME} AND d.source IS NOT DISTINCT FROM n.source, unnest(range(1, k + 1)) AS i(copy_no)
 """
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -120,16 +121,40 @@ def test_mix_equals_inversion_row_by_row(spark, odd_docs, weighted):
     given = {"a": 3.0, None: 1.0} if weighted else {s: m**mixing.POWER for s, m in n.items()}
     weights = spark.createDataFrame(list(given.items()), "source string, weight double") if weighted else None
     total = sum(given[s] for s in n if s in given)
+    named = lambda r: r[0] if r[0] is not None else "text " + hashlib.md5((r[1] or "").encode()).hexdigest()
     want = Counter()
     for r in rows:
         rate = 2.0 * given.get(r[3], 0.0) / total * len(rows) / n[r[3]]
-        for copy in range(1, poisson(rate, mixing.SEED, "" if r[0] is None else r[0]) + 1):
+        for copy in range(1, poisson(rate, mixing.SEED, named(r)) + 1):
             want[r[0], r[1], copy] += 1
     got = mixing.mix(odd_docs, weights, epochs=2.0)
     assert is_native(got) or odd_docs is not None
     assert Counter((r.doc_id, r.text, r.copy_no) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("doc_id,epochs", [("CAST(NULL AS BIGINT)", 1.0), ("CAST(7 AS BIGINT)", 40.0)])
+def test_rows_without_id_or_with_one_id_are_dealt_apart(spark, doc_id, epochs):
+    docs = spark.range(1000).selectExpr(f"{doc_id} AS doc_id", "concat('Text ', id) AS text", "'a' AS source", "id AS key", "id AS deal")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.mix(docs, epochs=epochs)
+        assert got.columns == [*docs.columns, "copy_no", "shuffle_key"]
+        spread = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(spread) > 1 and max(spread) < 0.6 * sum(spread)
+        copies = {r["count"] for r in got.groupBy("text").count().collect()}
+        assert len(copies) > 1 if epochs == 1.0 else len(copies) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_labels_beyond_the_tables_of_a_task_learn_the_same(spark):
+    rows = [(f"{w} {v} lantern " * 3, f"l{i % 5}") for i, (w, v) in enumerate(itertools.product(("harbour", "tide", "gull"), ("rope", "oil", "glass", "quay")))]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    many = language.learn(docs)
+    few = language.learn(docs, tables=2)
+    assert many.keys() == few.keys() and all((many[k] == few[k]).all() for k in many)
+
+
 def test_mix_is_native_and_empty_tables_give_nothing(spark, no_docs):
     assert is_native(mixing.op4_mixing(spark, SF))
     assert mixing.mix(no_docs).count() == 0
