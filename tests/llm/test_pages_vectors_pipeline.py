@@ -250,6 +250,6 @@ def test_pipeline_takes_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {m[1] for n in names if (m := re.match(r"op(\d+)_", n))} == {str(n) for n in range(1, 11)}
+    assert {m[1] for n in names if (m := re.match(r"op(\d+)_", n))} == {str(n) for n in range(1, 14)}
     assert "pipeline" in names
     random.seed(0)
