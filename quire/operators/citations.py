@@ -33,31 +33,40 @@ def cell_references(answers: DataFrame, column: str = "answer") -> DataFrame:
     ).drop("_at", "_m")
 
 
-def _hits(values: Column, label: Column) -> Column:
-    """Positions whose label is equal, or contains a label of two characters or more."""
-    places = F.transform(values, lambda v, i: F.struct(i.alias("i"), cell_key(v).alias("k")))
-    found = F.filter(places, lambda p: (p["k"] == label) | ((F.length(label) > 1) & F.contains(p["k"], label)))
-    return F.transform(found, lambda p: p["i"])
+def _hits(keys: Column, label: Column) -> Column:
+    """Positions whose key is equal to a label, or contains a label of two characters or more."""
+    found = F.filter(
+        F.transform(keys, lambda k, i: F.struct(i.alias("i"), k.alias("k"))),
+        lambda p: (p["k"] == label) | ((F.length(label) > 1) & F.contains(p["k"], label)),
+    )
+    return F.transform(found, lambda p: p["i"].cast("bigint"))
 
 
 def resolve_cells(refs: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells each reference hits, references that hit none).
 
-    A reference names a table by its index or by the number in its caption, within its paper. Labels
-    are matched inside the joined row, so no pairs of labels are formed.
+    A reference names a table by its index or by the number in its caption, within its paper. Labels are
+    brought to their comparison form once per table, and each distinct pair of labels meets each distinct
+    grid of the tables it may mean once; what they hit is then handed to all their references and tables.
     """
     names = F.array_distinct(F.array_compact(F.array(F.col("table_index").cast("string"), caption_number(F.col("caption")))))
-    named = tables.select("paper_id", "table_index", "headers", "rows", F.explode(names).alias("table_no"))
-    pairs = refs.join(named, ["paper_id", "table_no"])
-    row_hits = _hits(F.transform("rows", lambda r: F.try_element_at(r, F.lit(1))), F.col("row_label"))
-    col_hits = _hits(F.col("headers"), F.col("col_label"))
-    cells = (
-        pairs.withColumns({"_r": row_hits, "_c": col_hits})
-        .drop("headers", "rows")
-        .withColumn("row_no", F.explode("_r"))
-        .withColumn("col_no", F.explode("_c"))
-        .drop("_r", "_c")
-        .withColumns({c: F.col(c).cast("bigint") for c in ("row_no", "col_no")})
+    keyed = tables.select(
+        "paper_id", "table_index", names.alias("_names"), F.transform("headers", cell_key).alias("_heads"),
+        F.transform("rows", lambda r: cell_key(F.try_element_at(r, F.lit(1)))).alias("_rows"),
+    )
+    grid = F.sha2(F.to_json(F.struct("_heads", "_rows")), 256)
+    named = keyed.withColumn("_grid", grid).withColumn("table_no", F.explode("_names"))
+    place, labels = ["paper_id", "table_no"], ["paper_id", "table_no", "row_label", "col_label"]
+    grids = named.select(*place, "_grid", "_heads", "_rows").dropDuplicates([*place, "_grid"])
+    asked = refs.select(*labels).distinct()
+    met = asked.join(grids, place).select(
+        *labels, "_grid", _hits(F.col("_rows"), F.col("row_label")).alias("_r"), _hits(F.col("_heads"), F.col("col_label")).alias("_c")
     )
+    met = met.filter((F.size("_r") > 0) & (F.size("_c") > 0))
+    places = met.join(named.select(*place, "_grid", "table_index"), [*place, "_grid"]).select(*labels, "table_index", "_r", "_c")
+    places = places.withColumn("row_no", F.explode("_r")).withColumn("col_no", F.explode("_c")).drop("_r", "_c")
+    rest = [c for c in refs.columns if c not in place]
+    cells = refs.join(places, labels).select(*place, *rest, "table_index", "row_no", "col_no")
     keys = [c for c in refs.columns if c not in ("table_no", "row_label", "col_label")]
-    return cells, refs.join(cells.select(*keys).distinct(), keys, "left_anti")
+    hit = refs.join(met.select(*labels), labels, "left_semi").select(*keys).distinct()
+    return cells, refs.join(hit, keys, "left_anti")

@@ -121,7 +121,7 @@ refs AS (SELECT answer_id, paper_id, CAST(1 AS BIGINT) AS ref_no, CAST(p_size AS
 
 
 def refs(spark: SparkSession, d: str) -> DataFrame:
-    return citations.cell_references(derive(spark, d, "part", ANSWER))
+    return citations.cell_references(derive(spark, d, "part", ANSWER, wide=True))
 
 
 @query("g6_cell_references", f"WITH {REFS_SQL} SELECT * FROM refs")
@@ -139,7 +139,7 @@ cells AS (SELECT refs.*, table_index, CAST(row_no AS BIGINT) AS row_no, CAST(col
 
 def cited_tables(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(F.array("n", F.lit("1")), F.array("t", F.lit("2")), F.array(F.concat_ws(" ", "n", "t"), F.lit("3")))
-    return derive(spark, d, "part", CITED).withColumns({"headers": F.array(F.lit("Name"), F.lit("The *Brand*"), F.lit("brand")), "rows": rows})
+    return derive(spark, d, "part", CITED, wide=True).withColumns({"headers": F.array(F.lit("Name"), F.lit("The *Brand*"), F.lit("brand")), "rows": rows})
 
 
 @query("g7_resolve_cells", f"WITH {CELLS_SQL} SELECT * FROM cells")
