@@ -64,7 +64,7 @@ class Library:
     """A store of chunks, tables and papers with logs of activity and dead letters.
 
     `model` maps a list of texts to (vectors of `dim` numbers, tokens used); without it words are hashed.
-    Rows of a batch that cost a model's work are written to `stage` first and read from there.
+    Rows of a batch that cost a model's work, and its cleaned pages, are written to `stage` first and read from there.
     """
 
     def __init__(
@@ -118,7 +118,7 @@ class Library:
         if batch <= self.store.manifest().writers.get(writer, -1):
             return False
         pages = with_layout(pages)
-        cleaned = clean_pages(pages.select("paper_id", "page", "text")).filter(F.col("text") != "")
+        cleaned = self._staged(clean_pages(pages.select("paper_id", "page", "text")), "pages").filter(F.col("text") != "")
         chunks = chunk_papers(assign_sections(cleaned), self.size, self.overlap).withColumn("chunk_id", chunk_id(F.col("paper_id"), F.col("chunk_index")))
         chunks = self._staged(self._embedded(chunks, "text"), "chunks")
         raw, letters = page_grids(pages)

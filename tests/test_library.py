@@ -180,3 +180,17 @@ def test_library_stream_commits_all_tables_at_once(spark, tmp_path):
     assert status["p1"] == ("completed", "New") and status["p2"] == ("failed", "Title 2")
     assert all(os.stat(p).st_mtime_ns == t for p, t in files.items())
     assert not library.write(pages(spark, again), 0, f"{folder}/state")
+
+
+def test_pages_of_a_batch_are_cleaned_once(spark, tmp_path, monkeypatch):
+    """Cleaned pages are written to the stage, and what reads them neither plans nor runs the clean-up again."""
+    import quire.streaming.library as module
+
+    seen, real = [], module.assign_sections
+    monkeypatch.setattr(module, "assign_sections", lambda pages: seen.append(pages) or real(pages))
+    rows = [("p", 1, "1 Introduction\n  Two\t blanks and a bro-\nken word.\n\n\n\nEnd \u2211"), ("q", 1, " \n ")]
+    library = Library(spark, str(tmp_path / uuid.uuid4().hex))
+    assert library.write(spark.createDataFrame(rows, "paper_id string, page bigint, text string"), 0)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "regexp_replace" not in plan
+    assert told(library.store.read("chunks"), "text") == [("1 Introduction\nTwo blanks and a broken word.\n\nEnd $\\sum$",)]
