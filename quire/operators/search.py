@@ -168,7 +168,10 @@ def knn(
     A restricted query is multiplied with the vectors of its papers only.
     """
     keys, payload = list(keys), list(payload)
-    source = paper_filter(chunks, papers).filter(F.col("embedding").isNotNull()).select(*keys, *payload, F.col("embedding").cast("array<double>").alias("embedding"))
+    # Rows without a vector are left out by the tasks that score: a filter on a vector that is an expression
+    # would work it out once for the filter and once more for the row.
+    every = paper_filter(chunks, papers)
+    source = every.select(*keys, *payload, F.col("embedding").cast("array<double>").alias("embedding"))
     query_type = queries.schema["query_id"].dataType
     id_type = to_arrow_type(query_type)
     own_papers = "paper_ids" in queries.columns
@@ -210,6 +213,9 @@ def knn(
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, size = [], 0
         for batch in batches:
+            vectors = batch.column("embedding")
+            if vectors.null_count:
+                batch = batch.filter(vectors.is_valid())
             if batch.num_rows:
                 held.append(batch)
                 size += batch.nbytes
@@ -252,7 +258,7 @@ def knn(
 
     # Openers are read by their own filter, without vectors and scores.
     plain = T.StructType(schema.fields[:-1])
-    first = source.filter(F.col(keys[1]) < openers).select(*keys, *payload).mapInArrow(given, plain)
+    first = every.filter(F.col(keys[1]) < openers).filter(F.col("embedding").isNotNull()).select(*keys, *payload).mapInArrow(given, plain)
     return best.filter(F.col(keys[1]) >= openers).unionByName(first.withColumns({"score": F.lit(None).cast("double"), "rank": F.lit(None).cast("int")}))
 
 

@@ -209,3 +209,17 @@ def test_texts_meet_only_the_kept(spark):
         assert sorted(map(str, late.collect())) == sorted(map(str, whole.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vectors_are_worked_out_once(spark):
+    """A vector that is an expression is not worked out again to see whether it is null."""
+    rows = [(p, i, t) for p in ("a", "b") for i, t in enumerate(("rope and lamp", None, "lamp glass", "lamp oil"))]
+    chunks = spark.createDataFrame(rows, "paper_id string, chunk_index long, text string").repartition(2)
+    chunks = chunks.withColumn("embedding", F.when(F.col("text").isNotNull(), E.hash_embed(F.col("text"))))
+    asked = spark.createDataFrame([("q", "lamp")], "query_id string, text string").select("query_id", E.hash_embed(F.col("text")).alias("embedding"))
+    hits = search.knn(chunks, asked, 2, per_paper=True)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("md5(" in line for line in plan) == 1
+    assert sorted((r["paper_id"], r["chunk_index"], r["rank"]) for r in hits.collect()) == [(p, i, n) for p in ("a", "b") for i, n in ((2, 1), (3, 2))]
+    opened = search.knn(chunks, asked, 2, per_paper=True, openers=2).collect()
+    assert sorted((r["paper_id"], r["chunk_index"]) for r in opened) == [(p, i) for p in ("a", "b") for i in (0, 2, 3)]
