@@ -100,9 +100,10 @@ def hard_split(c: Column, size: int) -> Column:
 
 
 def slug(c: Column, fallback: str = "paper", limit: int = 60) -> Column:
-    """File-name form of a title."""
-    name = F.trim(F.left(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), F.lit(limit)), F.lit("_"))
-    return F.when(name == "", F.lit(fallback)).otherwise(name)
+    """File-name form of a title. Only the start that gives `limit` characters is rewritten, however long the text."""
+    start = F.regexp_extract(c, rf"^(?:[A-Za-z0-9]|[^A-Za-z0-9]++){{0,{limit}}}", 0)
+    name = F.trim(F.left(F.regexp_replace(start, "[^A-Za-z0-9]+", "_"), F.lit(limit)), F.lit("_"))
+    return let(name, lambda n: F.when(n == "", F.lit(fallback)).otherwise(n))
 
 
 def present(c: Column) -> Column:

@@ -1,3 +1,4 @@
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -61,3 +62,12 @@ def test_urls(one):
 
 def test_slug(one):
     assert one(T.slug, "A: b/c!", "***") == ["A_b_c", "paper"]
+
+
+def test_slug_rewrites_only_the_start(spark):
+    texts = ["", None, "--- a", "é" * 300 + "b" * 100, "a-" * 100, "ab" * 100, " \n" * 5000 + "x" * 59 + "!y", "!!!"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1).select("t", T.slug(F.col("t")).alias("s"))
+    plain = lambda t: t if t is None else re.sub("[^A-Za-z0-9]+", "_", t)[:60].strip("_") or "paper"
+    assert {r["t"]: r["s"] for r in df.collect()} == {t: plain(t) for t in texts}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == plan.count("regexp_replace(regexp_extract(") == 1
