@@ -19,7 +19,9 @@ NO_TEXT = "No extractable text found. Scanned/image-only PDFs are not supported.
 
 def index_pages(pages_raw: DataFrame, size: int = SIZE, overlap: int = OVERLAP, dim: int = HASH_DIM, sections: bool = False) -> DataFrame:
     """Raw pages to embedded chunks: clean, chunk, number, embed."""
-    pages = clean_pages(pages_raw).filter(F.col("text") != "")
+    # Behind the generator the filter reads the cleaned text; pushed before it, it would clean each page once more.
+    cleaned = clean_pages(pages_raw)
+    pages = cleaned.withColumn("text", F.explode_outer(F.array("text"))).filter(F.col("text") != "")
     if sections:
         pages = assign_sections(pages)
     chunks = chunk_papers(pages, size, overlap)

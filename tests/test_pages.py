@@ -158,3 +158,15 @@ def test_elect_title(spark):
     lines = spark.createDataFrame([("c", "no"), ("d", "abc\nFirst long line")], "paper_id string, text string")
     got = {r["paper_id"]: r["title"] for r in cleaning.elect_title(papers, spans, lines).collect()}
     assert got == {"a": "Big Title", "b": "A real title", "c": "c.x", "d": "First long line"}
+
+
+def test_pages_of_an_index_are_cleaned_once(spark, monkeypatch):
+    """The filter on blank pages does not clean them again, and blank or missing pages leave no chunk."""
+    import quire.streaming.indexing as module
+
+    seen, real = [], module.chunk_papers
+    monkeypatch.setattr(module, "chunk_papers", lambda pages, *rules: seen.append(pages) or real(pages, *rules))
+    rows = [("p", 1, "1 Introduction\nTwo  blanks, a bro-\nken word ∑"), ("q", 1, " \n "), ("r", 1, None)]
+    made = module.index_pages(spark.createDataFrame(rows, "paper_id string, page bigint, text string").repartition(2))
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["paper_id"], r["text"]) for r in made.collect()] == [("p", "1 Introduction\nTwo blanks, a broken word $\\sum$")]
