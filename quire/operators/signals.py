@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 
 from quire.functions.scores import link_state
 
-# Signal patterns (JVM dialect, Unicode-aware), hosts of repositories, limits.
+# Signal patterns (JVM dialect, Unicode-aware), hosts of repositories, limits. A pattern begins with a look
+# at the characters that a match can begin with, which passes over most places without the dearer look for a word's edge.
 FLAGS = "(?iuU)"
 SIGNALS = {
-    "seed": r"\b(random\s+)?seeds?\b",
-    "accelerator": r"\b(A100|H100|V100|A6000|A40|L40S?|P100|T4|RTX\s?\d{4}|TPU\s?v?\d|GPUs?)\b",
-    "gpu_hours": r"\b(GPU[- ]hours?|TPU[- ]hours?|wall[- ]clock|hours on|days on)\b",
-    "variance": r"(±|\\pm|standard deviation|std\.?|error bars?|confidence interval|\b95%\s*CI\b)",
-    "multiple_runs": r"\b(averaged over|average of|mean of|across)\s+\d+\s+(runs|seeds|trials)\b|\b\d+\s+(random\s+)?(seeds|runs|trials)\b",
-    "significance": r"(p\s*[<≤=]\s*0?\.\d+|p\s*\$?\\le\s*\$?\s*0?\.\d+|t-test|wilcoxon|permutation test|bootstrap|significan(t|ce))",
-    "code_promise": r"\b(code|models?|data)\s+(will be|would be|is to be)\s+(made\s+)?(publicly\s+)?(available|released|open[- ]sourced)\b",
-    "code_available": r"\b(code|implementation|models?|checkpoints?|weights)\s+(is|are)\s+(publicly\s+)?(available|released)\b",
-    "environment": r"\b(requirements\.txt|environment\.ya?ml|pyproject\.toml|dockerfile|docker image|conda env|CUDA\s?\d+(\.\d+)?|PyTorch\s?\d|TensorFlow\s?\d|JAX)\b",
-    "contamination": r"\b(contaminat\w*|de-?dup\w*|overlap (between|with)|n-gram overlap|leak\w*)\b",
-    "carbon": r"\b(CO2\b|CO₂(?!\w)|(carbon|kWh|energy consumption|emissions)\b)",
+    "seed": r"(?=[rs])\b(random\s+)?seeds?\b",
+    "accelerator": r"(?=[ahvlprtg])\b(A100|H100|V100|A6000|A40|L40S?|P100|T4|RTX\s?\d{4}|TPU\s?v?\d|GPUs?)\b",
+    "gpu_hours": r"(?=[gtwhd])\b(GPU[- ]hours?|TPU[- ]hours?|wall[- ]clock|hours on|days on)\b",
+    "variance": r"(?=[±\\sec9])(±|\\pm|standard deviation|std\.?|error bars?|confidence interval|\b95%\s*CI\b)",
+    "multiple_runs": r"(?=[am\d])(\b(averaged over|average of|mean of|across)\s+\d+\s+(runs|seeds|trials)\b|\b\d+\s+(random\s+)?(seeds|runs|trials)\b)",
+    "significance": r"(?=[ptwbs])(p\s*[<≤=]\s*0?\.\d+|p\s*\$?\\le\s*\$?\s*0?\.\d+|t-test|wilcoxon|permutation test|bootstrap|significan(t|ce))",
+    "code_promise": r"(?=[cmd])\b(code|models?|data)\s+(will be|would be|is to be)\s+(made\s+)?(publicly\s+)?(available|released|open[- ]sourced)\b",
+    "code_available": r"(?=[cimw])\b(code|implementation|models?|checkpoints?|weights)\s+(is|are)\s+(publicly\s+)?(available|released)\b",
+    "environment": r"(?=[repdctj])\b(requirements\.txt|environment\.ya?ml|pyproject\.toml|dockerfile|docker image|conda env|CUDA\s?\d+(\.\d+)?|PyTorch\s?\d|TensorFlow\s?\d|JAX)\b",
+    "contamination": r"(?=[cdonl])\b(contaminat\w*|de-?dup\w*|overlap (between|with)|n-gram overlap|leak\w*)\b",
+    "carbon": r"(?=[cke])\b(CO2\b|CO₂(?!\w)|(carbon|kWh|energy consumption|emissions)\b)",
 }
 URL = r"(?i)https?://[^\s)\]}>,;\"']+"
 REPO_HOSTS = ("github.com", "gitlab.com", "huggingface.co", "bitbucket.org", "zenodo.org", "codeocean.com", "osf.io")
