@@ -2,7 +2,8 @@
 
 Each operator maps tables to their next state; the caller writes it. Changes are matched by key with
 semi, anti and left joins, which Spark broadcasts when the changed side is measured to be small and
-splits when a key is hot.
+splits when a key is hot. Where `n_parts` can be given, rows are dealt by key into so many partitions (`session.parts`) before they
+are hashed or sorted, so that the memory of a task does not grow with the tables. Outcomes come dealt by the caller.
 """
 
 from __future__ import annotations
@@ -106,13 +107,17 @@ def update_by_key(
     return joined.select(*[fresh(c) if c in fields else F.col(c) for c in target.columns])
 
 
-def apply_index_outcome(papers: DataFrame, outcomes: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame, keys: Sequence[str], n_parts: int | None) -> DataFrame:
+    return df if n_parts is None else df.repartition(n_parts, *keys)
+
+
+def apply_index_outcome(papers: DataFrame, outcomes: DataFrame, n_parts: int | None = None) -> DataFrame:
     """outcomes(paper_id, ok, error, title, page_count, chunk_count[, authors, abstract]): completed with the
     new facts, or failed with the error. Of several outcomes of a paper a failure counts, else the largest row."""
     facts = [c for c in ("page_count", "chunk_count", "authors", "abstract") if c in outcomes.columns and c in papers.columns]
     one = latest(outcomes, ["paper_id"], [F.asc("ok"), F.desc(F.struct(*[c for c in outcomes.columns if c not in ("paper_id", "ok")]))])
     o = one.select("paper_id", *[F.col(c).alias(f"_{c}") for c in ("ok", "error", "title", *facts)])
-    joined = papers.join(o, "paper_id", "left")
+    joined = _dealt(papers, ["paper_id"], n_parts).join(o, "paper_id", "left")
     fresh = {c: F.when(F.col("_ok"), F.col(f"_{c}")).otherwise(F.col(c)) for c in facts}
     fresh["title"] = F.when(F.col("_ok"), F.left("_title", F.lit(MAX_TITLE))).otherwise(F.col("title"))
     fresh["status"] = F.when(F.col("_ok"), "completed").when(~F.col("_ok"), "failed").otherwise(F.col("status"))
@@ -191,12 +196,12 @@ def check_ready(requests: DataFrame, papers: DataFrame) -> DataFrame:
     )
 
 
-def cache_split(requests: DataFrame, cache: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def cache_split(requests: DataFrame, cache: DataFrame, keys: Sequence[str], n_parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(requests answered from the cache, requests to compute). A true `refresh` column forces computing."""
     keys = list(keys)
     may_hit = ~F.coalesce(F.col("refresh"), F.lit(False)) if "refresh" in requests.columns else F.lit(True)
-    known = cache.select(*keys).distinct().withColumn("_cached", F.lit(True))
-    marked = requests.join(known, keys, "left").withColumn("_hit", F.coalesce(F.col("_cached"), F.lit(False)) & may_hit).drop("_cached")
+    known = _dealt(cache.select(*keys), keys, n_parts).distinct().withColumn("_cached", F.lit(True))
+    marked = _dealt(requests, keys, n_parts).join(known, keys, "left").withColumn("_hit", F.coalesce(F.col("_cached"), F.lit(False)) & may_hit).drop("_cached")
     return marked.filter("_hit").drop("_hit"), marked.filter("NOT _hit").drop("_hit")
 
 

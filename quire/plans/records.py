@@ -9,8 +9,12 @@ from quire.functions.ids import chunk_id, table_id
 from quire.operators import ledger as L
 from quire.plans.inputs import derive
 from quire.plans.registry import query
+from quire.session import parts
 from quire.sources.pages import table
 
+# A shuffle's partition holds so many papers, or keys of requests and cache.
+PAPERS_PER_PART, KEYS_PER_PART = 100_000, 1_000_000
+
 
 def select(fields: dict, source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in fields.items()) + f" FROM {source}"
@@ -118,8 +122,10 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     return derive(spark, d, "orders", PAPER)
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(
+def facts(spark: SparkSession, d: str, n_parts: int | None = None) -> DataFrame:
+    """`n_parts` deals the rows before they are grouped: a hash table of a whole split grows with the split."""
+    rows = table(spark, d, "lineitem")
+    return (rows if n_parts is None else rows.repartition(n_parts, "l_orderkey")).groupBy(F.col("l_orderkey").alias("paper_id")).agg(
         F.count("*").alias("page_count"), F.sum(F.col("l_quantity").cast("bigint")).alias("chunk_count"), F.max("l_partkey").alias("part"), F.min("l_linestatus").alias("worst")
     )
 
@@ -146,8 +152,8 @@ SELECT p.paper_id, CASE WHEN ok THEN o.title ELSE p.title END AS title, CASE WHE
   CASE WHEN ok THEN o.chunk_count ELSE p.chunk_count END AS chunk_count, CASE WHEN ok THEN NULL WHEN NOT ok THEN left(error, 500) ELSE error_message END AS error_message FROM papers p LEFT JOIN o USING (paper_id)""",
 )
 def index_outcome(spark: SparkSession, d: str) -> DataFrame:
-    outcome = facts(spark, d).selectExpr(*OUTCOME)
-    return L.apply_index_outcome(papers(spark, d), outcome)
+    n_parts = parts(spark, table(spark, d, "orders").count(), PAPERS_PER_PART)
+    return L.apply_index_outcome(papers(spark, d), facts(spark, d, n_parts).selectExpr(*OUTCOME), n_parts)
 
 
 INDEXED = {"paper_id": "o_orderkey", "ok": "o_orderstatus <> 'P'", "title": "concat('Order of ', o_orderdate, ' ', repeat('x', 80))", "chunk_count": "o_orderkey % 40", "table_count": "o_custkey % 3", "created_at": "o_orderdate"}
@@ -262,7 +268,8 @@ SELECT paper_id, summary_type, refresh, NOT refresh AND (paper_id, summary_type)
 )
 def cache_split(spark: SparkSession, d: str) -> DataFrame:
     cache = derive(spark, d, "lineitem", {"paper_id": "l_orderkey", "summary_type": "CASE WHEN l_returnflag = 'A' THEN 'F' WHEN l_returnflag = 'R' THEN 'O' ELSE 'P' END"})
-    hits, misses = L.cache_split(derive(spark, d, "orders", ASK), cache, ["paper_id", "summary_type"])
+    n_parts = parts(spark, table(spark, d, "orders").count() + cache.count(), KEYS_PER_PART)
+    hits, misses = L.cache_split(derive(spark, d, "orders", ASK), cache, ["paper_id", "summary_type"], n_parts)
     return hits.withColumn("cached", F.lit(True)).unionByName(misses.withColumn("cached", F.lit(False)))
 
 

@@ -141,6 +141,23 @@ def test_one_row_per_key_whatever_the_changes(spark):
     assert sorted(map(tuple, L.update_by_key(target, nulls).collect())) == [("a", 1, None), ("b", 9, "y")]
 
 
+def test_the_kept_side_of_a_ledger_is_dealt_into_the_partitions_asked_for(spark):
+    """Spark does not join the partitions of such a shuffle, so a task holds its share and no more."""
+    n = 7
+    asked = spark.createDataFrame([(i, i % 3 == 0) for i in range(50)] + [(None, False)], "paper_id int, refresh boolean")
+    cache = spark.createDataFrame([(i % 20,) for i in range(60)] + [(None,)], "paper_id int")
+    hits, misses = L.cache_split(asked, cache, ["paper_id"], n)
+    assert sorted(r[0] for r in hits.collect()) == [i for i in range(20) if i % 3]
+    assert sorted(map(tuple, hits.unionByName(misses).collect()), key=str) == sorted(map(tuple, asked.collect()), key=str)
+    papers = spark.createDataFrame([(i, "t", "indexing", None, 0) for i in range(50)], "paper_id int, title string, status string, error_message string, page_count int")
+    outcomes = spark.createDataFrame([(i, i % 2 == 0, "broken", "T", 3) for i in range(40)], "paper_id int, ok boolean, error string, title string, page_count int")
+    done = L.apply_index_outcome(papers, outcomes.repartition(n, "paper_id"), n)
+    assert sorted(done.collect()) == sorted(L.apply_index_outcome(papers, outcomes).collect())
+    assert [df.rdd.getNumPartitions() for df in (misses, done)] == [n, n]
+    plan = misses._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_outcomes_of_one_paper_leave_one_row(spark):
     papers = spark.createDataFrame([("a", "t", "indexing", None, 0, 0, None, None)], "paper_id string, title string, status string, error_message string, page_count int, chunk_count int, authors string, abstract string")
     fields = "paper_id string, ok boolean, error string, title string, page_count int, chunk_count int, authors string, abstract string"
