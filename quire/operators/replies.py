@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.bind import let
 from quire.functions.text import strip
 
 VARIANTS = "array<variant>"
@@ -18,9 +19,9 @@ def json_body(reply: Column) -> Column:
     """The JSON text of a reply, without code fences or prose around it; null when there is none."""
     # The forms in which models wrap their JSON.
     bare = F.regexp_replace(strip(reply), r"(?i)\A```(?:json)?\s*|\s*```\z", "")
-    outer = F.regexp_extract(bare, r"(?s)(\{.*\}|\[.*\])", 1)
-    valid = lambda c: F.try_parse_json(c).isNotNull()
-    return F.when(valid(bare), bare).when((outer != "") & valid(outer), outer)
+    valid = lambda c: F.try_parse_json(c).isNotNull()
+    within = lambda b: let(F.regexp_extract(b, r"(?s)(\{.*\}|\[.*\])", 1), lambda o: F.when((o != "") & valid(o), o))
+    return let(bare, lambda b: F.when(valid(b), b).otherwise(within(b)))
 
 
 def parse_replies(df: DataFrame, column: str = "reply") -> tuple[DataFrame, DataFrame]:
@@ -66,15 +67,21 @@ def resolve_choice(answer: Column, options: Column) -> Column:
 
 
 def _question(v: Column, quiz_type: Column) -> Column:
-    ask, given = strip(_text(v, "$.question")), strip(_text(v, "$.answer"))
-    options = F.transform(_texts(v, "$.options"), strip)
+    """Each field is read from the variant once, and the answer is resolved once."""
+    read = F.struct(
+        strip(_text(v, "$.question")).alias("ask"), strip(_text(v, "$.answer")).alias("given"),
+        F.transform(_texts(v, "$.options"), strip).alias("options"), _text(v, "$.explanation").alias("why"),
+    )
+    return let(read, lambda r: _usable(r["ask"], r["given"], r["options"], r["why"], quiz_type))
+
+
+def _usable(ask: Column, given: Column, options: Column, why: Column, quiz_type: Column) -> Column:
     truth = F.when(F.startswith(F.lower(given), F.lit("t")), "True").otherwise("False")
     choice = F.when(F.size(options) >= 2, resolve_choice(given, options))
     answer = F.when(quiz_type == "true_false", truth).when(quiz_type == "mcq", choice).otherwise(given)
     shown = F.when(quiz_type == "true_false", F.array(F.lit("True"), F.lit("False"))).when(quiz_type == "mcq", options)
-    why = _text(v, "$.explanation")
-    item = F.struct(ask.alias("question"), shown.alias("options"), answer.alias("answer"), F.when(why != "", why).alias("explanation"))
-    return F.when((ask != "") & (given != "") & answer.isNotNull(), item)
+    item = lambda a: F.struct(ask.alias("question"), shown.alias("options"), a.alias("answer"), F.when(why != "", why).alias("explanation"))
+    return F.when((ask != "") & (given != ""), let(answer, lambda a: F.when(a.isNotNull(), item(a))))
 
 
 def normalize_questions(replies: DataFrame) -> DataFrame:

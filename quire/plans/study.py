@@ -51,8 +51,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY reply_id ORDER BY pos) AS i FROM
 SELECT reply_id, i AS item_no, question, options, answer, explanation FROM k WHERE i <= n""",
 )
 def normalize_questions(spark: SparkSession, d: str) -> DataFrame:
-    good, _ = replies.parse_replies(derive(spark, d, "part", QUIZ))
-    made = replies.normalize_questions(good).select("reply_id", F.posexplode("questions").alias("i", "q"))
+    good, _ = replies.parse_replies(derive(spark, d, "part", QUIZ, wide=True))
+    # The outer form: for a plain one Spark makes the questions a second time, in a filter on empty lists.
+    made = replies.normalize_questions(good).select("reply_id", F.posexplode_outer("questions").alias("i", "q")).filter("i IS NOT NULL")
     return made.select(
         "reply_id", (F.col("i") + 1).cast("bigint").alias("item_no"), "q.question", F.array_join("q.options", "|").alias("options"), "q.answer", "q.explanation"
     )

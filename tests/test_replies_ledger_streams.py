@@ -177,3 +177,15 @@ def test_a_paper_may_arrive_in_several_batches(spark, tmp_path):
     assert whole(sink.current(spark)) == whole(index_pages(pages.drop("upload")))
     sink.write(spark.createDataFrame([("p", 1, "A new log.", 2)], pages.schema), 3)
     assert [r[3] for r in whole(sink.current(spark))] == ["A new log."]
+
+
+def test_questions_of_a_reply_are_made_once(spark, tmp_path):
+    """Each field of a question is read once, no filter makes the questions again, and replies without one leave no row."""
+    from quire.plans.study import normalize_questions
+
+    parts = [(i, "Ship", "Brand#1", "Tall", 4 if i == 12 else 1) for i in (3, 4, 6, 12)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    made = normalize_questions(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"$.{f}, ") for f in ("question", "answer", "options", "explanation")] == [1, 1, 1, 1]
+    assert sorted((r["reply_id"], r["item_no"], r["answer"]) for r in made.collect()) == [(4, 1, "False"), (4, 2, "True"), (6, 1, "Brand#1 x")]
