@@ -281,7 +281,8 @@ def _grids(words: DataFrame, keys: list[str], tolerance: float, gap: float) -> D
 
     The words of a region fit one array, as a page bounds them; rows, columns and cells are folds over it.
     """
-    sorted_words = F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "text")))
+    # Sorted by `sort_array`, which compares structs itself; `array_sort` calls a lambda per comparison.
+    sorted_words = F.sort_array(F.collect_list(F.struct("top", "x0", "x1", "text")))
     pages = words.groupBy(*keys).agg(sorted_words.alias("_w"))
 
     def with_rows(w: Column) -> Column:
@@ -294,14 +295,14 @@ def _grids(words: DataFrame, keys: list[str], tolerance: float, gap: float) -> D
 
     def body(rowed: Column, anchors: Column) -> Column:
         kept = F.filter(rowed, lambda x: (F.size(anchors) <= 2) | (x["row"] > 0))
-        return F.array_sort(F.transform(kept, lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"))))
+        return F.sort_array(F.transform(kept, lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"))))
 
     def grid(rowed: Column, n_rows: Column, cuts: Column) -> Column:
         n_cols = (F.size(cuts) + 1).cast("bigint")
         column = lambda x: F.size(F.filter(cuts, lambda c: c < (x["x0"] + x["x1"]) / 2))
         # Words of a row are met by (top, x0) and then put in x order, so equal x keeps the top order.
         placed = F.transform(rowed, lambda x: F.struct((x["row"] * n_cols + column(x)).cast("bigint").alias("place"), x["x0"].alias("x0"), x["top"].alias("top"), x["text"].alias("text")))
-        return F.struct(n_rows.alias("n_rows"), n_cols.alias("n_cols"), _cells(F.array_sort(placed)).alias("cells"))
+        return F.struct(n_rows.alias("n_rows"), n_cols.alias("n_cols"), _cells(F.sort_array(placed)).alias("cells"))
 
     return pages.select(*keys, let(F.col("_w"), with_rows).alias("_g"))
 
