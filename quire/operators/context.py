@@ -43,18 +43,18 @@ def with_texts(kept: DataFrame, texts: DataFrame, on: Sequence[str] = ("paper_id
     return kept.join(named, same, "left").drop(*[f"_on_{c}" for c in on])
 
 
-def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: Column, budget: int | str, least: int) -> DataFrame:
+def _prefix(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: Column, budget: int | str, least: int, short: bool = False) -> DataFrame:
     """Rows in order up to the first whose block would exceed the budget; the first always stays.
 
     `size` is the number of characters of a row's block, and may use its `ordinal`. `least` is a lower bound of a block's cost. With a constant budget no more than budget / least
     blocks can be kept, so ranks beyond are pruned before any window sees a whole group; a budget that
-    comes as a column bounds each group by its own value.
+    comes as a column bounds each group by its own value. Groups that are `short` lists are ranked where they lie.
     """
-    if isinstance(budget, int):
+    if isinstance(budget, int) and not short:
         ranked = first_rows(df, keys, order, max(1, budget // least), "ordinal")
         most = F.lit(budget)
     else:
-        most = F.col(budget)
+        most = F.lit(budget) if isinstance(budget, int) else F.col(budget)
         ranked = df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         ranked = ranked.filter((F.col("ordinal") == 1) | (F.col("ordinal") * least <= most))
     ranked = ranked.withColumn("cost", F.ceil(size / 4).cast("bigint"))
@@ -83,28 +83,40 @@ def source_header(ordinal: Column, kind: Column, table_index: Column, name: Colu
 
 def pack_prefix(
     hits: DataFrame, keys: Sequence[str], order: Sequence[Column], budget: int | str = BUDGET,
-    texts: DataFrame | None = None, on: Sequence[str] = ("paper_id", "chunk_index"),
+    texts: DataFrame | None = None, on: Sequence[str] = ("paper_id", "chunk_index"), short: bool = False,
 ) -> DataFrame:
     """Numbered blocks with source headers that fit the budget: adds ordinal, block, cost, total.
 
     `budget` is a number or the name of a column that is constant in each group. Null parts of a hit
     are empty in its block. Hits either hold their `text`, which suits short lists, or only `text_chars`
     (see `sized`); then the texts of the kept hits alone are joined at the end, from `texts`, whose rows
-    `on` identifies.
+    `on` identifies. Without `texts` such hits get a `header` in place of the block, and `render_context`
+    fetches the texts. `short` says that a group is a short list, as the hits of one query in one paper are.
     """
     have = set(hits.columns)
     kind = F.coalesce("kind", F.lit("text")) if "kind" in have else F.lit("text")
     index = F.col("table_index") if "table_index" in have else F.lit(None).cast("bigint")
     header = source_header(F.col("ordinal"), kind, index, _known("paper_name"), _known("page"), _known("section"))
-    body = text_chars(F.col("text")) if texts is None else F.col("text_chars")
-    packed = _prefix(hits, keys, order, F.length(header) + 1 + body, budget, _HEADED_COST)
+    body = text_chars(F.col("text")) if texts is None and "text" in have else F.col("text_chars")
+    packed = _prefix(hits, keys, order, F.length(header) + 1 + body, budget, _HEADED_COST, short)
     if texts is not None:
         packed = with_texts(packed, texts, on)
+    elif "text" not in have:
+        return packed.withColumn("header", header)
     return packed.withColumn("block", F.concat(header, F.lit("\n"), strip(_known("text"))))
 
 
-def render_context(packed: DataFrame, keys: Sequence[str], joiner: str = BLOCK_JOINER) -> DataFrame:
-    """Packed blocks of each group as one text, with the paper's name as title; bounded by the budget."""
+def render_context(
+    packed: DataFrame, keys: Sequence[str], joiner: str = BLOCK_JOINER,
+    texts: DataFrame | None = None, on: Sequence[str] = ("paper_id", "chunk_index"),
+) -> DataFrame:
+    """Packed blocks of each group as one text, with the paper's name as title; bounded by the budget.
+
+    Rows that hold a `header` in place of their block take their texts from `texts`, whose rows `on` identifies,
+    paper first. That suits groups that share texts, such as one for each of a few queries and paper.
+    """
+    if texts is not None:
+        return _render_shared(packed, keys, joiner, texts, on)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "block")))
     title = [F.min_by("paper_name", "ordinal").alias("title")] if "paper_name" in packed.columns else []
     return packed.groupBy(*keys).agg(
@@ -112,6 +124,34 @@ def render_context(packed: DataFrame, keys: Sequence[str], joiner: str = BLOCK_J
     )
 
 
+def _render_shared(packed: DataFrame, keys: Sequence[str], joiner: str, texts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Contexts whose texts are dealt once, by paper, however many groups use them.
+
+    What the groups picked of a paper is one short row. A paper's texts pass by it, those that nobody picked are
+    dropped, and the others are gathered in one row per paper, in which all its contexts are made. Keys are wrapped,
+    so that a null is a key like any other.
+    """
+    titled = ["paper_name"] if "paper_name" in packed.columns else []
+    pick = F.struct(F.struct(*on[1:]).alias("at"), F.struct(*keys).alias("group"), "ordinal", "header", *titled)
+    picks = packed.groupBy(F.struct(on[0]).alias("_paper")).agg(F.collect_list(pick).alias("_picks"))
+    named = texts.select(F.struct(on[0]).alias("_paper"), F.struct(*on[1:]).alias("_at"), "text")
+    found = named.join(picks, "_paper").select("_paper", "text", F.filter("_picks", lambda p: p["at"] == F.col("_at")).alias("_mine"))
+    taken = F.struct("_mine", strip(_known("text")).alias("text"))
+    papers = found.filter(F.size("_mine") > 0).groupBy("_paper").agg(F.collect_list(taken).alias("_kept"))
+    groups = F.array_distinct(F.flatten(F.transform("_kept", lambda t: F.transform(t["_mine"], lambda p: p["group"]))))
+
+    def blocks(t: Column) -> Column:
+        """The blocks that a group makes of a text: one, as long as `on` identifies it."""
+        made = lambda p: F.struct(p["ordinal"].alias("ordinal"), F.concat(p["header"], F.lit("\n"), t["text"]).alias("block"), *[p[c].alias(c) for c in titled])
+        return F.transform(F.filter(t["_mine"], lambda p: p["group"] == F.col("_group")), made)
+
+    parts = papers.select("_kept", F.explode(groups).alias("_group")).select("_group", F.sort_array(F.flatten(F.transform("_kept", blocks))).alias("_parts"))
+    return parts.select(
+        "_group.*", F.array_join(F.transform("_parts", lambda b: b["block"]), joiner).alias("context"),
+        F.size("_parts").cast("bigint").alias("n_used"), *[F.col("_parts")[0][c].alias("title") for c in titled],
+    )
+
+
 def pack_greedy(
     items: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, budget: int, on: Sequence[str] = ()
 ) -> DataFrame:
@@ -274,10 +314,13 @@ def focused_context(requests: DataFrame, chunks: DataFrame, query: DataFrame, k:
 
 
 def summary_context(chunks: DataFrame, styles: DataFrame, k: int = 10) -> DataFrame:
-    """Context of every paper for every summary style. styles(query_id, embedding): a short fixed list."""
+    """Context of every paper for every summary style. styles(query_id, embedding): a short fixed list.
+
+    Most styles want the same chunks of a paper, so its texts are moved once and not once per style.
+    """
     rows = _openers_and_hits(chunks, styles, 2, k)
-    packed = pack_prefix(rows, ["query_id", "paper_id"], [F.col("chunk_index")], BUDGET, chunks)
-    return render_context(packed, ["query_id", "paper_id"])
+    packed = pack_prefix(rows, ["query_id", "paper_id"], [F.col("chunk_index")], BUDGET, short=True)
+    return render_context(packed, ["query_id", "paper_id"], texts=chunks)
 
 
 def split_answerable(questions: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, Window
@@ -163,7 +164,8 @@ def knn(
     restriction). `per_paper` ranks within each paper. A `min_score` of 0 means no threshold. Ties
     break by `keys`. `payload` columns come along; name few, or join them to the hits later. Chunks
     with an index below `openers` are returned for every query, without rank and score, beside its best
-    others; this is for at most `block` queries.
+    others; this is for at most `block` queries. They leave with the hits of their slice, so the vectors
+    are worked out once.
     Rows without a vector take no part. The queries are written to the shared folder when the plan is made.
     A restricted query is multiplied with the vectors of its papers only.
     """
@@ -195,11 +197,11 @@ def knn(
         place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
         return held.take(pa.array(order[place < k]))
 
-    def scored(rows: pa.Table, file: str) -> pa.Table:
-        """The best rows of a slice for the queries of a file."""
+    def scored(rows: pa.Table, file: str) -> tuple[pa.Table, np.ndarray]:
+        """The best rows of a slice for the queries of a file, and their places in the slice."""
         ids, matrix, allowed = _queries_of(file)
         if not len(ids):
-            return pa.Table.from_batches([], to_arrow_schema(schema).append(pa.field("_q", pa.int64())))
+            return pa.Table.from_batches([], to_arrow_schema(schema).append(pa.field("_q", pa.int64()))), np.empty(0, int)
         vectors = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         if len(vectors) != rows.num_rows * matrix.shape[1]:
             raise ValueError(f"every vector must have {matrix.shape[1]} dimensions, like the queries")
@@ -208,7 +210,18 @@ def knn(
         at, query, value = _best(vectors.reshape(rows.num_rows, -1), matrix, ties, groups, allowed, ties[0], k, min_score)
         kept = rows.select([*keys, *payload]).take(pa.array(at))
         made = [ids.cast(id_type).take(pa.array(query)), *kept.columns, pa.array(value), pa.array(query)]
-        return pa.Table.from_arrays(made, names=["query_id", *keys, *payload, "score", "_q"])
+        return pa.Table.from_arrays(made, names=["query_id", *keys, *payload, "score", "_q"]), at
+
+    def opening(rows: pa.Table, file: str, best: pa.Table, at: np.ndarray) -> Iterator[pa.Table]:
+        """The openers of a slice that are not among a query's best there, for each query of a file, without a score."""
+        first = np.flatnonzero(pc.fill_null(pc.less(rows.column(keys[1]), openers), False).to_numpy())
+        ids, query = _queries_of(file)[0].cast(id_type), best.column("_q").to_numpy()
+        order = np.argsort(query, kind="stable")
+        taken = np.split(at[order], np.searchsorted(query[order], np.arange(1, len(ids)))) if len(ids) else []
+        for q, own in enumerate(taken):
+            kept = rows.select([*keys, *payload]).take(pa.array(np.setdiff1d(first, own)))
+            held = [ids.take(pa.array(np.full(kept.num_rows, q))), *kept.columns, pa.nulls(kept.num_rows, pa.float64())]
+            yield pa.Table.from_arrays(held, names=["query_id", *keys, *payload, "score"])
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, size = [], 0
@@ -226,14 +239,17 @@ def knn(
             yield pa.Table.from_batches(held)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if len(files) > 1 or per_paper:  # results go out slice by slice, and are merged by the shuffle
+        if len(files) > 1 or per_paper or openers:  # results go out slice by slice, and are merged by the shuffle
             for rows in slices(batches):
                 for file in files:
-                    yield from scored(rows, file).drop_columns(["_q"]).combine_chunks().to_batches()
+                    best, at = scored(rows, file)
+                    yield from best.drop_columns(["_q"]).combine_chunks().to_batches()
+                    for given in opening(rows, file, best, at) if openers else ():
+                        yield from given.combine_chunks().to_batches()
             return
         held = None
         for rows in slices(batches):
-            part = scored(rows, files[0])
+            part, _ = scored(rows, files[0])
             held = part if held is None else pa.concat_tables([held, part])
             if held.num_rows > 4 * k * n_queries + 1024:
                 held = shrink(held)
@@ -243,23 +259,17 @@ def knn(
     hits = source.mapInArrow(score, schema)
     group = ["query_id", keys[0]] if per_paper else ["query_id"]
     order = [F.desc("score"), *[F.col(c) for c in keys]]
-    best = first_rows(hits, group, order, k)
     if not openers:
-        return best
+        return first_rows(hits, group, order, k)
     if n_queries > block:
         raise ValueError(f"openers are for at most {block} queries")
-
-    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row once for each query."""
-        ids = [_queries_of(file)[0].cast(id_type) for file in files]
-        for batch in batches:
-            for one in (i for own in ids for i in own):
-                yield pa.RecordBatch.from_arrays([pa.array([one.as_py()] * batch.num_rows, id_type), *batch.columns], names=["query_id", *keys, *payload])
-
-    # Openers are read by their own filter, without vectors and scores.
-    plain = T.StructType(schema.fields[:-1])
-    first = every.filter(F.col(keys[1]) < openers).filter(F.col("embedding").isNotNull()).select(*keys, *payload).mapInArrow(given, plain)
-    return best.filter(F.col(keys[1]) >= openers).unionByName(first.withColumns({"score": F.lit(None).cast("double"), "rank": F.lit(None).cast("int")}))
+    # Openers without a score come after all hits of their group, and take nobody's rank; where a query ranks all
+    # papers together they form groups of their own, by paper.
+    apart = [] if per_paper else [F.when(F.col("score").isNull(), F.col(keys[0]))]
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*group, *apart).orderBy(*order)))
+    others = F.col(keys[1]) >= openers
+    best = ranked.filter((others & (F.col("rank") <= k)) | (F.col(keys[1]) < openers))
+    return best.withColumns({c: F.when(others, F.col(c)) for c in ("score", "rank")})
 
 
 def attach(hits: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -223,3 +223,59 @@ def test_vectors_are_worked_out_once(spark):
     assert sorted((r["paper_id"], r["chunk_index"], r["rank"]) for r in hits.collect()) == [(p, i, n) for p in ("a", "b") for i, n in ((2, 1), (3, 2))]
     opened = search.knn(chunks, asked, 2, per_paper=True, openers=2).collect()
     assert sorted((r["paper_id"], r["chunk_index"]) for r in opened) == [(p, i) for p in ("a", "b") for i in (0, 2, 3)]
+
+
+def _dealt_bytes(node):
+    """Bytes of all shuffles of a plan that has run."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _dealt_bytes(node.executedPlan())
+    if node.nodeName().endswith("QueryStage"):
+        return _dealt_bytes(node.plan())
+    own = node.metrics().get("dataSize").get().value() if node.nodeName() == "Exchange" else 0
+    return own + sum(_dealt_bytes(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_a_text_is_moved_once_for_all_summary_styles(spark):
+    rng = np.random.default_rng(6)
+    sizes = {-1: 9, 1: 1, 2: 2, 3: 14}  # -1 stands for a paper without an id
+    vectors = [(p, i, rng.normal(size=8)) for p, n in sizes.items() for i in range(n)]
+    asked = [(f"s{i}", rng.normal(size=8)) for i in range(8)]
+    text = {(p, i): "" if (p, i) == (2, 1) else f"{p} {i} " + "w" * 2000 + f" {i} " + "x" * (25000 if (p, i) == (-1, 0) else 0) for p, i, _ in vectors}
+    rows = [(None if p < 0 else p, i, f"P{p}", i + 1, "" if i % 2 else "S", text[p, i] + " \n", v.tolist()) for p, i, v in vectors]
+    chunks = spark.createDataFrame(rows, "paper_id bigint, chunk_index bigint, paper_name string, page int, section string, text string, embedding array<double>")
+    styles = spark.createDataFrame([(s, v.tolist()) for s, v in asked], "query_id string, embedding array<double>")
+    hits = {(s, p, i) for s, p, i, _ in brute(vectors, asked, 4, True)}
+    want = {}
+    for s, _ in asked:
+        for p, n in sizes.items():
+            blocks, total = [], 0
+            for i in (i for i in range(n) if i < 2 or (s, p, i) in hits):
+                made = f"[{len(blocks) + 1}] P{p} | page {i + 1} | {'Unknown section' if i % 2 else 'S'}\n{text[p, i].strip()}"
+                total += -(-len(made) // 4)
+                if blocks and total > C.BUDGET:
+                    break
+                blocks.append(made)
+            want[s, None if p < 0 else p] = (C.BLOCK_JOINER.join(blocks), len(blocks), f"P{p}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = C.summary_context(chunks, styles, 4)
+        got = {(r["query_id"], r["paper_id"]): (r["context"], r["n_used"], r["title"]) for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want
+    whole = sum(map(len, text.values()))
+    assert whole <= _dealt_bytes(made._jdf.queryExecution().executedPlan()) < 2 * whole
+
+
+def test_openers_leave_with_the_hits(spark):
+    """No second reading of the rows, and no second vector, for the first chunks of a paper."""
+    chunks = spark.createDataFrame([(p, i, f"lamp {i} rope"[: 4 + i]) for p in ("a", "b") for i in range(5)], "paper_id string, chunk_index bigint, text string")
+    chunks = chunks.withColumn("embedding", E.hash_embed(F.col("text")))
+    asked = spark.createDataFrame([("q", "rope"), ("r", "lamp")], "query_id string, text string").select("query_id", E.hash_embed(F.col("text")).alias("embedding"))
+    for per_paper, k in ((True, 2), (False, 3)):
+        opened = search.knn(chunks, asked, k, per_paper=per_paper, openers=2)
+        assert sum("md5(" in line for line in opened._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 1
+        best = {(r["query_id"], r["paper_id"], r["chunk_index"]): (r["score"], r["rank"]) for r in search.knn(chunks, asked, k, per_paper=per_paper).collect()}
+        want = {key: found for key, found in best.items() if key[2] >= 2} | {(q, p, i): (None, None) for q in "qr" for p in "ab" for i in (0, 1)}
+        got = opened.collect()
+        assert {(r["query_id"], r["paper_id"], r["chunk_index"]): (r["score"], r["rank"]) for r in got} == want and len(got) == len(want)
